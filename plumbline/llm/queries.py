@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, packing, sharding, token_counts, warc
+from . import (
+    common,
+    decontaminate,
+    fingerprints,
+    line_dedup,
+    ngram_join,
+    packing,
+    sharding,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +39,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -48,6 +63,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_texts(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("k_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -55,9 +86,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = {
         "op1_fingerprints": op1_fingerprints,
+        "op2_toxicity": op2_toxicity,
         "op3_warc_archive": op3_warc_archive,
         "op4_packing": op4_packing,
         "op6_sharding": op6_sharding,
+        "op7_ngram_join": op7_ngram_join,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
     }
     return made
