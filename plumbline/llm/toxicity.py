@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The features are the words whose presence is most associated with the label among the
-examples. Their document frequencies are counted over all documents. The examples' vectors
+The features are the words, and beginnings of words, whose presence is most associated
+with the label among the examples. Their document frequencies are counted over all documents. The examples' vectors
 form an inverted index whose postings are cut into blocks of examples with the largest
 weight of each word in each block; a query visits blocks by falling upper bound and stops
 when no further block can enter its k nearest, so the result is exact. The neighbours vote
@@ -41,6 +41,9 @@ BLOCK = 64
 #: Pseudo-similarity that the base rate votes with.
 PRIOR_VOTES = 0.25
 
+#: Lengths of the word beginnings that are features beside whole words.
+HEADS = (4, 5, 6, 7, 8)
+
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -48,6 +51,29 @@ def terms(text: str | None) -> list[str]:
     return _WORDS(text.lower()) if text else []
 
 
+def features_of(word: str) -> list[str]:
+    """A word as itself and by its beginnings, which endings of inflected words do not hide."""
+    return [word, *(f"{word[:k]}*" for k in HEADS if len(word) >= k)]
+
+
+def counted(text: str | None, known: dict[str, int]) -> dict[int, int]:
+    """Occurrences of each known feature in a text, by number, ascending."""
+    out: Counter[int] = Counter()
+    short = f"{{:.{HEADS[0]}}}*".format
+    for word, n in Counter(terms(text)).items():
+        if word in known or short(word) in known:
+            for f in features_of(word):
+                if f in known:
+                    out[known[f]] += n
+    return dict(sorted(out.items()))
+
+
+def closed(words: list[str]) -> list[str]:
+    """The features, with the shortest beginning of each longer one, by which texts are scanned."""
+    extra = {f"{w[:HEADS[0]]}*" for w in words if w.endswith("*")}
+    return [*words, *sorted(extra - set(words))]
+
+
 def fold(id_col: Column, folds: int = FOLDS) -> Column:
     """crc32 of the id as text, modulo the number of folds; fold 0 is held out."""
     return F.pmod(F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")), F.lit(folds))
@@ -70,18 +96,15 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """Features of a text and their weights, of length 1 together."""
-        words = self.words
-        counts = Counter(w for w in terms(text) if w in words)
-        found = sorted(words[w] for w in counts)
-        by_id = {words[w]: n for w, n in counts.items()}
-        return self.weigh(found, [by_id[i] for i in found])
+        found = counted(text, self.words)
+        return self.weigh(list(found), list(found.values()))
 
     def weigh(self, found: list[int], counts: list[int]) -> tuple[list[int], np.ndarray]:
         value = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[found] if found else np.zeros(0)
         return found, value / np.sqrt((value**2).sum()) if found else value
 
     def build(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        """Postings of each word by block of examples: examples, weights, blocks, their bounds and largest weights."""
+        """Postings of each feature: examples and weights, and its blocks of examples with the largest weight in each."""
         by_word: list[list[tuple[int, float]]] = [[] for _ in self.words]
         for e, (found, value) in enumerate(vectors):
             for w, v in zip(found, value.tolist(), strict=True):
@@ -92,46 +115,38 @@ class Index:
             v = np.array([r[1] for r in rows])
             blocks, starts = np.unique(e // BLOCK, return_index=True)
             largest = np.maximum.reduceat(v, starts) if len(v) else v
-            self.postings.append((e, v, blocks, np.append(starts, len(e)), largest))
+            self.postings.append((e, v, blocks, largest))
 
     def nearest(self, found: list[int], value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, and it; ties by place in the index."""
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(-(-len(self.ids) // BLOCK))
+        n_blocks = -(-len(self.ids) // BLOCK)
+        bound = np.zeros(n_blocks)
         for w, v in zip(found, value.tolist(), strict=True):
-            _, _, blocks, _, largest = self.postings[w]
+            _, _, blocks, largest = self.postings[w]
             bound[blocks] += v * largest
         order = np.argsort(-bound, kind="stable")
         order = order[:np.count_nonzero(bound)]
-        at, n = 0, max(1, 2 * k // BLOCK)
+        e = np.concatenate([self.postings[w][0] for w in found])
+        part = np.concatenate([v * self.postings[w][1] for w, v in zip(found, value.tolist(), strict=True)])
+        at, n = 0, 4
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
         while at < len(order):
             if len(best_s) >= k and bound[order[at]] < best_s[-1] - 1e-12:
                 break
-            e, s = self.scores(order[at:at + n], found, value)
-            at, n = at + n, 2 * n
-            if without >= 0:
-                other = e != without
-                e, s = e[other], s[other]
-            best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, s])
+            chosen = np.zeros(n_blocks, bool)
+            chosen[order[at:at + n]] = True
+            now = chosen[e // BLOCK]
+            total = np.bincount(e[now], part[now])
+            at, n = at + n, 4 * n
+            hit = np.flatnonzero(total)
+            hit = hit[hit != without]
+            best_e, best_s = np.concatenate([best_e, hit]), np.concatenate([best_s, total[hit]])
             top = np.lexsort((best_e, -best_s))[:k]
             best_e, best_s = best_e[top], best_s[top]
         return best_e, np.minimum(best_s, 1.0)
 
-    def scores(self, chosen: np.ndarray, found: list[int], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of all examples in the chosen blocks that share a word with the query."""
-        slot = np.full(-(-len(self.ids) // BLOCK), -1)
-        slot[chosen] = np.arange(len(chosen))
-        total = np.zeros(len(chosen) * BLOCK)
-        for w, v in zip(found, value.tolist(), strict=True):
-            e, weight, blocks, bounds, _ = self.postings[w]
-            for i in np.flatnonzero(slot[blocks] >= 0):
-                a, b = bounds[i], bounds[i + 1]
-                total[slot[blocks[i]] * BLOCK + (e[a:b] % BLOCK)] += v * weight[a:b]
-        hit = np.flatnonzero(total)
-        return chosen[hit // BLOCK] * BLOCK + hit % BLOCK, total[hit]
-
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Log odds of the similarity-weighted vote; the base rate votes too."""
         w = s**2 * self.weight[e]
@@ -191,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in set(terms(text)):
-                    counts.setdefault(w, [0, 0])[y] += 1
+                for f in {f for w in set(terms(text)) for f in features_of(w)}:
+                    counts.setdefault(f, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(counts), *(pa.array([c[y] for c in counts.values()], pa.int64()) for y in (0, 1))],
                 names=["word", "n0", "n1"])
@@ -211,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
              .groupBy("word").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
              .where((with_ >= 3) & (without > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
              .orderBy(F.desc("chi2"), "word").limit(MAX_FEATURES).select("word").collect())
-    model.words = {r[0]: i for i, r in enumerate(words)}
+    model.words = {w: i for i, w in enumerate(closed([r[0] for r in words]))}
     if not model.words:
         return model
     known = model.words
@@ -220,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
         counts, rows_ = np.zeros(len(known) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                for w in {known[w] for w in terms(text.as_py()) if w in known}:
-                    counts[w] += 1
+                for f in counted(text.as_py(), known):
+                    counts[f] += 1
                 rows_ += 1
         counts[-1] = rows_
         some = np.flatnonzero(counts)
@@ -233,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(Counter(known[w] for w in terms(t) if w in known).items()) for t in batch.column(2).to_pylist()]
+            found = [list(counted(t, known).items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array([[p[k] for p in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))],
                 names=["id", "toxic", "words", "counts"])
