@@ -15,6 +15,7 @@ from . import (
     ngram_join,
     packing,
     sharding,
+    suffix_dedup,
     token_counts,
     toxicity,
     warc,
@@ -53,6 +54,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "shards")
     sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_warc_archive": op3_warc_archive,
         "op4_packing": op4_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_sharding": op6_sharding,
         "op7_ngram_join": op7_ngram_join,
         "op8_line_dedup": op8_line_dedup,
