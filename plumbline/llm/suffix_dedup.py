@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import partitions, saved, with_small
 from .shingles import mix
 
 LENGTH = 200
 GRAM = 64
 CLASS_LIMIT = 20_000
 BATCH_BYTES = 8_000_000
-#: Most numbers in lists that are broadcast.
-BROADCAST_NUMBERS = 4_000_000
 
 _RNG = np.random.default_rng(5)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -325,7 +323,9 @@ def repeated_bytes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cla
     samples = saved(texts.mapInArrow(_samples(length, gram), "text long, at long, hash long"), "samples")
     twice = saved(samples.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
     chosen = saved(samples.join(twice, "hash").groupBy("text").agg(F.collect_list("at").alias("chosen")), "chosen")
-    near = texts.join(hinted(chosen, "chosen"), "text").select("text", "bytes", "chosen").mapInArrow(
+    # Only texts with such a suffix are shuffled to meet their positions.
+    texts = with_small(texts, chosen.select("text"), ["text"], "left_semi")
+    near = texts.join(chosen, "text").select("text", "bytes", "chosen").mapInArrow(
         _surroundings(length, gram), "text long, at long, low long, high long, hash long, code binary, around binary")
     near = saved(near, "near")
     kinds = near.groupBy("hash", "code").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text", "at")).alias("first"))
@@ -350,12 +350,6 @@ def repeated_bytes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cla
     return out
 
 
-def hinted(rows: DataFrame, lists: str) -> DataFrame:
-    """A saved table with a list column, marked for broadcast only if its numbers are counted to be few."""
-    total = rows.agg(F.sum(F.size(lists)) + F.count(F.lit(1))).first()[0] or 0
-    return F.broadcast(rows) if total <= BROADCAST_NUMBERS else rows
-
-
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
                 class_limit: int = CLASS_LIMIT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of each row."""
@@ -366,8 +360,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col:
     copies = saved(keyed.groupBy("text", "check").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies")
     many = saved(copies.where("n > 1").select("text", "first"), "many")
     long = keyed.where(F.octet_length("bytes") >= length)
-    small_ = F.broadcast(many) if many.limit(2_000_001).count() <= 2_000_000 else many
-    once = long.join(small_, "text", "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    once = with_small(long, many, ["text"], "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")))
     found = repeated_bytes(once.select("text", "bytes"), length, gram, class_limit)
     lists = found.groupBy("text").agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "end")))).alias("cuts"))
     lists = lists.join(many.select("text", F.lit(True).alias("copied")), "text", "full")
@@ -392,6 +385,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col:
                                              names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    both = keyed.select("id", "text", "bytes").join(hinted(lists, "cuts"), "text", "left").select("id", "bytes", "cuts")
-    return both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-                           ).withColumnRenamed("id", id_col)
+    rows, cut = keyed.select("id", "text", "bytes"), lists.select("text")
+    touched = with_small(rows, cut, ["text"], "left_semi").join(lists, "text").select("id", "bytes", "cuts")
+    touched = touched.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    none = F.lit(0).cast("long")
+    whole = with_small(rows, cut, ["text"], "left_anti").select(
+        "id", F.octet_length("bytes").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("bytes", 256).alias("kept_sha256"), F.col("bytes").alias("kept"))
+    return touched.union(whole).withColumnRenamed("id", id_col)
