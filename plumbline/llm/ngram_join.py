@@ -13,8 +13,8 @@ and its number of links, i.e. of other rows at or above the threshold. Copies of
 count as links but are never expanded.
 
 Defined results: a null text counts as empty; a text without words links only to its
-copies; rows that repeat an id count as separate rows; null ids sort first. Texts are told
-apart by 128 bits of hash. Extra columns are not read.
+copies; rows that repeat an id count as separate rows; a class without an id has a null
+class. Texts are told apart by 128 bits of hash. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -89,8 +89,8 @@ def forest(docs: DataFrame, length: int, trees: int = TREES, width: int = WIDTH,
     return rows.mapInArrow(run, "id long, k1 long, k2 long, labels array<long>")
 
 
-def linked(texts: list[str], side: np.ndarray, threshold: float, width: int) -> np.ndarray:
-    """Boolean matrix of pairs at or above the threshold; of two sides, only pairs across."""
+def linked(texts: list[str], threshold: float, width: int) -> np.ndarray:
+    """Boolean matrix of pairs at or above the threshold."""
     hashes, at = shingles(pa.array(texts, pa.large_string()), width)
     sets = [np.unique(hashes[at[i]:at[i + 1]]) for i in range(len(texts))]
     sizes = np.array([len(s) for s in sets], np.float64)
@@ -111,8 +111,6 @@ def linked(texts: list[str], side: np.ndarray, threshold: float, width: int) ->
     union = sizes[:, None] + sizes[None, :] - shared
     near = (shared > 0) & (shared >= threshold * union - 1e-9)
     np.fill_diagonal(near, False)
-    if side.any() and not side.all():
-        near &= side[:, None] != side[None, :]
     return near
 
 
@@ -128,15 +126,17 @@ def roots(near: np.ndarray) -> np.ndarray:
 
 
 def verify(threshold: float, width: int):
-    """Task function over rows (unit, block, node, copies, t) sorted by unit: (node, links, root)."""
+    """Task function over rows (unit, across, block, node, copies, t) sorted by unit and node: (node, links, root)."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        blocks = np.array([r[1] for r in rows])
-        near = linked([r[4] for r in rows], blocks != blocks.min(), threshold, width)
+        near = linked([r[5] for r in rows], threshold, width)
+        if rows[0][1]:  # two blocks: pairs within one are another unit's
+            block = np.array([r[2] for r in rows])
+            near &= block[:, None] != block[None, :]
         some = np.flatnonzero(near.any(axis=1))
         if not len(some):
             return None
-        nodes, copies = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.float64)
+        nodes, copies = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.float64)
         return pa.RecordBatch.from_arrays(
             [pa.array(nodes[some]), pa.array((near @ copies)[some].astype(np.int64)), pa.array(nodes[roots(near)][some])],
             names=["node", "links", "root"])
@@ -149,7 +149,8 @@ def verify(threshold: float, width: int):
                     if len(rows) > 1 and (out := flush(rows)):
                         yield out
                     rows = []
-                rows.append(row)
+                if not rows or row[3] != rows[-1][3]:  # else a repeated row
+                    rows.append(row)
         if len(rows) > 1 and (out := flush(rows)):
             yield out
 
@@ -158,7 +159,7 @@ def verify(threshold: float, width: int):
 
 def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES,
                   width: int = WIDTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, class_id, n_links, same_rows): see the module's text; same_rows counts rows of this id and text."""
+    """(id, k1, k2, comp, class_id, n_links): see the module's text; comp names the component, also where ids are null."""
     length = prefix_length(threshold, recall, trees)
     rows = saved(forest(docs, length, trees, width, id_col, text_col), "forest")
     nodes = saved(rows.groupBy("k1", "k2").agg(
@@ -176,8 +177,8 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k1"), text.alias("t"))
     texts = with_small(texts, units, ["k1"]).where(F.col("id").eqNullSafe(F.col("rep")))
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "block",
-        F.col("k1").alias("node"), "copies", "t")
+        F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        (F.col("block") != F.col("other")).alias("across"), "block", F.col("k1").alias("node"), "copies", "t")
     work = pairs.repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "node")
     links = saved(work.mapInArrow(verify(threshold, width), "node long, links long, root long"), "links")
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -187,14 +188,14 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     found = saved(found.withColumn("comp", F.coalesce("comp", "k1")), "found")
     lowest = saved(found.groupBy("comp").agg(F.min("rep").alias("class_id")), "lowest")
     found = saved(found.join(lowest, "comp").select(
-        "k1", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+        "k1", "k2", "comp", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     return rows.select("id", "k1", "k2").join(found, ["k1", "k2"]).withColumnRenamed("id", id_col)
 
 
 def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs that stand for their class: the smallest id of each; of equal rows, one."""
     found = similar_texts(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("comp", "class_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("k1").alias("k1"))
     keep = saved(keep, "keep")
     text = F.coalesce(text_col, F.lit(""))
@@ -204,4 +205,4 @@ def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = F.broadcast(both)
     kept = rows.join(both, rows["class_id"].eqNullSafe(both["c"]) & (rows["k1"] == both["k"]))
     once = kept.where("n = 1").select("row.*")
-    return once.union(kept.where("n > 1").dropDuplicates(["class_id"]).select("row.*"))
+    return once.union(kept.where("n > 1").dropDuplicates(["class_id", "k1"]).select("row.*"))
