@@ -13,6 +13,7 @@ from . import (
     fingerprints,
     line_dedup,
     ngram_join,
+    oracles,
     packing,
     sharding,
     suffix_dedup,
@@ -105,4 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries have none: SQL has no sketches, index search, tokenizers, seeded shuffles or fast byte windows."""
+    return dict(oracles.SQL)
