@@ -9,6 +9,9 @@ from .shingles import WIDTH
 from .warc import BASE32
 
 
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 def base32_sql(h: str) -> str:
     """Base32 of a SHA-1 in hexadecimal."""
     out = []
@@ -41,8 +44,6 @@ SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, coalesce(gone, 0) AS n_remov
 sha256(CASE WHEN gone IS NULL THEN t WHEN gone = len(l) THEN '' ELSE kept END) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
-_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
 LEAKS = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - {WINDOW - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS k
@@ -56,7 +57,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 SIMILAR = f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\v\\f]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - {WIDTH - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS x FROM d WHERE len(w) > 0),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),

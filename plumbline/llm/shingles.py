@@ -1,7 +1,8 @@
 """Word shingle hashes of many texts at a time, on the bytes of an Arrow column.
 
-A word is a maximal run of bytes other than ASCII white space; a shingle is ``width``
-consecutive words. A text of fewer words, but not none, has one shingle of all of them.
+A word is a maximal run of letters and digits, with A-Z as a-z; every code point beyond
+ASCII counts as a letter. A shingle is ``width`` consecutive words. A text of fewer words,
+but not none, has one shingle of all of them.
 Every step is vectorised over a slice of about a megabyte of text, so memory stays
 bounded by the slice or the longest text.
 """
@@ -18,8 +19,9 @@ WIDTH = 5
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[list(b" \t\n\r\x0b\x0c")] = 0
-_SPACE = _BYTE == 0
+_BYTE[[b for b in range(128) if not chr(b).isalnum()]] = 0
+_BYTE[65:91] = _BYTE[97:123]
+_BETWEEN = _BYTE == 0
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _BASE, dtype=np.uint64))
@@ -58,7 +60,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hash of each word and the index of its text."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    letter = ~_SPACE[data]
+    letter = ~_BETWEEN[data]
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
@@ -71,7 +73,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     value = _BYTE[data[starts[0]:]] * _POWERS[within & 4095]
     if within.max(initial=0) >= 4096:
         value = np.where(within >= 4096, mix(value + (within >> 12).astype(np.uint64)), value)
-        value[_SPACE[data[starts[0]:]]] = 0
+        value[_BETWEEN[data[starts[0]:]]] = 0
     return mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(offsets, starts, side="right") - 1
 
 

@@ -67,7 +67,7 @@ def odd(spark):
 
 
 def sets(text, width=5):
-    w = re.findall(r"[^ \t\n\r\x0b\x0c]+", text or "")
+    w = words(text)
     return set(zip(*[w[i:] for i in range(width)], strict=False)) if len(w) >= width else ({tuple(w)} if w else set())
 
 
