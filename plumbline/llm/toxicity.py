@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import saved
 
 FOLDS = 5
-MAX_EXAMPLES = 6000
-MAX_FEATURES = 4096
+MAX_EXAMPLES = 3000
+MAX_FEATURES = 2048
 MIN_CHI2 = 15.0
 NEIGHBOURS = 24
 BLOCK = 64
+#: Examples whose votes the calibration is fitted to, evenly spaced.
+CALIBRATION = 2000
 #: Pseudo-similarity that the base rate votes with.
 PRIOR_VOTES = 0.25
 
@@ -56,24 +58,22 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in HEADS if len(word) >= k)]
 
 
-def counted(text: str | None, known: dict[str, int]) -> dict[int, int]:
+def heads(known: dict[str, int]) -> set[str]:
+    """What known features begin with; words that begin otherwise need no closer look."""
+    return {w[:HEADS[0]] for w in known}
+
+
+def counted(text: str | None, known: dict[str, int], begins: set[str]) -> dict[int, int]:
     """Occurrences of each known feature in a text, by number, ascending."""
     out: Counter[int] = Counter()
-    short = f"{{:.{HEADS[0]}}}*".format
-    for word, n in Counter(terms(text)).items():
-        if word in known or short(word) in known:
+    for word in terms(text):
+        if word[:HEADS[0]] in begins:
             for f in features_of(word):
                 if f in known:
-                    out[known[f]] += n
+                    out[known[f]] += 1
     return dict(sorted(out.items()))
 
 
-def closed(words: list[str]) -> list[str]:
-    """The features, with the shortest beginning of each longer one, by which texts are scanned."""
-    extra = {f"{w[:HEADS[0]]}*" for w in words if w.endswith("*")}
-    return [*words, *sorted(extra - set(words))]
-
-
 def fold(id_col: Column, folds: int = FOLDS) -> Column:
     """crc32 of the id as text, modulo the number of folds; fold 0 is held out."""
     return F.pmod(F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")), F.lit(folds))
@@ -93,10 +93,11 @@ class Index:
     featureless: float = 0.5
     slope: float = 1.0
     shift: float = 0.0
+    begins: set[str] = field(default_factory=set)
 
     def vector(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """Features of a text and their weights, of length 1 together."""
-        found = counted(text, self.words)
+        found = counted(text, self.words, self.begins)
         return self.weigh(list(found), list(found.values()))
 
     def weigh(self, found: list[int], counts: list[int]) -> tuple[list[int], np.ndarray]:
@@ -116,6 +117,7 @@ class Index:
             blocks, starts = np.unique(e // BLOCK, return_index=True)
             largest = np.maximum.reduceat(v, starts) if len(v) else v
             self.postings.append((e, v, blocks, largest))
+        self.block = np.arange(len(self.ids)) // BLOCK
 
     def nearest(self, found: list[int], value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, and it; ties by place in the index."""
@@ -137,7 +139,7 @@ class Index:
                 break
             chosen = np.zeros(n_blocks, bool)
             chosen[order[at:at + n]] = True
-            now = chosen[e // BLOCK]
+            now = chosen[self.block[e]]
             total = np.bincount(e[now], part[now])
             at, n = at + n, 4 * n
             hit = np.flatnonzero(total)
@@ -156,7 +158,7 @@ class Index:
 
     def calibrate(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
         """Logistic fit of the labels on the examples' votes without themselves."""
-        some = [i for i, v in enumerate(vectors) if v[0]]
+        some = list(range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATION))))
         x = np.array([self.vote(*self.nearest(*vectors[i], without=i)) for i in some])
         y, w = self.toxic[some], self.weight[some]
         if len(some) < 10 or y.min() == y.max():
@@ -226,16 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
              .groupBy("word").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
              .where((with_ >= 3) & (without > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
              .orderBy(F.desc("chi2"), "word").limit(MAX_FEATURES).select("word").collect())
-    model.words = {w: i for i, w in enumerate(closed([r[0] for r in words]))}
+    model.words = {r[0]: i for i, r in enumerate(words)}
+    model.begins = heads(model.words)
     if not model.words:
         return model
-    known = model.words
+    known, begins = model.words, model.begins
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows_ = np.zeros(len(known) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                for f in counted(text.as_py(), known):
+                for f in counted(text.as_py(), known, begins):
                     counts[f] += 1
                 rows_ += 1
         counts[-1] = rows_
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(counted(t, known).items()) for t in batch.column(2).to_pylist()]
+            found = [list(counted(t, known, begins).items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array([[p[k] for p in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))],
                 names=["id", "toxic", "words", "counts"])
