@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The features are the words, and beginnings of words, whose presence is most associated
-with the label among the examples. Their document frequencies are counted over all documents. The examples' vectors
+with the label among the examples; all words of a text together make one more, so that a
+few features in a long text weigh less. Their document frequencies are counted over all documents. The examples' vectors
 form an inverted index whose postings are cut into blocks of examples with the largest
 weight of each word in each block; a query visits blocks by falling upper bound and stops
 when no further block can enter its k nearest, so the result is exact. The neighbours vote
@@ -40,6 +41,8 @@ NEIGHBOURS = 24
 BLOCK = 64
 #: Examples whose votes the calibration is fitted to, evenly spaced.
 CALIBRATION = 2000
+#: Weight of each word that is no feature, in the dimension that all of them share.
+REST = 1.0
 #: Pseudo-similarity that the base rate votes with.
 PRIOR_VOTES = 0.25
 
@@ -63,15 +66,16 @@ def heads(known: dict[str, int]) -> set[str]:
     return {w[:HEADS[0]] for w in known}
 
 
-def counted(text: str | None, known: dict[str, int], begins: set[str]) -> dict[int, int]:
-    """Occurrences of each known feature in a text, by number, ascending."""
+def counted(text: str | None, known: dict[str, int], begins: set[str]) -> tuple[dict[int, int], int]:
+    """Occurrences of each known feature in a text, by number, ascending; and how many different words it has."""
     out: Counter[int] = Counter()
-    for word in terms(text):
+    words = terms(text)
+    for word in words:
         if word[:HEADS[0]] in begins:
             for f in features_of(word):
                 if f in known:
                     out[known[f]] += 1
-    return dict(sorted(out.items()))
+    return dict(sorted(out.items())), len(set(words))
 
 
 def fold(id_col: Column, folds: int = FOLDS) -> Column:
@@ -97,16 +101,18 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """Features of a text and their weights, of length 1 together."""
-        found = counted(text, self.words, self.begins)
-        return self.weigh(list(found), list(found.values()))
+        found, n = counted(text, self.words, self.begins)
+        return self.weigh(list(found), list(found.values()), n)
 
-    def weigh(self, found: list[int], counts: list[int]) -> tuple[list[int], np.ndarray]:
-        value = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[found] if found else np.zeros(0)
-        return found, value / np.sqrt((value**2).sum()) if found else value
+    def weigh(self, found: list[int], counts: list[int], n: int) -> tuple[list[int], np.ndarray]:
+        """The last weight is the remainder's: the root of how many words there are, as for so many of weight REST."""
+        value = np.append((1 + np.log(np.asarray(counts, np.float64))) * self.idf[found], REST * math.sqrt(n))
+        size = np.sqrt((value**2).sum())
+        return [*found, len(self.words)], value / size if size else value
 
     def build(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
         """Postings of each feature: examples and weights, and its blocks of examples with the largest weight in each."""
-        by_word: list[list[tuple[int, float]]] = [[] for _ in self.words]
+        by_word: list[list[tuple[int, float]]] = [[] for _ in range(len(self.words) + 1)]
         for e, (found, value) in enumerate(vectors):
             for w, v in zip(found, value.tolist(), strict=True):
                 by_word[w].append((e, v))
@@ -121,8 +127,6 @@ class Index:
 
     def nearest(self, found: list[int], value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, and it; ties by place in the index."""
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
         n_blocks = -(-len(self.ids) // BLOCK)
         bound = np.zeros(n_blocks)
         for w, v in zip(found, value.tolist(), strict=True):
@@ -158,7 +162,8 @@ class Index:
 
     def calibrate(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
         """Logistic fit of the labels on the examples' votes without themselves."""
-        some = list(range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATION))))
+        some = [i for i, v in enumerate(vectors) if len(v[0]) > 1]
+        some = some[::max(1, -(-len(some) // CALIBRATION))]
         x = np.array([self.vote(*self.nearest(*vectors[i], without=i)) for i in some])
         y, w = self.toxic[some], self.weight[some]
         if len(some) < 10 or y.min() == y.max():
@@ -179,7 +184,7 @@ class Index:
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Probability of the label, and the evidence: ids of the nearest examples and their cosines."""
         found, value = self.vector(text)
-        if not found or not len(self.ids):
+        if len(found) < 2 or not len(self.ids):
             return self.featureless, [], []
         e, s = self.nearest(found, value)
         z = self.slope * self.vote(e, s) + self.shift
@@ -238,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
         counts, rows_ = np.zeros(len(known) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                for f in counted(text.as_py(), known, begins):
+                for f in counted(text.as_py(), known, begins)[0]:
                     counts[f] += 1
                 rows_ += 1
         counts[-1] = rows_
@@ -251,20 +256,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(counted(t, known, begins).items()) for t in batch.column(2).to_pylist()]
+            found = [counted(t, known, begins) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([[p[k] for p in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))],
-                names=["id", "toxic", "words", "counts"])
+                [batch.column(0), batch.column(1), pa.array([list(f) for f, _ in found], pa.list_(pa.int32())),
+                 pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())],
+                names=["id", "toxic", "words", "counts", "size"])
 
-    form = f"id {rows.schema['id'].dataType.simpleString()}, toxic int, words array<int>, counts array<int>"
+    form = f"id {rows.schema['id'].dataType.simpleString()}, toxic int, words array<int>, counts array<int>, size int"
     got = rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, form).collect()
     share = {0: totals.get(0, 0) / n0, 1: totals.get(1, 0) / n1}
     empty = [r for r in got if not r["words"]]
     odds = [sum(share[r["toxic"]] for r in empty if r["toxic"] == y) for y in (0, 1)]
     model.featureless = (odds[1] + base) / (sum(odds) + 1)
     # Blocks hold examples of one class with the same leading feature, so that their bounds are tight.
-    got = sorted((r for r in got if r["words"]), key=lambda r: (r["toxic"], r["words"][0], r["id"]))
-    vectors = [model.weigh(r["words"], r["counts"]) for r in got]
+    got = sorted((r for r in got if r["size"]), key=lambda r: (r["toxic"], r["words"][:1] or [len(known)], r["id"]))
+    vectors = [model.weigh(r["words"], r["counts"], r["size"]) for r in got]
     model.ids = np.array([r["id"] for r in got], np.int64)
     model.toxic = np.array([r["toxic"] for r in got], np.float64)
     model.weight = np.array([share[r["toxic"]] for r in got])

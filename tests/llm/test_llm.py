@@ -168,14 +168,12 @@ def test_held_out_labels_are_not_learnt(spark):
 def test_block_max_search_is_exact(spark):
     docs, labels = labelled(spark, 500, 3)
     model = toxicity.fit(docs, labels)
-    dense = np.zeros((len(model.ids), len(model.words)))
+    dense = np.zeros((len(model.ids), len(model.words) + 1))
     for w, (e, v, _, _) in enumerate(model.postings):
         dense[e, w] = v
     for r in docs.limit(60).collect():
         found, value = model.vector(r["text"])
-        if not found:
-            continue
-        q = np.zeros(len(model.words))
+        q = np.zeros(len(model.words) + 1)
         q[found] = value
         scores = dense @ q
         order = np.lexsort((np.arange(len(scores)), -scores))[:10]
