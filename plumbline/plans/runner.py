@@ -50,6 +50,7 @@ class AnalysisRunBuilder:
         self.analyzers: list[Analyzer] = []
         self.repository: MetricsRepository | None = None
         self.key: ResultKey | None = None
+        self.reuse: ResultKey | None = None
 
     def addAnalyzer(self, analyzer: Analyzer) -> AnalysisRunBuilder:
         self.analyzers.append(analyzer)
@@ -69,8 +70,27 @@ class AnalysisRunBuilder:
         self.key = resultKey
         return self
 
+    def reuseExistingResultsForKey(self, resultKey: ResultKey) -> AnalysisRunBuilder:
+        """Take single-valued metrics that the repository has under this key instead of computing them again."""
+        if self.repository is None:
+            raise ValueError("useRepository must come before reuseExistingResultsForKey")
+        self.reuse = resultKey
+        return self
+
+    def known(self) -> dict[Analyzer, Outcome]:
+        if self.reuse is None:
+            return {}
+        date, tags = self.reuse.identity()
+        rows = [m for m in self.repository.load().forAnalyzers(self.analyzers).metrics() if (m.dataset_date, m.tags) == (date, tags)]
+        by_key: dict[str, list[float]] = {}
+        for m in rows:
+            by_key.setdefault(m.analyzer, []).append(m.value)
+        return {a: Outcome(by_key[a.key][0]) for a in self.analyzers if len(by_key.get(a.key, [])) == 1}
+
     def run(self) -> AnalyzerContext:
-        context = AnalyzerContext(compute(self.df, self.analyzers))
+        known = self.known()
+        fresh = compute(self.df, [a for a in self.analyzers if a not in known])
+        context = AnalyzerContext({a: known.get(a) or fresh[a] for a in dict.fromkeys(self.analyzers)})
         if self.repository is not None and self.key is not None:
             self.repository.save(self.key, context)
         return context

@@ -84,6 +84,15 @@ def test_repository(spark, tmp_path, kind):
         AnalysisRunner(spark).onData(df).saveOrAppendResult(ResultKey(1))
 
 
+def test_reuse(spark):
+    repo, key = InMemoryMetricsRepository(spark), ResultKey(5)
+    two, three = spark.range(2), spark.range(3)
+    run = lambda df, k: AnalysisRunner(spark).onData(df).addAnalyzer(Size()).useRepository(repo).saveOrAppendResult(k)
+    run(two, key).run()
+    assert run(three, ResultKey(6)).reuseExistingResultsForKey(key).run().outcomes[Size()].value == 2.0
+    assert run(three, ResultKey(7)).reuseExistingResultsForKey(ResultKey(99)).run().outcomes[Size()].value == 3.0
+
+
 def test_string_profile(spark):
     df = spark.createDataFrame([("ant", "dragonfly"), ("bee", "earwig"), ("bee", None), ("cricket", None)], "a string, b string")
     got = ColumnProfilerRunner(spark).onData(df).run()
