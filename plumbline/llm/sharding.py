@@ -7,7 +7,8 @@ floor(s * n / shards), so row counts differ by at most one, and a bucket touches
 shards. The order depends on seed and rows only, so a lost executor's work repeats alike.
 
 Defined results: null texts and ids are kept and have their own hashes; repeated rows all
-keep a place of their own; an empty table gives no rows. Extra columns go along.
+keep a place of their own; an empty table gives no rows. Extra columns go along; shard and
+slot columns that the rows have already are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 SHARDS = 24
-BUCKET_BYTES = 12_000_000
+#: A bucket must fit into a task's memory.
+BUCKET_BYTES = 32_000_000
+#: So many buckets of at least a megabyte, where fewer would do, so that tasks are even.
+SPREAD = 256
 
 
 def permutation(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -39,23 +43,23 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7, id_col:
     """docs in random order, with ``shard`` int and ``slot`` long (from 0, gapless in the shard)."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 8
     total = docs.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = max(1, -(-total // bucket_bytes), min(SPREAD, total // 1_000_000))
     bucket: Column = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int")
-    keyed = docs.withColumn("_bucket", bucket)
+    docs = docs.drop("shard", "slot")
+    own = next(n for n in ("bucket" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    keyed = docs.withColumn(own, bucket)
     # One number per bucket of many megabytes comes to the driver.
-    counts = dict(keyed.groupBy("_bucket").count().collect())
-    offsets, n = {}, 0
-    for b in range(buckets):
-        offsets[b] = n
-        n += counts.get(b, 0)
+    counts = dict(keyed.groupBy(own).count().collect())
+    sizes = np.array([counts.get(b, 0) for b in range(buckets)], dtype=np.int64)
+    offsets, n = np.cumsum(sizes) - sizes, int(sizes.sum())
     starts = np.array([s * n // shards for s in range(shards)], dtype=np.int64)
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
     by_id, by_text = names.index(id_col), names.index(text_col)
-    return keyed.groupBy("_bucket").applyInArrow(_placer(offsets, starts, seed, names, by_id, by_text), schema)
+    return keyed.groupBy(own).applyInArrow(_placer(offsets, starts, seed, names, by_id, by_text), schema)
 
 
-def _placer(offsets: dict[int, int], starts: np.ndarray, seed: int, names: list[str], by_id: int,
+def _placer(offsets: np.ndarray, starts: np.ndarray, seed: int, names: list[str], by_id: int,
             by_text: int) -> Callable:
     def place(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()

@@ -48,7 +48,7 @@ def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, in
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string or binary array; null counts as empty."""
     if texts.null_count:
-        texts = texts.fill_null("" if pa.types.is_string(texts.type) else b"")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "")
     texts = texts.cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
