@@ -104,8 +104,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     joined = records.join(stored, "digest", "left")
     checked = F.when(F.coalesce(good, F.lit(False)), F.col("payload_bytes")).otherwise(
         F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("digest"))).cast("long"))
-    return joined.select("page_id", "record_type", F.try_to_number("refers_to", F.lit("9" * 19)).cast("long").alias(
-        "refers_to"), checked.alias("payload_bytes"), "payload_digest", "digest")
+    return joined.select("page_id", "record_type", F.expr("try_cast(refers_to AS bigint)").alias("refers_to"),
+                         checked.alias("payload_bytes"), "payload_digest", "digest")
 
 
 def read_originals(spark: SparkSession, path: str) -> DataFrame:
