@@ -83,6 +83,17 @@ def fold(id_col: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")), F.lit(folds))
 
 
+def largest_of(e: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores with their examples; of equal ones at the edge, the lowest examples."""
+    if len(s) <= k:
+        return e, s
+    edge = np.partition(s, len(s) - k)[len(s) - k]
+    above, level = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
+    level = level[np.argsort(e[level], kind="stable")[:k - len(above)]]
+    keep = np.concatenate([above, level])
+    return e[keep], s[keep]
+
+
 @dataclass
 class Index:
     """Examples as an inverted index in blocks, with the fit that calibrates votes."""
@@ -111,10 +122,13 @@ class Index:
         return [*found, len(self.words)], value / size if size else value
 
     def build(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        """Postings of each feature: examples and weights, and its blocks of examples with the largest weight in each."""
-        by_word: list[list[tuple[int, float]]] = [[] for _ in range(len(self.words) + 1)]
+        """Postings of each feature: examples and weights, and its blocks of examples with the largest weight in each.
+
+        Every example has a remainder, so its postings are a plain array.
+        """
+        by_word: list[list[tuple[int, float]]] = [[] for _ in self.words]
         for e, (found, value) in enumerate(vectors):
-            for w, v in zip(found, value.tolist(), strict=True):
+            for w, v in zip(found[:-1], value.tolist(), strict=False):
                 by_word[w].append((e, v))
         self.postings = []
         for rows in by_word:
@@ -123,35 +137,39 @@ class Index:
             blocks, starts = np.unique(e // BLOCK, return_index=True)
             largest = np.maximum.reduceat(v, starts) if len(v) else v
             self.postings.append((e, v, blocks, largest))
-        self.block = np.arange(len(self.ids)) // BLOCK
+        self.rest = np.array([value[-1] for _, value in vectors])
+        self.rest_largest = np.maximum.reduceat(self.rest, np.arange(0, len(vectors), BLOCK)) if vectors else self.rest
+        self.block = np.arange(len(vectors)) // BLOCK
 
     def nearest(self, found: list[int], value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, and it; ties by place in the index."""
-        n_blocks = -(-len(self.ids) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for w, v in zip(found, value.tolist(), strict=True):
+        weights = list(zip(found[:-1], value.tolist(), strict=False))
+        bound = value[-1] * self.rest_largest
+        for w, v in weights:
             _, _, blocks, largest = self.postings[w]
             bound[blocks] += v * largest
         order = np.argsort(-bound, kind="stable")
-        order = order[:np.count_nonzero(bound)]
-        e = np.concatenate([self.postings[w][0] for w in found])
-        part = np.concatenate([v * self.postings[w][1] for w, v in zip(found, value.tolist(), strict=True)])
+        e = np.concatenate([self.postings[w][0] for w, _ in weights]) if weights else np.zeros(0, np.int64)
+        part = np.concatenate([v * self.postings[w][1] for w, v in weights]) if weights else np.zeros(0)
         at, n = 0, 4
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
         while at < len(order):
             if len(best_s) >= k and bound[order[at]] < best_s[-1] - 1e-12:
                 break
-            chosen = np.zeros(n_blocks, bool)
+            chosen = np.zeros(len(bound), bool)
             chosen[order[at:at + n]] = True
-            now = chosen[self.block[e]]
-            total = np.bincount(e[now], part[now])
             at, n = at + n, 4 * n
-            hit = np.flatnonzero(total)
-            hit = hit[hit != without]
-            best_e, best_s = np.concatenate([best_e, hit]), np.concatenate([best_s, total[hit]])
-            top = np.lexsort((best_e, -best_s))[:k]
-            best_e, best_s = best_e[top], best_s[top]
-        return best_e, np.minimum(best_s, 1.0)
+            now = chosen[self.block[e]]
+            total = np.bincount(e[now], part[now], minlength=len(self.ids))
+            mine = np.flatnonzero(chosen[self.block])
+            if without >= 0:
+                mine = mine[mine != without]
+            score = total[mine] + value[-1] * self.rest[mine]
+            mine, score = largest_of(np.concatenate([best_e, mine]), np.concatenate([best_s, score]), k)
+            best = np.lexsort((mine, -score))
+            best_e, best_s = mine[best], score[best]
+        some = best_s > 0
+        return best_e[some], np.minimum(best_s[some], 1.0)
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Log odds of the similarity-weighted vote; the base rate votes too."""
@@ -183,7 +201,10 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Probability of the label, and the evidence: ids of the nearest examples and their cosines."""
-        found, value = self.vector(text)
+        return self.judged(*self.vector(text))
+
+    def judged(self, found: list[int], value: np.ndarray) -> tuple[float, list[int], list[float]]:
+        """What score gives, for a vector."""
         if len(found) < 2 or not len(self.ids):
             return self.featureless, [], []
         e, s = self.nearest(found, value)
@@ -204,9 +225,44 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str,
     return saved(rows.select("id", "toxic", "text"), "example-texts"), totals
 
 
+def features(rows: DataFrame, model: Index, text_col: str = "text") -> DataFrame:
+    """rows with (words, counts, size) in place of the text: known features, how often each occurs, different words."""
+    known, begins, at = model.words, model.begins, rows.columns.index(text_col)
+    kept = [c for c in rows.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(t.as_py(), known, begins) for t in batch.column(at)]
+            made = [pa.array([list(f) for f, _ in found], pa.list_(pa.int32())),
+                    pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *made],
+                                             names=[*kept, "words", "counts", "size"])
+
+    form = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
+    return rows.mapInArrow(run, ", ".join([*form, "words array<int>, counts array<int>, size int"]))
+
+
+@dataclass
+class Training:
+    """The chosen examples' texts, and how many training rows and examples each class has."""
+
+    rows: DataFrame
+    totals: dict[int, int]
+    have: dict[int, int]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic") -> Index:
     """The index of the labelled examples outside the held-out fold."""
+    model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
+    if model.words:
+        index_examples(model, training, saved(features(docs.select(text_col), model, text_col), "features"))
+    return model
+
+
+def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
+               label_col: str) -> tuple[Index, Training]:
+    """A model that knows its features only, and what it is to be trained on."""
     rows, totals = examples(docs, labels, max_examples, id_col, text_col, label_col)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
     n0, n1 = have.get(0, 0), have.get(1, 0)
     base = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     model = Index(base=base, featureless=base)
+    training = Training(rows, totals, have)
     if not n0 or not n1:
-        return model
+        return model, training
     a, b, n = F.col("n1"), F.col("n0"), float(n0 + n1)
     gap = a * (n0 - b) - b * (n1 - a)
     with_, without = a + b, n - a - b
@@ -235,73 +292,59 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
              .orderBy(F.desc("chi2"), "word").limit(MAX_FEATURES).select("word").collect())
     model.words = {r[0]: i for i, r in enumerate(words)}
     model.begins = heads(model.words)
-    if not model.words:
-        return model
-    known, begins = model.words, model.begins
+    return model, training
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows_ = np.zeros(len(known) + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column(0):
-                for f in counted(text.as_py(), known, begins)[0]:
-                    counts[f] += 1
-                rows_ += 1
-        counts[-1] = rows_
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "n"])
-
-    df = dict(docs.select(text_col).mapInArrow(frequencies, "word long, n long").groupBy("word").sum("n").collect())
-    total = df.pop(len(known), 0)
-    model.idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(known))])
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [counted(t, known, begins) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(f) for f, _ in found], pa.list_(pa.int32())),
-                 pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())],
-                names=["id", "toxic", "words", "counts", "size"])
 
-    form = f"id {rows.schema['id'].dataType.simpleString()}, toxic int, words array<int>, counts array<int>, size int"
-    got = rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, form).collect()
+def index_examples(model: Index, training: Training, all_features: DataFrame) -> None:
+    """Weights by document frequencies over all documents, then the examples' index and calibration."""
+    df = dict(all_features.select(F.explode("words").alias("w")).groupBy("w").count().collect())  # a row per feature
+    total = all_features.count()
+    model.idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(model.words))])
+    got = features(training.rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text"), model).collect()
+    totals, n0, n1, base = training.totals, training.have.get(0, 0), training.have.get(1, 0), model.base
     share = {0: totals.get(0, 0) / n0, 1: totals.get(1, 0) / n1}
     empty = [r for r in got if not r["words"]]
     odds = [sum(share[r["toxic"]] for r in empty if r["toxic"] == y) for y in (0, 1)]
     model.featureless = (odds[1] + base) / (sum(odds) + 1)
     # Blocks hold examples of one class with the same leading feature, so that their bounds are tight.
-    got = sorted((r for r in got if r["size"]), key=lambda r: (r["toxic"], r["words"][:1] or [len(known)], r["id"]))
+    got = sorted((r for r in got if r["size"]), key=lambda r: (r["toxic"], r["words"][:1] or [len(model.words)], r["id"]))
     vectors = [model.weigh(r["words"], r["counts"], r["size"]) for r in got]
     model.ids = np.array([r["id"] for r in got], np.int64)
     model.toxic = np.array([r["toxic"] for r in got], np.float64)
     model.weight = np.array([share[r["toxic"]] for r in got])
     model.build(vectors)
     model.calibrate(vectors)
-    return model
 
 
-def score(docs: DataFrame, model: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, held_out, score, predicted, evidence array<long>, cosines array<double>) of each row. No shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and MAX_FEATURES
-    kind = docs.schema[id_col].dataType.simpleString()
+def score(rows: DataFrame, model: Index, threshold: float = 0.5) -> DataFrame:
+    """(id, held_out, score, predicted, evidence array<long>, cosines array<double>) of rows (id, words, counts, size)."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and MAX_FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            out = [index.score(t.as_py()) for t in batch.column(1)]
+            vectors = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+            out = [index.judged(*index.weigh(w, c, n)) if w else (index.featureless, [], []) for w, c, n in vectors]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.float64()),
                  pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
                 names=["id", "score", "evidence", "cosines"])
 
-    found = docs.select(id_col, text_col).mapInArrow(
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.select("id", "words", "counts", "size").mapInArrow(
         run, f"id {kind}, score double, evidence array<long>, cosines array<double>")
-    return found.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "score",
+    return found.select("id", (fold(F.col("id")) == 0).alias("held_out"), "score",
                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", "cosines")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """Scores of all rows by the examples among them."""
-    return score(docs, fit(docs, labels, **options))
+def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id",
+             text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Scores of all rows by the examples among them. Each text is read for features once; nothing is shuffled but counts."""
+    model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
+    found = saved(features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model), "features")
+    if model.words:
+        index_examples(model, training, found)
+    return score(found, model).withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -171,6 +171,7 @@ def test_block_max_search_is_exact(spark):
     dense = np.zeros((len(model.ids), len(model.words) + 1))
     for w, (e, v, _, _) in enumerate(model.postings):
         dense[e, w] = v
+    dense[:, -1] = model.rest
     for r in docs.limit(60).collect():
         found, value = model.vector(r["text"])
         q = np.zeros(len(model.words) + 1)
