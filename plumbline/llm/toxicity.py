@@ -1,20 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The features are the words, and beginnings of words, whose presence is most associated
-with the label among the examples; all words of a text together make one more, so that a
-few features in a long text weigh less. Their document frequencies are counted over all documents. The examples' vectors
+The terms are all words: those of the examples are indexed, and the others of a text count in
+its length. Document frequencies of both are counted over all documents. The examples' vectors
 form an inverted index whose postings are cut into blocks of examples with the largest
 weight of each word in each block; a query visits blocks by falling upper bound and stops
 when no further block can enter its k nearest, so the result is exact. The neighbours vote
-with weights that grow with similarity, and a logistic fit on the examples' own votes, each
-without itself, turns the vote into a calibrated score. The neighbours are the evidence.
+with weights that grow with similarity, and they are the evidence. Beside the vote stands the
+lean of a text: the log likelihood ratios, summed, of the marks in it, the words and beginnings
+of words whose presence is most associated with the label among the examples. A logistic fit on
+the examples' own votes and leans, each without itself, turns both into a calibrated score.
 
 ``max_examples`` bounds the labelled rows per class that are learnt from (those with the
 smallest hash of the id); all else covers all documents. The index is bounded by it, so it
 can be sent to every task.
 
-Defined results: null and empty texts, and texts without any feature, get the share of
-toxic examples without features; missing labels and a class without examples give the
+Defined results: null and empty texts, and texts without any word, get the share of
+toxic examples without words; missing labels and a class without examples give the
 base rate; repeated ids and rows each get a row. Extra columns are not read.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, with_small
 
 FOLDS = 5
 MAX_EXAMPLES = 3000
@@ -39,14 +40,14 @@ MAX_FEATURES = 2048
 MIN_CHI2 = 15.0
 NEIGHBOURS = 24
 BLOCK = 64
-#: Examples whose votes the calibration is fitted to, evenly spaced.
-CALIBRATION = 2000
-#: Weight of each word that is no feature, in the dimension that all of them share.
-REST = 1.0
 #: Pseudo-similarity that the base rate votes with.
 PRIOR_VOTES = 0.25
 
-#: Lengths of the word beginnings that are features beside whole words.
+#: A word that no example has and that more than this share of the documents has is joined by broadcast;
+#: a text has only so many words, so there are at most this many times the words of a mean text.
+OFTEN = 1 / 1000
+
+#: Lengths of the word beginnings that are marks beside whole words.
 HEADS = (4, 5, 6, 7, 8)
 
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -62,20 +63,19 @@ def features_of(word: str) -> list[str]:
 
 
 def heads(known: dict[str, int]) -> set[str]:
-    """What known features begin with; words that begin otherwise need no closer look."""
+    """What known marks begin with; words that begin otherwise need no closer look."""
     return {w[:HEADS[0]] for w in known}
 
 
-def counted(text: str | None, known: dict[str, int], begins: set[str]) -> tuple[dict[int, int], int]:
-    """Occurrences of each known feature in a text, by number, ascending; and how many different words it has."""
-    out: Counter[int] = Counter()
-    words = terms(text)
-    for word in words:
-        if word[:HEADS[0]] in begins:
-            for f in features_of(word):
-                if f in known:
-                    out[known[f]] += 1
-    return dict(sorted(out.items())), len(set(words))
+def marks_in(words: Iterable[str], known: dict[str, int], begins: set[str]) -> list[int]:
+    """The different known marks in words, by number, ascending."""
+    return sorted({known[f] for w in words if w[:HEADS[0]] in begins for f in features_of(w) if f in known})
+
+
+def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers from each a up to its b, one range after the other."""
+    n = b - a
+    return np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
 
 
 def fold(id_col: Column, folds: int = FOLDS) -> Column:
@@ -100,76 +100,98 @@ class Index:
 
     words: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    total: int = 0
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: list[tuple[np.ndarray, ...]] = field(default_factory=list)
     base: float = 0.5
     featureless: float = 0.5
     slope: float = 1.0
+    pull: float = 0.0
     shift: float = 0.0
+    marks: dict[str, int] = field(default_factory=dict)
     begins: set[str] = field(default_factory=set)
-
-    def vector(self, text: str | None) -> tuple[list[int], np.ndarray]:
-        """Features of a text and their weights, of length 1 together."""
-        found, n = counted(text, self.words, self.begins)
-        return self.weigh(list(found), list(found.values()), n)
-
-    def weigh(self, found: list[int], counts: list[int], n: int) -> tuple[list[int], np.ndarray]:
-        """The last weight is the remainder's: the root of how many words there are, as for so many of weight REST."""
-        value = np.append((1 + np.log(np.asarray(counts, np.float64))) * self.idf[found], REST * math.sqrt(n))
+    #: Examples of each class that have a mark, and examples of each class.
+    marked: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    have: np.ndarray = field(default_factory=lambda: np.zeros(2))
+
+    def vector(self, text: str | None, df: dict[str, int] | None = None) -> tuple[list[int], np.ndarray]:
+        """Words of a text and their weights, of length 1 together; df has the document frequencies of words outside the examples."""
+        seen = Counter(terms(text))
+        found = sorted((self.words[w], n) for w, n in seen.items() if w in self.words)
+        others = sum(((1 + math.log(n)) * idf(self.total, (df or {}).get(w, 0)))**2 for w, n in seen.items() if w not in self.words)
+        return self.weigh([w for w, _ in found], [n for _, n in found], others)
+
+    def weigh(self, found: list[int], counts: list[int], others: float) -> tuple[list[int], np.ndarray]:
+        """The last weight is that of all words which no example has; others is the sum of their squares."""
+        value = np.append((1 + np.log(np.asarray(counts, np.float64))) * self.idf[found], math.sqrt(others))
         size = np.sqrt((value**2).sum())
         return [*found, len(self.words)], value / size if size else value
 
     def build(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        """Postings of each feature: examples and weights, and its blocks of examples with the largest weight in each.
-
-        Every example has a remainder, so its postings are a plain array.
-        """
-        by_word: list[list[tuple[int, float]]] = [[] for _ in self.words]
-        for e, (found, value) in enumerate(vectors):
-            for w, v in zip(found[:-1], value.tolist(), strict=False):
-                by_word[w].append((e, v))
-        self.postings = []
-        for rows in by_word:
-            e = np.array([r[0] for r in rows], np.int64)
-            v = np.array([r[1] for r in rows])
-            blocks, starts = np.unique(e // BLOCK, return_index=True)
-            largest = np.maximum.reduceat(v, starts) if len(v) else v
-            self.postings.append((e, v, blocks, largest))
-        self.rest = np.array([value[-1] for _, value in vectors])
-        self.rest_largest = np.maximum.reduceat(self.rest, np.arange(0, len(vectors), BLOCK)) if vectors else self.rest
+        """Postings by word and example, and an entry for each word and block: where its postings begin and the largest weight."""
+        n = [len(found) - 1 for found, _ in vectors]
+        word = np.concatenate([np.zeros(0, np.int64), *(np.asarray(found[:-1], np.int64) for found, _ in vectors)])
+        value = np.concatenate([np.zeros(0), *(v[:-1] for _, v in vectors)])
+        order = np.argsort(word, kind="stable")
+        word, self.value = word[order], value[order]
+        self.example = np.repeat(np.arange(len(vectors), dtype=np.int32), n)[order]
+        block = self.example // BLOCK
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(new)
+        self.posting_at = np.append(starts, len(word))
+        self.entry_block = block[starts]
+        self.entry_largest = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0)
+        self.entry_at = np.searchsorted(word[starts], np.arange(len(self.words) + 1))
+        self.rest = np.zeros(len(vectors))
         self.block = np.arange(len(vectors)) // BLOCK
 
+    @property
+    def postings(self) -> list[tuple[np.ndarray, ...]]:
+        """Of each word: examples and weights, and its blocks of examples with the largest weight in each."""
+        out = []
+        for a, b in zip(self.entry_at[:-1], self.entry_at[1:], strict=True):
+            at = slice(self.posting_at[a], self.posting_at[b])
+            out.append((self.example[at], self.value[at], self.entry_block[a:b], self.entry_largest[a:b]))
+        return out
+
     def nearest(self, found: list[int], value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, and it; ties by place in the index."""
-        weights = list(zip(found[:-1], value.tolist(), strict=False))
-        bound = value[-1] * self.rest_largest
-        for w, v in weights:
-            _, _, blocks, largest = self.postings[w]
-            bound[blocks] += v * largest
+        """The k examples of highest cosine above 0, and it; ties by place in the index."""
+        w = np.asarray(found[:-1], np.int64)
+        a, b = self.entry_at[w], self.entry_at[w + 1]
+        entries, v = ranges(a, b), np.repeat(value[:-1], b - a)
+        blocks = self.entry_block[entries]
+        bound = np.bincount(blocks, v * self.entry_largest[entries], minlength=-(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        e = np.concatenate([self.postings[w][0] for w, _ in weights]) if weights else np.zeros(0, np.int64)
-        part = np.concatenate([v * self.postings[w][1] for w, v in weights]) if weights else np.zeros(0)
         at, n = 0, 4
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        while at < len(order):
-            if len(best_s) >= k and bound[order[at]] < best_s[-1] - 1e-12:
-                break
+        while at < len(order) and bound[order[at]] > 0:
+            if len(best_s) >= k:
+                if bound[order[at]] < best_s[-1] - 1e-12:
+                    break
+                n = min(n, int((bound[order[at:]] >= best_s[-1] - 1e-12).sum()))
             chosen = np.zeros(len(bound), bool)
             chosen[order[at:at + n]] = True
             at, n = at + n, 4 * n
-            now = chosen[self.block[e]]
-            total = np.bincount(e[now], part[now], minlength=len(self.ids))
-            mine = np.flatnonzero(chosen[self.block])
+            now = chosen[blocks]
+            a, b = self.posting_at[entries[now]], self.posting_at[entries[now] + 1]
+            places = ranges(a, b)
+            total = np.bincount(self.example[places], np.repeat(v[now], b - a) * self.value[places], minlength=len(self.ids))
             if without >= 0:
-                mine = mine[mine != without]
-            score = total[mine] + value[-1] * self.rest[mine]
-            mine, score = largest_of(np.concatenate([best_e, mine]), np.concatenate([best_s, score]), k)
+                total[without] = 0
+            mine = np.flatnonzero(total)
+            mine, score = largest_of(np.concatenate([best_e, mine]), np.concatenate([best_s, total[mine]]), k)
             best = np.lexsort((mine, -score))
             best_e, best_s = mine[best], score[best]
-        some = best_s > 0
-        return best_e[some], np.minimum(best_s[some], 1.0)
+        return best_e, np.minimum(best_s, 1.0)
+
+    def lean(self, marks: list[int], own: int | None = None) -> float:
+        """Log likelihood ratio of the label by the marks of a text; own is the class of an example that is left out itself."""
+        at = np.asarray(marks, np.int64)
+        n = [self.marked[y][at] - (own == y) for y in (0, 1)]
+        out = [self.have[y] - (own == y) + 1 for y in (0, 1)]
+        return math.fsum(np.log((n[1] + 0.5) / out[1]) - np.log((n[0] + 0.5) / out[0]))
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Log odds of the similarity-weighted vote; the base rate votes too."""
@@ -178,40 +200,45 @@ class Index:
         no = (w * (1 - self.toxic[e])).sum() + PRIOR_VOTES * (1 - self.base)
         return math.log(max(yes, 1e-9) / max(no, 1e-9))
 
-    def calibrate(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        """Logistic fit of the labels on the examples' votes without themselves."""
-        some = [i for i, v in enumerate(vectors) if len(v[0]) > 1]
-        some = some[::max(1, -(-len(some) // CALIBRATION))]
-        x = np.array([self.vote(*self.nearest(*vectors[i], without=i)) for i in some])
+    def calibrate(self, votes: np.ndarray, leans: np.ndarray) -> None:
+        """Logistic fit of the labels on the examples' votes and leans without themselves; NaN where an example has no word."""
+        some = np.flatnonzero(~np.isnan(votes))
+        x = np.column_stack([votes[some], leans[some], np.ones(len(some))])
         y, w = self.toxic[some], self.weight[some]
         if len(some) < 10 or y.min() == y.max():
             return
-        a, b = 1.0, 0.0
+        start = fit = np.array([1.0, 0.0, 0.0])
+
+        def loss(c: np.ndarray) -> float:
+            z = x @ c
+            return (w * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * ((c - start)**2).sum()
+
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(w * (p - y) * x).sum() + 1e-3 * (a - 1), (w * (p - y)).sum() + 1e-3 * b])
-            r = w * np.maximum(p * (1 - p), 1e-9)
-            h = np.array([[(r * x * x).sum() + 1e-3, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]])
+            p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+            g = x.T @ (w * (p - y)) + 1e-3 * (fit - start)
+            h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(3)
             step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
+            while loss(fit - step) > loss(fit) and np.abs(step).max() >= 1e-8:
+                step = step / 2
+            fit = fit - step
             if np.abs(step).max() < 1e-8:
                 break
-        if np.isfinite([a, b]).all() and a > 0:
-            self.slope, self.shift = float(a), float(b)
+        if np.isfinite(fit).all():
+            self.slope, self.pull, self.shift = map(float, fit)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+    def judged(self, found: list[int], value: np.ndarray, marks: list[int]) -> tuple[float, list[int], list[float]]:
         """Probability of the label, and the evidence: ids of the nearest examples and their cosines."""
-        return self.judged(*self.vector(text))
-
-    def judged(self, found: list[int], value: np.ndarray) -> tuple[float, list[int], list[float]]:
-        """What score gives, for a vector."""
-        if len(found) < 2 or not len(self.ids):
+        if not len(self.ids) or not value.any():
             return self.featureless, [], []
         e, s = self.nearest(found, value)
-        z = self.slope * self.vote(e, s) + self.shift
+        z = self.slope * self.vote(e, s) + self.pull * self.lean(marks) + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.ids[e].tolist(), s.tolist()
 
 
+def idf(total: int, df: int) -> float:
+    return math.log((1 + total) / (1 + df)) + 1
+
+
 def examples(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
              label_col: str) -> tuple[DataFrame, dict[int, int]]:
     """(id, toxic, text) of the chosen training rows, and how many training rows each class has."""
@@ -226,20 +253,54 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str,
 
 
 def features(rows: DataFrame, model: Index, text_col: str = "text") -> DataFrame:
-    """rows with (words, counts, size) in place of the text: known features, how often each occurs, different words."""
-    known, begins, at = model.words, model.begins, rows.columns.index(text_col)
+    """rows with what the model asks of a text in its place.
+
+    words and counts: which words of the examples it has and how often; others and other_counts: the same of
+    all its other words; marks: the marks in it.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins))  # bounded by the examples
+    at = rows.columns.index(text_col)
     kept = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, marks, begins = sent.value
         for batch in batches:
-            found = [counted(t.as_py(), known, begins) for t in batch.column(at)]
-            made = [pa.array([list(f) for f, _ in found], pa.list_(pa.int32())),
-                    pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())]
+            out: list[list] = [[] for _ in range(5)]
+            for text in batch.column(at):
+                seen = Counter(terms(text.as_py()))
+                known = sorted((words[w], n) for w, n in seen.items() if w in words)
+                others = [(w, n) for w, n in seen.items() if w not in words]
+                for column, x in zip(out, ([w for w, _ in known], [n for _, n in known], [w for w, _ in others],
+                                           [n for _, n in others], marks_in(seen, marks, begins)), strict=True):
+                    column.append(x)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            made = [pa.array(x, pa.list_(kind)) for x, kind in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *made],
-                                             names=[*kept, "words", "counts", "size"])
+                                             names=[*kept, "words", "counts", "others", "other_counts", "marks"])
 
     form = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
-    return rows.mapInArrow(run, ", ".join([*form, "words array<int>, counts array<int>, size int"]))
+    return rows.mapInArrow(run, ", ".join([*form, "words array<int>, counts array<int>, others array<string>, "
+                                                  "other_counts array<int>, marks array<int>"]))
+
+
+def with_others(found: DataFrame, total: int) -> DataFrame:
+    """The rows of features, which have a number ``row``, with other_squares: the sum of the squared weights of the other words.
+
+    Frequent words are joined by broadcast, so that no task gets all rows of one.
+    """
+    pairs = found.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("p")).select(
+        "row", F.col("p.others").alias("word"), F.col("p.other_counts").alias("n"))
+    df = saved(pairs.groupBy("word").agg(F.count("*").alias("df")), "other-words")
+    often = df.where(F.col("df") > max(20.0, total * OFTEN))
+    rare = df.where(F.col("df") <= max(20.0, total * OFTEN))
+    joined = pairs.join(F.broadcast(often), "word").union(
+        pairs.join(F.broadcast(often), "word", "left_anti").join(rare.hint("merge"), "word").select("word", "row", "n", "df"))
+    weight = (1 + F.log("n")) * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1)
+    # Added in order, so that equal texts get equal sums.
+    squares = joined.groupBy("row").agg(F.aggregate(F.array_sort(F.collect_list(weight * weight)), F.lit(0.0), lambda a, x: a + x)
+                                        .alias("other_squares"))
+    out = with_small(found.drop("others", "other_counts"), saved(squares, "other-squares"), ["row"], "left")
+    return out.withColumn("other_squares", F.coalesce("other_squares", F.lit(0.0)))
 
 
 @dataclass
@@ -262,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
 
 def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
                label_col: str) -> tuple[Index, Training]:
-    """A model that knows its features only, and what it is to be trained on."""
+    """A model that knows its words and marks only, and what it is to be trained on."""
     rows, totals = examples(docs, labels, max_examples, id_col, text_col, label_col)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,77 +347,111 @@ def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: st
     gap = a * (n0 - b) - b * (n1 - a)
     with_, without = a + b, n - a - b
     chi2 = n * gap * gap / (with_ * without * n0 * n1)
-    words = (rows.select("toxic", "text").mapInArrow(presence, "word string, n0 long, n1 long")
+    marks = (rows.select("toxic", "text").mapInArrow(presence, "word string, n0 long, n1 long")
              .groupBy("word").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
              .where((with_ >= 3) & (without > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-             .orderBy(F.desc("chi2"), "word").limit(MAX_FEATURES).select("word").collect())
-    model.words = {r[0]: i for i, r in enumerate(words)}
-    model.begins = heads(model.words)
+             .orderBy(F.desc("chi2"), "word").limit(MAX_FEATURES).select("word", "n0", "n1").collect())
+    model.marks = {r[0]: i for i, r in enumerate(marks)}
+    model.begins = heads(model.marks)
+    model.marked = np.array([[r[1 + y] for r in marks] for y in (0, 1)], np.float64)
+    model.have = np.array([n0, n1], np.float64)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = Counter(w for text in batch.column(0).to_pylist() for w in set(terms(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    words = rows.select("text").mapInArrow(distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    # Frequent words come first, as the first word of an example decides its block.
+    words = words.sort_by([("n", "descending"), ("word", "ascending")]).column("word").to_pylist()
+    model.words = {w: i for i, w in enumerate(words)}
     return model, training
 
 
 def index_examples(model: Index, training: Training, all_features: DataFrame) -> None:
     """Weights by document frequencies over all documents, then the examples' index and calibration."""
-    df = dict(all_features.select(F.explode("words").alias("w")).groupBy("w").count().collect())  # a row per feature
-    total = all_features.count()
-    model.idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(model.words))])
-    got = features(training.rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text"), model).collect()
+    df = all_features.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).toArrow()  # a row per word
+    model.total = all_features.count()
+    count = np.zeros(len(model.words))
+    count[df.column("w").to_numpy()] = df.column("n").to_numpy()
+    model.idf = np.log((1 + model.total) / (1 + count)) + 1
+    rows = training.rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text").withColumn("row", F.monotonically_increasing_id())
+    rows = saved(features(rows, model).drop("others", "other_counts"), "example-features")  # examples have no other words
+    got = rows.toArrow()
+    id_, y, row = (got.column(c).to_numpy() for c in ("id", "toxic", "row"))
+    words, counts, marks = (got.column(c) for c in ("words", "counts", "marks"))
     totals, n0, n1, base = training.totals, training.have.get(0, 0), training.have.get(1, 0), model.base
-    share = {0: totals.get(0, 0) / n0, 1: totals.get(1, 0) / n1}
-    empty = [r for r in got if not r["words"]]
-    odds = [sum(share[r["toxic"]] for r in empty if r["toxic"] == y) for y in (0, 1)]
-    model.featureless = (odds[1] + base) / (sum(odds) + 1)
-    # Blocks hold examples of one class with the same leading feature, so that their bounds are tight.
-    got = sorted((r for r in got if r["size"]), key=lambda r: (r["toxic"], r["words"][:1] or [len(model.words)], r["id"]))
-    vectors = [model.weigh(r["words"], r["counts"], r["size"]) for r in got]
-    model.ids = np.array([r["id"] for r in got], np.int64)
-    model.toxic = np.array([r["toxic"] for r in got], np.float64)
-    model.weight = np.array([share[r["toxic"]] for r in got])
-    model.build(vectors)
-    model.calibrate(vectors)
-
-
-def score(rows: DataFrame, model: Index, threshold: float = 0.5) -> DataFrame:
-    """(id, held_out, score, predicted, evidence array<long>, cosines array<double>) of rows (id, words, counts, size)."""
+    share = np.array([totals.get(0, 0) / n0, totals.get(1, 0) / n1])
+    size = np.array([len(w) for w in words])
+    odds = [share[c] * ((size == 0) & (y == c)).sum() for c in (0, 1)]
+    model.featureless = float((odds[1] + base) / (sum(odds) + 1))
+    # Blocks hold examples with the same most frequent word and alike lengths, so that their bounds are tight.
+    first = np.array([w[0].as_py() if len(w) else len(model.words) for w in words])
+    order = [int(i) for i in np.lexsort((row, id_, size, first)) if size[i]]
+    model.ids, model.toxic, model.weight = id_[order].astype(np.int64), y[order].astype(np.float64), share[y[order]]
+    model.build([model.weigh(words[i].values.to_numpy(), counts[i].values.to_numpy(), 0.0) for i in order])
+    leans = np.array([model.lean(marks[i].values.to_numpy(), int(y[i])) for i in order])
+    place = {int(row[i]): at for at, i in enumerate(order)}
+    sent = rows.sparkSession.sparkContext.broadcast((model, place))  # bounded by max_examples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, at = sent.value
+        for batch in batches:
+            out = [(at[r], index.vote(*index.nearest(*index.weigh(w, c, 0.0), without=at[r])))
+                   for r, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())],
+                                             names=["at", "vote"])
+
+    got = rows.select("row", "words", "counts").mapInArrow(run, "at long, vote double").toArrow()
+    votes = np.full(len(order), np.nan)
+    votes[got.column("at").to_numpy()] = got.column("vote").to_numpy()
+    model.calibrate(votes, leans)
+
+
+def scored(rows: DataFrame, model: Index) -> DataFrame:
+    """rows of with_others without what describes the text, but with score, evidence array<long>, cosines array<double>."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and MAX_FEATURES
+    asked = ["words", "counts", "other_squares", "marks"]
+    kept = [c for c in rows.columns if c not in [*asked, "row"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            vectors = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
-            out = [index.judged(*index.weigh(w, c, n)) if w else (index.featureless, [], []) for w, c, n in vectors]
+            texts = zip(*(batch.column(len(kept) + i).to_pylist() for i in range(4)), strict=True)
+            out = [index.judged(*index.weigh(w, c, q), m) for w, c, q, m in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.float64()),
+                [*(batch.column(i) for i in range(len(kept))), pa.array([x[0] for x in out], pa.float64()),
                  pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
-                names=["id", "score", "evidence", "cosines"])
+                names=[*kept, "score", "evidence", "cosines"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "words", "counts", "size").mapInArrow(
-        run, f"id {kind}, score double, evidence array<long>, cosines array<double>")
-    return found.select("id", (fold(F.col("id")) == 0).alias("held_out"), "score",
-                        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", "cosines")
+    form = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.select(*kept, *asked).mapInArrow(run, ", ".join([*form, "score double, evidence array<long>, cosines array<double>"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id",
-             text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Scores of all rows by the examples among them. Each text is read for features once; nothing is shuffled but counts."""
+def learnt_and_scored(docs: DataFrame, labels: DataFrame, kept: Column, max_examples: int, id_col: str, text_col: str,
+                      label_col: str) -> DataFrame:
+    """kept as ``kept``, score, evidence and cosines of each row of docs; each text is read for features once."""
     model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
-    found = saved(features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model), "features")
-    if model.words:
-        index_examples(model, training, found)
-    return score(found, model).withColumnRenamed("id", id_col)
+    rows = docs.select(kept.alias("kept"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    if not model.words:
+        return rows.select("kept", F.lit(model.featureless).alias("score"), F.array().cast("array<long>").alias("evidence"),
+                           F.array().cast("array<double>").alias("cosines"))
+    found = saved(features(rows, model), "features")
+    index_examples(model, training, found)
+    return scored(with_others(found, model.total), model)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id",
+             text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """(id, held_out, score, predicted, evidence, cosines) of all rows by the examples among them."""
+    found = learnt_and_scored(docs, labels, F.col(id_col), max_examples, id_col, text_col, label_col)
+    return found.select(F.col("kept").alias(id_col), (fold(F.col("kept")) == 0).alias("held_out"), "score",
+                        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", "cosines")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, unchanged."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        for batch in batches:
-            yield batch.filter(pa.array([index.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = learnt_and_scored(docs, labels, row, MAX_EXAMPLES, id_col, text_col, "toxic")
+    return found.where(F.col("score") < threshold).select(*[F.col(f"kept.`{c}`") for c in docs.columns])

@@ -183,6 +183,29 @@ def test_block_max_search_is_exact(spark):
         assert np.allclose(s, np.minimum(scores[order], 1)) and set(np.round(scores[e], 9)) == set(np.round(scores[order], 9))
 
 
+def test_toxicity_finds_cosines_over_all_words(spark):
+    """Copies of examples and texts without a word that tells the classes apart have neighbours, too."""
+    docs, labels = labelled(spark, 300, 5)
+    rng = random.Random(6)
+    plain = [(1000 + i, prose(rng, 30) + f" rare{i % 3} only{i}", "en", "e", "w", "l") for i in range(30)]
+    copies = docs.where("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 2000)
+    docs = docs.union(spark.createDataFrame(plain, FORM)).union(copies)
+    rows = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    words = {r["doc_id"]: collections.Counter(re.findall(r"[^\W_]+", r["text"].lower())) for r in docs.collect()}
+    df = collections.Counter(w for c in words.values() for w in c)
+    weigh = {i: {w: (1 + np.log(n)) * (np.log((1 + len(words)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in words.items()}
+    size = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in weigh.items()}
+    train = [r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    assert rows.keys() == words.keys()
+    for i, v in weigh.items():
+        cosine = {e: sum(x * weigh[e].get(w, 0) for w, x in v.items()) / size[i] / size[e] for e in train}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:toxicity.NEIGHBOURS]
+        assert rows[i]["cosines"] == pytest.approx(best)
+        assert [cosine[e] for e in rows[i]["evidence"]] == pytest.approx(rows[i]["cosines"])
+    for i in range(2000, 2030):
+        assert rows[i]["cosines"][0] == pytest.approx(1) or i - 2000 not in train
+
+
 def test_toxicity_edge_cases(spark, docs, empty, odd):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (7, 0)], "doc_id long, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
