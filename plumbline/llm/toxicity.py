@@ -6,8 +6,9 @@ form an inverted index whose postings are cut into blocks of examples with the l
 weight of each word in each block; a query visits blocks by falling upper bound and stops
 when no further block can enter its k nearest, so the result is exact. The neighbours vote
 with weights that grow with similarity, and they are the evidence. Beside the vote stands the
-lean of a text: the log likelihood ratios, summed, of the marks in it, the words and beginnings
-of words whose presence is most associated with the label among the examples. A logistic fit on
+lean of a text: the log likelihood ratios of the marks in it, the words and beginnings of words
+whose presence is most associated with the label among the examples, summed over all marks and
+over the strongest, and the log of how many words it has. A logistic fit on
 the examples' own votes and leans, each without itself, turns both into a calibrated score.
 
 ``max_examples`` bounds the labelled rows per class that are learnt from (those with the
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import saved, with_small
 
 FOLDS = 5
-MAX_EXAMPLES = 3000
-MAX_FEATURES = 2048
+MAX_EXAMPLES = 6000
+MAX_FEATURES = 4096
 MIN_CHI2 = 15.0
 NEIGHBOURS = 24
 BLOCK = 64
+#: Marks whose ratios are also summed apart, as few strong ones can be outweighed by many weak ones.
+STRONGEST = 3
 #: Pseudo-similarity that the base rate votes with.
 PRIOR_VOTES = 0.25
 
@@ -107,7 +110,7 @@ class Index:
     base: float = 0.5
     featureless: float = 0.5
     slope: float = 1.0
-    pull: float = 0.0
+    pull: np.ndarray = field(default_factory=lambda: np.zeros(3))
     shift: float = 0.0
     marks: dict[str, int] = field(default_factory=dict)
     begins: set[str] = field(default_factory=set)
@@ -186,12 +189,14 @@ class Index:
             best_e, best_s = mine[best], score[best]
         return best_e, np.minimum(best_s, 1.0)
 
-    def lean(self, marks: list[int], own: int | None = None) -> float:
-        """Log likelihood ratio of the label by the marks of a text; own is the class of an example that is left out itself."""
+    def lean(self, marks: list[int], size: int, own: int | None = None) -> np.ndarray:
+        """Log likelihood ratios of the label by the marks of a text of so many words: their sum, and that of the
+        STRONGEST; and the log of 1 + size. own is the class of an example that is left out itself."""
         at = np.asarray(marks, np.int64)
         n = [self.marked[y][at] - (own == y) for y in (0, 1)]
         out = [self.have[y] - (own == y) + 1 for y in (0, 1)]
-        return math.fsum(np.log((n[1] + 0.5) / out[1]) - np.log((n[0] + 0.5) / out[0]))
+        ratios = np.sort(np.log((n[1] + 0.5) / out[1]) - np.log((n[0] + 0.5) / out[0]))
+        return np.array([ratios.sum(), ratios[-STRONGEST:].sum(), math.log1p(size)])
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Log odds of the similarity-weighted vote; the base rate votes too."""
@@ -207,7 +212,7 @@ class Index:
         y, w = self.toxic[some], self.weight[some]
         if len(some) < 10 or y.min() == y.max():
             return
-        start = fit = np.array([1.0, 0.0, 0.0])
+        start = fit = np.eye(x.shape[1])[0]
 
         def loss(c: np.ndarray) -> float:
             z = x @ c
@@ -216,7 +221,7 @@ class Index:
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
             g = x.T @ (w * (p - y)) + 1e-3 * (fit - start)
-            h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(3)
+            h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
             step = np.linalg.solve(h, g)
             while loss(fit - step) > loss(fit) and np.abs(step).max() >= 1e-8:
                 step = step / 2
@@ -224,14 +229,14 @@ class Index:
             if np.abs(step).max() < 1e-8:
                 break
         if np.isfinite(fit).all():
-            self.slope, self.pull, self.shift = map(float, fit)
+            self.slope, self.pull, self.shift = float(fit[0]), fit[1:-1], float(fit[-1])
 
-    def judged(self, found: list[int], value: np.ndarray, marks: list[int]) -> tuple[float, list[int], list[float]]:
+    def judged(self, found: list[int], value: np.ndarray, marks: list[int], size: int) -> tuple[float, list[int], list[float]]:
         """Probability of the label, and the evidence: ids of the nearest examples and their cosines."""
         if not len(self.ids) or not value.any():
             return self.featureless, [], []
         e, s = self.nearest(found, value)
-        z = self.slope * self.vote(e, s) + self.pull * self.lean(marks) + self.shift
+        z = self.slope * self.vote(e, s) + float(self.pull @ self.lean(marks, size)) + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.ids[e].tolist(), s.tolist()
 
 
@@ -256,7 +261,7 @@ def features(rows: DataFrame, model: Index, text_col: str = "text") -> DataFrame
     """rows with what the model asks of a text in its place.
 
     words and counts: which words of the examples it has and how often; others and other_counts: the same of
-    all its other words; marks: the marks in it.
+    all its other words; marks: the marks in it; size: how many different words it has.
     """
     sent = rows.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins))  # bounded by the examples
     at = rows.columns.index(text_col)
@@ -266,6 +271,7 @@ def features(rows: DataFrame, model: Index, text_col: str = "text") -> DataFrame
         words, marks, begins = sent.value
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
+            size = []
             for text in batch.column(at):
                 seen = Counter(terms(text.as_py()))
                 known = sorted((words[w], n) for w, n in seen.items() if w in words)
@@ -273,14 +279,16 @@ def features(rows: DataFrame, model: Index, text_col: str = "text") -> DataFrame
                 for column, x in zip(out, ([w for w, _ in known], [n for _, n in known], [w for w, _ in others],
                                            [n for _, n in others], marks_in(seen, marks, begins)), strict=True):
                     column.append(x)
+                size.append(len(seen))
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
             made = [pa.array(x, pa.list_(kind)) for x, kind in zip(out, kinds, strict=True)]
+            made.append(pa.array(size, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *made],
-                                             names=[*kept, "words", "counts", "others", "other_counts", "marks"])
+                                             names=[*kept, "words", "counts", "others", "other_counts", "marks", "size"])
 
     form = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
     return rows.mapInArrow(run, ", ".join([*form, "words array<int>, counts array<int>, others array<string>, "
-                                                  "other_counts array<int>, marks array<int>"]))
+                                                  "other_counts array<int>, marks array<int>, size int"]))
 
 
 def with_others(found: DataFrame, total: int) -> DataFrame:
@@ -390,7 +398,7 @@ def index_examples(model: Index, training: Training, all_features: DataFrame) ->
     order = [int(i) for i in np.lexsort((row, id_, size, first)) if size[i]]
     model.ids, model.toxic, model.weight = id_[order].astype(np.int64), y[order].astype(np.float64), share[y[order]]
     model.build([model.weigh(words[i].values.to_numpy(), counts[i].values.to_numpy(), 0.0) for i in order])
-    leans = np.array([model.lean(marks[i].values.to_numpy(), int(y[i])) for i in order])
+    leans = np.array([model.lean(marks[i].values.to_numpy(), int(size[i]), int(y[i])) for i in order]).reshape(len(order), 3)
     place = {int(row[i]): at for at, i in enumerate(order)}
     sent = rows.sparkSession.sparkContext.broadcast((model, place))  # bounded by max_examples
 
@@ -411,14 +419,14 @@ def index_examples(model: Index, training: Training, all_features: DataFrame) ->
 def scored(rows: DataFrame, model: Index) -> DataFrame:
     """rows of with_others without what describes the text, but with score, evidence array<long>, cosines array<double>."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and MAX_FEATURES
-    asked = ["words", "counts", "other_squares", "marks"]
+    asked = ["words", "counts", "other_squares", "marks", "size"]
     kept = [c for c in rows.columns if c not in [*asked, "row"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            texts = zip(*(batch.column(len(kept) + i).to_pylist() for i in range(4)), strict=True)
-            out = [index.judged(*index.weigh(w, c, q), m) for w, c, q, m in texts]
+            texts = zip(*(batch.column(len(kept) + i).to_pylist() for i in range(5)), strict=True)
+            out = [index.judged(*index.weigh(w, c, q), m, n) for w, c, q, m, n in texts]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(kept))), pa.array([x[0] for x in out], pa.float64()),
                  pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],

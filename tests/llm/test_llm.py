@@ -206,6 +206,13 @@ def test_toxicity_finds_cosines_over_all_words(spark):
         assert rows[i]["cosines"][0] == pytest.approx(1) or i - 2000 not in train
 
 
+def test_toxicity_learns_from_all_bounded_examples(spark):
+    rows = [(i, f"shared word{i % 7}" + (" vile" if i % 10 == 0 else ""), "en", "e", "w", "l") for i in range(4500)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 10 == 0)) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, FORM), labels)
+    assert sorted(model.ids) == [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+
+
 def test_toxicity_edge_cases(spark, docs, empty, odd):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (7, 0)], "doc_id long, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
