@@ -1,10 +1,10 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of whole windows of lines.
 
 A document is the sequence of its lines that are not blank. Every window of ``run`` lines
-selects its smallest line hash as a fingerprint, so any two equal windows select the same
-line; a line of at least ``long_chars`` characters is also a window by itself. Positions
-that share a fingerprint are joined, and from each the windows around it are compared both
-ways with their earliest occurrence. A window that occurred earlier, in the order of id and
+gets a key of all its lines; a line of at least ``long_chars`` characters is also a window by
+itself. Windows whose smallest line hash occurs in no other window are dropped first; the
+others are grouped by key and compared with their earliest occurrence. No positions are
+selected and no match is extended, as in winnowing: full window keys replace both. A window that occurred earlier, in the order of id and
 position, is deleted; overlapping windows make the whole repeated run, and the earliest
 occurrence of a run stays. So a line goes exactly if it lies in a run of at least ``run``
 lines, or is a long line, that occurs earlier.
