@@ -1,9 +1,10 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard self-join: MinHash LSH by bands of one length, then exact verification.
 
-Each distinct text is one node. A forest of tries keeps, for every tree, the prefix of the
-text's MinHash signature. The prefix starts at full depth and is shortened until two texts
-at the threshold meet in some tree with the target probability; texts that share a prefix
-of that length meet. Texts that meet, directly or through others, form a candidate group.
+Each distinct text is one node. Every tree gives it one code of a prefix of its MinHash
+signature. All prefixes have one length, the longest at which two texts at the threshold meet
+in some tree with the target probability; it follows from threshold, recall and trees alone,
+so no trie is sorted and no prefix depends on the data. Texts that share a code meet. A
+target that no length reaches is an error. Texts that meet, directly or through others, form a candidate group.
 Within each group all pairs are verified exactly on their shingle sets, by products of
 incidence matrices; large groups are split into blocks and every pair of blocks is a unit
 of work, so pairs are neither emitted as rows nor held in one task.
@@ -43,10 +44,10 @@ _TIMES = _RNG.integers(1, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
 
 def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
     """The longest prefix at which texts of this similarity meet in some tree with this probability."""
-    for length in range(depth, 1, -1):
+    for length in range(depth, 0, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
             return length
-    return 1
+    raise ValueError(f"recall {recall} at threshold {threshold} cannot be reached with {trees} trees")
 
 
 def labels(hashes: np.ndarray, at: np.ndarray, trees: int, length: int) -> np.ndarray:

@@ -464,6 +464,12 @@ def test_ngram_join_edge_cases(empty, odd):
     assert ngram_join.prefix_length(0.8, 0.999) == 6
 
 
+def test_unreachable_recall_is_an_error():
+    assert ngram_join.prefix_length(0.3, 0.999) == 1
+    with pytest.raises(ValueError):
+        ngram_join.prefix_length(0.2, 0.999)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(5, 5)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
