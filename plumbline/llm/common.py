@@ -10,8 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a side that is broadcast; each holds a few numbers or short strings.
+#: Most rows of a side that is broadcast; each holds a few numbers.
 BROADCAST_ROWS = 2_000_000
+#: Most bytes of a side that is broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,16 +45,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a saved table of numbers take at most ``limit`` bytes; counted in its footers.
+
+    A row takes 8 bytes a column, and 8 for what Spark keeps beside it.
+    """
+    most = limit // (8 * len(table.columns) + 8)
+    return table.limit(most + 1).count() <= most
+
+
 def with_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-               limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join left with a saved table of few narrow columns.
+               limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join left with a saved table of numbers.
 
-    The right side is counted (a footer read, as it is saved) and broadcast only up to
-    ``limit`` rows; beyond it Spark shuffles both sides and may split skewed partitions.
+    The right side is broadcast only up to ``limit`` bytes; beyond it Spark shuffles both
+    sides and may split skewed partitions.
     """
-    if right.limit(limit + 1).count() <= limit:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    return left.join(F.broadcast(right) if is_small(right, limit) else right, on, how)
 
 
 def range_bucket(value: Column, bounds: Sequence[int]) -> Column:
@@ -82,5 +91,14 @@ def bucket_of(value: int | None, bounds: Sequence[int]) -> int:
     return max(0, at if at < len(bounds) and bounds[at] == value else at - 1)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt out evenly; others as they are.
+
+    For work that takes long per row; such a scan is small, so its shuffle is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,9 +2,11 @@
 
 The terms are all words: those of the examples are indexed, and the others of a text count in
 its length. Document frequencies of both are counted over all documents. The examples' vectors
-form an inverted index whose postings are cut into blocks of examples with the largest
-weight of each word in each block; a query visits blocks by falling upper bound and stops
-when no further block can enter its k nearest, so the result is exact. The neighbours vote
+form an inverted index in blocks of examples. A query reads the postings of its rare words whole.
+Those of frequent words lie block by block, beside the largest weight of each word in each block;
+a block's bound is its best score by rare words plus what the largest weights add. The blocks of
+highest bound are read first, and then only those whose bound reaches the k-th best score so far.
+The best are scored again in double precision, so the result is exact. The neighbours vote
 with weights that grow with similarity, and they are the evidence. Beside the vote stands the
 lean of a text: the log likelihood ratios of the marks in it, the words and beginnings of words
 whose presence is most associated with the label among the examples, summed over all marks and
@@ -12,8 +14,9 @@ over the strongest, and the log of how many words it has. A logistic fit on
 the examples' own votes and leans, each without itself, turns both into a calibrated score.
 
 ``max_examples`` bounds the labelled rows per class that are learnt from (those with the
-smallest hash of the id); all else covers all documents. The index is bounded by it, so it
-can be sent to every task.
+smallest hash of the id); all else covers all documents. Index and marks are bounded by it, so
+they can be sent to every task; they travel as word numbers and counts, and each worker makes
+its postings once.
 
 Defined results: null and empty texts, and texts without any word, get the share of
 toxic examples without words; missing labels and a class without examples give the
@@ -26,21 +29,29 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, with_small
+from .common import is_small, saved, spread, with_small
 
 FOLDS = 5
 MAX_EXAMPLES = 6000
-MAX_FEATURES = 4096
 MIN_CHI2 = 15.0
 NEIGHBOURS = 24
 BLOCK = 64
+#: Blocks that a query reads before it knows a k-th best score; queries that are searched for together.
+FIRST_BLOCKS = 8
+TOGETHER = 128
+#: Words are frequent if at least this share of the examples has them; at most so many are, for memory.
+FREQUENT = 1 / 16
+MOST_FREQUENT = 1024
+#: Single-precision scores are this close to exact ones, with room to spare.
+SLACK = 1e-5
 #: Marks whose ratios are also summed apart, as few strong ones can be outweighed by many weak ones.
 STRONGEST = 3
 #: Pseudo-similarity that the base rate votes with.
@@ -70,9 +81,9 @@ def heads(known: dict[str, int]) -> set[str]:
     return {w[:HEADS[0]] for w in known}
 
 
-def marks_in(words: Iterable[str], known: dict[str, int], begins: set[str]) -> list[int]:
+def marks_in(words: Iterable[str], known: dict[str, int], begins: set[str]) -> np.ndarray:
     """The different known marks in words, by number, ascending."""
-    return sorted({known[f] for w in words if w[:HEADS[0]] in begins for f in features_of(w) if f in known})
+    return np.array(sorted({known[f] for w in words if w[:HEADS[0]] in begins for f in features_of(w) if f in known}), np.int64)
 
 
 def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,6 +108,31 @@ def largest_of(e: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return e[keep], s[keep]
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Integers from 0 in as few bytes each as the largest needs, after that number."""
+    most = int(a.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+@dataclass
+class Lists:
+    """What a search reads, made from the examples' word numbers and counts."""
+
+    value: np.ndarray  # by example and word
+    example: np.ndarray  # by word and example, as is weight
+    weight: np.ndarray
+    at: np.ndarray  # where the postings of each word begin
+    frequent: int  # words below this number are frequent
+    blocks: np.ndarray  # weights of frequent words: examples, padded to whole blocks, x words
+    largest: np.ndarray  # blocks x words
+    same: np.ndarray  # the first example with an equal vector
+
+
 @dataclass
 class Index:
     """Examples as an inverted index in blocks, with the fit that calibrates votes."""
@@ -107,6 +143,10 @@ class Index:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Of each example, where its words begin; the words and how often it has them.
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    word: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
     base: float = 0.5
     featureless: float = 0.5
     slope: float = 1.0
@@ -117,79 +157,124 @@ class Index:
     #: Examples of each class that have a mark, and examples of each class.
     marked: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     have: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    lists: Lists | None = field(default=None, repr=False, compare=False)
+
+    def to_send(self) -> Index:
+        """What searches need, without what only reading texts needs."""
+        return replace(self, words={}, marks={}, begins=set(), lists=None)
 
-    def vector(self, text: str | None, df: dict[str, int] | None = None) -> tuple[list[int], np.ndarray]:
+    def vector(self, text: str | None, df: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Words of a text and their weights, of length 1 together; df has the document frequencies of words outside the examples."""
         seen = Counter(terms(text))
         found = sorted((self.words[w], n) for w, n in seen.items() if w in self.words)
         others = sum(((1 + math.log(n)) * idf(self.total, (df or {}).get(w, 0)))**2 for w, n in seen.items() if w not in self.words)
-        return self.weigh([w for w, _ in found], [n for _, n in found], others)
+        return self.weigh(np.array([w for w, _ in found], np.int64), np.array([n for _, n in found], np.int64), others)
 
-    def weigh(self, found: list[int], counts: list[int], others: float) -> tuple[list[int], np.ndarray]:
-        """The last weight is that of all words which no example has; others is the sum of their squares."""
-        value = np.append((1 + np.log(np.asarray(counts, np.float64))) * self.idf[found], math.sqrt(others))
+    def weigh(self, found: np.ndarray, counts: np.ndarray, others: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending words and their weights; a last one is that of all words which no example has, others the sum of their squares."""
+        value = np.append((1 + np.log(counts)) * self.idf[found], math.sqrt(others))
         size = np.sqrt((value**2).sum())
-        return [*found, len(self.words)], value / size if size else value
-
-    def build(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        """Postings by word and example, and an entry for each word and block: where its postings begin and the largest weight."""
-        n = [len(found) - 1 for found, _ in vectors]
-        word = np.concatenate([np.zeros(0, np.int64), *(np.asarray(found[:-1], np.int64) for found, _ in vectors)])
-        value = np.concatenate([np.zeros(0), *(v[:-1] for _, v in vectors)])
-        order = np.argsort(word, kind="stable")
-        word, self.value = word[order], value[order]
-        self.example = np.repeat(np.arange(len(vectors), dtype=np.int32), n)[order]
-        block = self.example // BLOCK
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        self.posting_at = np.append(starts, len(word))
-        self.entry_block = block[starts]
-        self.entry_largest = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0)
-        self.entry_at = np.searchsorted(word[starts], np.arange(len(self.words) + 1))
-        self.rest = np.zeros(len(vectors))
-        self.block = np.arange(len(vectors)) // BLOCK
+        return np.append(found, len(self.idf)), value / size if size else value
+
+    @property
+    def rest(self) -> np.ndarray:
+        """Weights of words that no example has: none."""
+        return np.zeros(len(self.ids))
 
     @property
     def postings(self) -> list[tuple[np.ndarray, ...]]:
         """Of each word: examples and weights, and its blocks of examples with the largest weight in each."""
-        out = []
-        for a, b in zip(self.entry_at[:-1], self.entry_at[1:], strict=True):
-            at = slice(self.posting_at[a], self.posting_at[b])
-            out.append((self.example[at], self.value[at], self.entry_block[a:b], self.entry_largest[a:b]))
+        made, out = self.ready(), []
+        for a, b in zip(made.at[:-1], made.at[1:], strict=True):
+            e, v = made.example[a:b], made.weight[a:b]
+            block, first = np.unique(e // BLOCK, return_index=True)
+            out.append((e, v, block, np.maximum.reduceat(v, first) if len(v) else v))
         return out
 
-    def nearest(self, found: list[int], value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, and it; ties by place in the index."""
-        w = np.asarray(found[:-1], np.int64)
-        a, b = self.entry_at[w], self.entry_at[w + 1]
-        entries, v = ranges(a, b), np.repeat(value[:-1], b - a)
-        blocks = self.entry_block[entries]
-        bound = np.bincount(blocks, v * self.entry_largest[entries], minlength=-(-len(self.ids) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        at, n = 0, 4
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best_s) >= k:
-                if bound[order[at]] < best_s[-1] - 1e-12:
-                    break
-                n = min(n, int((bound[order[at:]] >= best_s[-1] - 1e-12).sum()))
-            chosen = np.zeros(len(bound), bool)
-            chosen[order[at:at + n]] = True
-            at, n = at + n, 4 * n
-            now = chosen[blocks]
-            a, b = self.posting_at[entries[now]], self.posting_at[entries[now] + 1]
-            places = ranges(a, b)
-            total = np.bincount(self.example[places], np.repeat(v[now], b - a) * self.value[places], minlength=len(self.ids))
-            if without >= 0:
-                total[without] = 0
-            mine = np.flatnonzero(total)
-            mine, score = largest_of(np.concatenate([best_e, mine]), np.concatenate([best_s, total[mine]]), k)
-            best = np.lexsort((mine, -score))
-            best_e, best_s = mine[best], score[best]
-        return best_e, np.minimum(best_s, 1.0)
-
-    def lean(self, marks: list[int], size: int, own: int | None = None) -> np.ndarray:
+    def ready(self) -> Lists:
+        """Postings, blocks and largest weights; made once in each worker."""
+        if self.lists is None:
+            n, sizes = len(self.ids), np.diff(self.at)
+            word = self.word.astype(np.int64)
+            value = (1 + np.log(self.count.astype(np.float64))) * self.idf[word]
+            if n:
+                value /= np.repeat(np.sqrt(np.add.reduceat(value**2, self.at[:-1])), sizes)
+            order = np.argsort(word, kind="stable")
+            example, weight = np.repeat(np.arange(n), sizes)[order], value[order]
+            at = np.searchsorted(word[order], np.arange(len(self.idf) + 1))
+            # Words are numbered by falling number of examples.
+            frequent = min(MOST_FREQUENT, int((np.diff(at) >= max(1, n * FREQUENT)).sum()))
+            blocks = np.zeros((-(-n // BLOCK) * BLOCK, frequent), np.float32)
+            blocks[example[:at[frequent]], np.repeat(np.arange(frequent), np.diff(at[:frequent + 1]))] = weight[:at[frequent]]
+            largest = blocks.reshape(-1, BLOCK, frequent).max(axis=1) if n else blocks
+            first: dict[bytes, int] = {}
+            same = [first.setdefault(self.word[a:b].tobytes() + b"|" + self.count[a:b].tobytes(), i)
+                    for i, (a, b) in enumerate(zip(self.at[:-1], self.at[1:], strict=True))]
+            self.lists = Lists(value, example, weight, at, frequent, blocks, largest, np.array(same, np.int64))
+        return self.lists
+
+    def bounded(self, found: list[np.ndarray], value: list[np.ndarray], without: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query: scores of all examples by its rare words, weights of its frequent words, bounds of all blocks."""
+        made = self.ready()
+        score = np.zeros((len(found), len(made.blocks)), np.float32)
+        asked = np.zeros((len(found), made.frequent), np.float32)
+        for i, (words, weights) in enumerate(zip(found, value, strict=True)):
+            cut = int(np.searchsorted(words, made.frequent))
+            asked[i, words[:cut]] = weights[:cut]
+            rare = words[cut:-1]
+            a, b = made.at[rare], made.at[rare + 1]
+            spots = list(zip(a.tolist(), b.tolist(), strict=True))
+            if spots:
+                v = np.concatenate([made.weight[x:y] for x, y in spots]) * np.repeat(weights[cut:-1], b - a)
+                score[i] = np.bincount(np.concatenate([made.example[x:y] for x, y in spots]), v, minlength=score.shape[1])
+            if without[i] >= 0:
+                score[i, without[i]] = -np.inf
+        best = score.reshape(len(found), -1, BLOCK).max(axis=2)
+        return score, asked, best + asked @ made.largest.T
+
+    def search(self, found: list[np.ndarray], value: list[np.ndarray], k: int = NEIGHBOURS,
+               without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the k examples of highest cosine above 0, and it; ties by place in the index."""
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(found)
+        made = self.ready()
+        score, asked, bound = self.bounded(found, value, without or [-1] * len(found))
+        by_block = score.reshape(len(found), -1, BLOCK)
+        todo = np.zeros(bound.shape, bool)
+        np.put_along_axis(todo, np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        read = np.zeros(bound.shape, bool)
+        for _ in range(2):
+            for b in np.flatnonzero(todo.any(axis=0)):
+                rows = np.flatnonzero(todo[:, b])
+                by_block[rows, b] += asked[rows] @ made.blocks[b * BLOCK:(b + 1) * BLOCK].T
+            read |= todo
+            edge = np.zeros(len(found))
+            for i in range(len(found)):
+                some = by_block[i][read[i]].ravel()
+                edge[i] = np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else 0
+            todo = (bound >= edge[:, None] - SLACK) & (bound > 0) & ~read
+        return [self.exact(f, v, np.flatnonzero(read[i].repeat(BLOCK) & (score[i] >= edge[i] - SLACK) & (score[i] > 0)), k)
+                for i, (f, v) in enumerate(zip(found, value, strict=True))]
+
+    def exact(self, found: np.ndarray, value: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the examples ``mine`` by cosines in double precision; equal examples are scored once."""
+        made = self.ready()
+        kinds, which = np.unique(made.same[mine], return_inverse=True)
+        a, b = self.at[kinds], self.at[kinds + 1]
+        places = ranges(a, b)
+        word = self.word[places]
+        spot = np.minimum(np.searchsorted(found, word), len(found) - 1)
+        product = np.where(found[spot] == word, value[spot] * made.value[places], 0.0)
+        total = np.add.reduceat(product, np.cumsum(b - a) - (b - a)) if len(kinds) else np.zeros(0)
+        e, s = largest_of(mine, total[which], k)
+        best = np.lexsort((e, -s))
+        return e[best], np.minimum(s[best], 1.0)
+
+    def nearest(self, found: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Of one query, as search."""
+        return self.search([found], [value], k, [without])[0]
+
+    def lean(self, marks: np.ndarray, size: int, own: int | None = None) -> np.ndarray:
         """Log likelihood ratios of the label by the marks of a text of so many words: their sum, and that of the
         STRONGEST; and the log of 1 + size. own is the class of an example that is left out itself."""
         at = np.asarray(marks, np.int64)
@@ -231,11 +316,10 @@ class Index:
         if np.isfinite(fit).all():
             self.slope, self.pull, self.shift = float(fit[0]), fit[1:-1], float(fit[-1])
 
-    def judged(self, found: list[int], value: np.ndarray, marks: list[int], size: int) -> tuple[float, list[int], list[float]]:
-        """Probability of the label, and the evidence: ids of the nearest examples and their cosines."""
-        if not len(self.ids) or not value.any():
+    def judged(self, e: np.ndarray, s: np.ndarray, marks: np.ndarray, size: int) -> tuple[float, list[int], list[float]]:
+        """Probability of the label for a text with words, and the evidence: ids of the nearest examples and their cosines."""
+        if not len(self.ids) or not size:
             return self.featureless, [], []
-        e, s = self.nearest(found, value)
         z = self.slope * self.vote(e, s) + float(self.pull @ self.lean(marks, size)) + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.ids[e].tolist(), s.tolist()
 
@@ -254,50 +338,48 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str,
     chosen = [train.where(F.col("toxic") == y).orderBy(*order).limit(max_examples) for y in (0, 1)]
     few = F.broadcast(saved(chosen[0].union(chosen[1]), "examples"))  # at most 2 * max_examples rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id")
-    return saved(rows.select("id", "toxic", "text"), "example-texts"), totals
+    return spread(saved(rows.select("id", "toxic", "text"), "example-texts")), totals
 
 
-def features(rows: DataFrame, model: Index, text_col: str = "text") -> DataFrame:
-    """rows with what the model asks of a text in its place.
+def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFrame:
+    """rows with what the model asks of a text in its place; sent has its words, marks and their beginnings.
 
-    words and counts: which words of the examples it has and how often; others and other_counts: the same of
-    all its other words; marks: the marks in it; size: how many different words it has.
+    words and counts: which words of the examples it has and how often, packed (words as steps from one to the next);
+    others and other_counts: the same of all its other words; marks: the marks in it, packed likewise; size: how many
+    different words it has.
     """
-    sent = rows.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins))  # bounded by the examples
     at = rows.columns.index(text_col)
     kept = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, marks, begins = sent.value
+        kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.int32())
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            size = []
+            out: list[list] = [[] for _ in kinds]
             for text in batch.column(at):
                 seen = Counter(terms(text.as_py()))
-                known = sorted((words[w], n) for w, n in seen.items() if w in words)
-                others = [(w, n) for w, n in seen.items() if w not in words]
-                for column, x in zip(out, ([w for w, _ in known], [n for _, n in known], [w for w, _ in others],
-                                           [n for _, n in others], marks_in(seen, marks, begins)), strict=True):
+                known = np.array([(words[w], n) for w, n in seen.items() if w in words], np.int64).reshape(-1, 2)
+                known = known[np.argsort(known[:, 0])]
+                others = [w for w in seen if w not in words]
+                for column, x in zip(out, (packed(np.diff(known[:, 0], prepend=0)), packed(known[:, 1]), others, [seen[w] for w in others],
+                                           packed(np.diff(marks_in(seen, marks, begins), prepend=0)), len(seen)), strict=True):
                     column.append(x)
-                size.append(len(seen))
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-            made = [pa.array(x, pa.list_(kind)) for x, kind in zip(out, kinds, strict=True)]
-            made.append(pa.array(size, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *made],
-                                             names=[*kept, "words", "counts", "others", "other_counts", "marks", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(batch.num_columns) if i != at), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))],
+                names=[*kept, "words", "counts", "others", "other_counts", "marks", "size"])
 
     form = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
-    return rows.mapInArrow(run, ", ".join([*form, "words array<int>, counts array<int>, others array<string>, "
-                                                  "other_counts array<int>, marks array<int>, size int"]))
+    return rows.mapInArrow(run, ", ".join([*form, "words binary, counts binary, others array<string>, other_counts array<int>, "
+                                                  "marks binary, size int"]))
 
 
 def with_others(found: DataFrame, total: int) -> DataFrame:
     """The rows of features, which have a number ``row``, with other_squares: the sum of the squared weights of the other words.
 
-    Frequent words are joined by broadcast, so that no task gets all rows of one.
+    Words are told apart by 64 bits of hash. Frequent ones are joined by broadcast, so that no task gets all rows of one.
     """
-    pairs = found.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("p")).select(
-        "row", F.col("p.others").alias("word"), F.col("p.other_counts").alias("n"))
+    pairs = found.where(F.size("others") > 0).select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("p")).select(
+        "row", F.xxhash64("p.others").alias("word"), F.col("p.other_counts").alias("n"))
     df = saved(pairs.groupBy("word").agg(F.count("*").alias("df")), "other-words")
     often = df.where(F.col("df") > max(20.0, total * OFTEN))
     rare = df.where(F.col("df") <= max(20.0, total * OFTEN))
@@ -325,10 +407,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
     """The index of the labelled examples outside the held-out fold."""
     model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
     if model.words:
-        index_examples(model, training, saved(features(docs.select(text_col), model, text_col), "features"))
+        sent = send_words(docs, model)
+        index_examples(model, training, saved(features(docs.select(text_col), sent, text_col), "features"), sent)
     return model
 
 
+def send_words(docs: DataFrame, model: Index) -> Broadcast:
+    """What features reads of the model; bounded by the examples."""
+    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins))
+
+
 def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
                label_col: str) -> tuple[Index, Training]:
     """A model that knows its words and marks only, and what it is to be trained on."""
@@ -358,7 +446,7 @@ def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: st
     marks = (rows.select("toxic", "text").mapInArrow(presence, "word string, n0 long, n1 long")
              .groupBy("word").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
              .where((with_ >= 3) & (without > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-             .orderBy(F.desc("chi2"), "word").limit(MAX_FEATURES).select("word", "n0", "n1").collect())
+             .orderBy(F.desc("chi2"), "word").select("word", "n0", "n1").collect())  # bounded by the examples' words
     model.marks = {r[0]: i for i, r in enumerate(marks)}
     model.begins = heads(model.marks)
     model.marked = np.array([[r[1 + y] for r in marks] for y in (0, 1)], np.float64)
@@ -376,90 +464,116 @@ def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: st
     return model, training
 
 
-def index_examples(model: Index, training: Training, all_features: DataFrame) -> None:
-    """Weights by document frequencies over all documents, then the examples' index and calibration."""
-    df = all_features.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).toArrow()  # a row per word
-    model.total = all_features.count()
-    count = np.zeros(len(model.words))
-    count[df.column("w").to_numpy()] = df.column("n").to_numpy()
+def index_examples(model: Index, training: Training, all_features: DataFrame, words_sent: Broadcast) -> Broadcast:
+    """Weights by document frequencies over all documents, then the examples' index and calibration; the index as sent to tasks."""
+    n_words = len(model.words)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows = np.zeros(n_words, np.int64), 0
+        for batch in batches:
+            rows += len(batch)
+            found = [np.cumsum(unpacked(x)) for x in batch.column(0).to_pylist()]
+            n += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=n_words)
+        some = np.flatnonzero(n)
+        # The number of texts goes under -1.
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], rows))], names=["w", "n"])
+
+    df = all_features.select("words").mapInArrow(counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # a row per word
+    w, n = (df.column(c).to_numpy() for c in ("w", "n"))
+    model.total = int(n[w < 0].sum())
+    count = np.zeros(n_words)
+    count[w[w >= 0]] = n[w >= 0]
     model.idf = np.log((1 + model.total) / (1 + count)) + 1
     rows = training.rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text").withColumn("row", F.monotonically_increasing_id())
-    rows = saved(features(rows, model).drop("others", "other_counts"), "example-features")  # examples have no other words
+    rows = saved(features(rows, words_sent).drop("others", "other_counts"), "example-features")  # examples have no other words
     got = rows.toArrow()
     id_, y, row = (got.column(c).to_numpy() for c in ("id", "toxic", "row"))
-    words, counts, marks = (got.column(c) for c in ("words", "counts", "marks"))
+    words, counts, marks = ([unpacked(x) for x in got.column(c).to_pylist()] for c in ("words", "counts", "marks"))
     totals, n0, n1, base = training.totals, training.have.get(0, 0), training.have.get(1, 0), model.base
     share = np.array([totals.get(0, 0) / n0, totals.get(1, 0) / n1])
     size = np.array([len(w) for w in words])
     odds = [share[c] * ((size == 0) & (y == c)).sum() for c in (0, 1)]
     model.featureless = float((odds[1] + base) / (sum(odds) + 1))
     # Blocks hold examples with the same most frequent word and alike lengths, so that their bounds are tight.
-    first = np.array([w[0].as_py() if len(w) else len(model.words) for w in words])
+    first = np.array([w[0] if len(w) else n_words for w in words])
     order = [int(i) for i in np.lexsort((row, id_, size, first)) if size[i]]
     model.ids, model.toxic, model.weight = id_[order].astype(np.int64), y[order].astype(np.float64), share[y[order]]
-    model.build([model.weigh(words[i].values.to_numpy(), counts[i].values.to_numpy(), 0.0) for i in order])
-    leans = np.array([model.lean(marks[i].values.to_numpy(), int(size[i]), int(y[i])) for i in order]).reshape(len(order), 3)
+    model.at = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64)
+    model.word = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(words[i]) for i in order)]).astype(np.int32)
+    often = np.concatenate([np.zeros(0, np.int64), *(counts[i] for i in order)])
+    model.count = often.astype(np.uint8 if often.max(initial=0) < 256 else np.int32)
+    leans = np.array([model.lean(np.cumsum(marks[i]), int(size[i]), int(y[i])) for i in order]).reshape(len(order), 3)
     place = {int(row[i]): at for at, i in enumerate(order)}
-    sent = rows.sparkSession.sparkContext.broadcast((model, place))  # bounded by max_examples
+    sent = rows.sparkSession.sparkContext.broadcast((model.to_send(), place))  # bounded by max_examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, at = sent.value
         for batch in batches:
-            out = [(at[r], index.vote(*index.nearest(*index.weigh(w, c, 0.0), without=at[r])))
-                   for r, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if w]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())],
-                                             names=["at", "vote"])
+            for part in range(0, len(batch), TOGETHER):
+                mine = [(at[r], *index.weigh(np.cumsum(unpacked(w)), unpacked(c), 0.0))
+                        for r, w, c in zip(*(batch.column(i).slice(part, TOGETHER).to_pylist() for i in range(3)), strict=True) if r in at]
+                best = index.search([x[1] for x in mine], [x[2] for x in mine], without=[x[0] for x in mine])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in mine], pa.int64()), pa.array([index.vote(*x) for x in best], pa.float64())],
+                                                 names=["at", "vote"])
 
     got = rows.select("row", "words", "counts").mapInArrow(run, "at long, vote double").toArrow()
     votes = np.full(len(order), np.nan)
     votes[got.column("at").to_numpy()] = got.column("vote").to_numpy()
     model.calibrate(votes, leans)
+    return sent
 
 
-def scored(rows: DataFrame, model: Index) -> DataFrame:
+def scored(rows: DataFrame, model: Index, sent: Broadcast) -> DataFrame:
     """rows of with_others without what describes the text, but with score, evidence array<long>, cosines array<double>."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and MAX_FEATURES
     asked = ["words", "counts", "other_squares", "marks", "size"]
     kept = [c for c in rows.columns if c not in [*asked, "row"]]
+    fitted = model.featureless, model.slope, model.pull, model.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = replace(sent.value[0], featureless=fitted[0], slope=fitted[1], pull=fitted[2], shift=fitted[3], lists=sent.value[0].ready())
         for batch in batches:
-            texts = zip(*(batch.column(len(kept) + i).to_pylist() for i in range(5)), strict=True)
-            out = [index.judged(*index.weigh(w, c, q), m, n) for w, c, q, m, n in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(kept))), pa.array([x[0] for x in out], pa.float64()),
-                 pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
-                names=[*kept, "score", "evidence", "cosines"])
+            for part in range(0, len(batch), TOGETHER):
+                now = batch.slice(part, TOGETHER)
+                words, counts, others, marks, size = (now.column(len(kept) + i).to_pylist() for i in range(5))
+                asked_for = [index.weigh(np.cumsum(unpacked(w)), unpacked(c), q) for w, c, q in zip(words, counts, others, strict=True)]
+                best = index.search([x[0] for x in asked_for], [x[1] for x in asked_for])
+                out = [index.judged(*x, np.cumsum(unpacked(m)), n) for x, m, n in zip(best, marks, size, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(now.column(i) for i in range(len(kept))), pa.array([x[0] for x in out], pa.float64()),
+                     pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
+                    names=[*kept, "score", "evidence", "cosines"])
 
     form = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
     return rows.select(*kept, *asked).mapInArrow(run, ", ".join([*form, "score double, evidence array<long>, cosines array<double>"]))
 
 
-def learnt_and_scored(docs: DataFrame, labels: DataFrame, kept: Column, max_examples: int, id_col: str, text_col: str,
+def learnt_and_scored(docs: DataFrame, labels: DataFrame, kept: list[Column], max_examples: int, id_col: str, text_col: str,
                       label_col: str) -> DataFrame:
-    """kept as ``kept``, score, evidence and cosines of each row of docs; each text is read for features once."""
+    """kept, score, evidence and cosines of each row of docs; each text is read for features once."""
     model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
-    rows = docs.select(kept.alias("kept"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = spread(docs).select(*kept, F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     if not model.words:
-        return rows.select("kept", F.lit(model.featureless).alias("score"), F.array().cast("array<long>").alias("evidence"),
-                           F.array().cast("array<double>").alias("cosines"))
-    found = saved(features(rows, model), "features")
-    index_examples(model, training, found)
-    return scored(with_others(found, model.total), model)
+        return rows.drop("text", "row").select("*", F.lit(model.featureless).alias("score"), F.array().cast("array<long>").alias("evidence"),
+                                               F.array().cast("array<double>").alias("cosines"))
+    words_sent = send_words(docs, model)
+    found = saved(features(rows, words_sent), "features")
+    sent = index_examples(model, training, found, words_sent)
+    return scored(with_others(spread(found), model.total), model, sent)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id",
              text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, evidence, cosines) of all rows by the examples among them."""
-    found = learnt_and_scored(docs, labels, F.col(id_col), max_examples, id_col, text_col, label_col)
+    found = learnt_and_scored(docs, labels, [F.col(id_col).alias("kept")], max_examples, id_col, text_col, label_col)
     return found.select(F.col("kept").alias(id_col), (fold(F.col("kept")) == 0).alias("held_out"), "score",
                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", "cosines")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, unchanged."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = learnt_and_scored(docs, labels, row, MAX_EXAMPLES, id_col, text_col, "toxic")
-    return found.where(F.col("score") < threshold).select(*[F.col(f"kept.`{c}`") for c in docs.columns])
+    """The rows of docs that score below the threshold, unchanged; equal texts have equal scores."""
+    key = [F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit(""))).alias("k2")]
+    found = learnt_and_scored(docs, labels, key, MAX_EXAMPLES, id_col, text_col, "toxic")
+    bad = saved(found.where(F.col("score") >= threshold).select("k1", "k2").distinct(), "toxic")
+    both = [key[0] == bad["k1"], key[1] == bad["k2"]]
+    return docs.join(F.broadcast(bad) if is_small(bad) else bad, both[0] & both[1], "left_anti")
