@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ OFTEN = 1 / 1000
 #: Lengths of the word beginnings that are marks beside whole words.
 HEADS = (4, 5, 6, 7, 8)
 
+_NONE = np.zeros(0, np.int64)
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -83,7 +85,8 @@ def heads(known: dict[str, int]) -> set[str]:
 
 def marks_in(words: Iterable[str], known: dict[str, int], begins: set[str]) -> np.ndarray:
     """The different known marks in words, by number, ascending."""
-    return np.array(sorted({known[f] for w in words if w[:HEADS[0]] in begins for f in features_of(w) if f in known}), np.int64)
+    some = {known[f] for w in words if w[:HEADS[0]] in begins for f in features_of(w) if f in known}
+    return np.array(sorted(some), np.int64) if some else _NONE
 
 
 def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,18 +256,19 @@ class Index:
                 some = by_block[i][read[i]].ravel()
                 edge[i] = np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else 0
             todo = (bound >= edge[:, None] - SLACK) & (bound > 0) & ~read
-        return [self.exact(f, v, np.flatnonzero(read[i].repeat(BLOCK) & (score[i] >= edge[i] - SLACK) & (score[i] > 0)), k)
-                for i, (f, v) in enumerate(zip(found, value, strict=True))]
+        by_block[~read] = -np.inf
+        query = np.zeros(len(self.idf) + 1)
+        return [self.exact(f, v, np.flatnonzero(score[i] > max(edge[i] - SLACK, 0)), k, query) for i, (f, v) in enumerate(zip(found, value, strict=True))]
 
-    def exact(self, found: np.ndarray, value: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the examples ``mine`` by cosines in double precision; equal examples are scored once."""
+    def exact(self, found: np.ndarray, value: np.ndarray, mine: np.ndarray, k: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the examples ``mine`` by cosines in double precision; equal examples are scored once. query: zeros, also after."""
         made = self.ready()
         kinds, which = np.unique(made.same[mine], return_inverse=True)
         a, b = self.at[kinds], self.at[kinds + 1]
         places = ranges(a, b)
-        word = self.word[places]
-        spot = np.minimum(np.searchsorted(found, word), len(found) - 1)
-        product = np.where(found[spot] == word, value[spot] * made.value[places], 0.0)
+        query[found] = value
+        product = query[self.word[places]] * made.value[places]
+        query[found] = 0
         total = np.add.reduceat(product, np.cumsum(b - a) - (b - a)) if len(kinds) else np.zeros(0)
         e, s = largest_of(mine, total[which], k)
         best = np.lexsort((e, -s))
@@ -342,7 +346,7 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str,
 
 
 def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFrame:
-    """rows with what the model asks of a text in its place; sent has its words, marks and their beginnings.
+    """rows with what the model asks of a text in its place; sent is what send_words made.
 
     words and counts: which words of the examples it has and how often, packed (words as steps from one to the next);
     others and other_counts: the same of all its other words; marks: the marks in it, packed likewise; size: how many
@@ -352,17 +356,21 @@ def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFr
     kept = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, marks, begins = sent.value
+        words, marks, begins, mark_at, mark_of = sent.value
         kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.int32())
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for text in batch.column(at):
                 seen = Counter(terms(text.as_py()))
-                known = np.array([(words[w], n) for w, n in seen.items() if w in words], np.int64).reshape(-1, 2)
-                known = known[np.argsort(known[:, 0])]
-                others = [w for w in seen if w not in words]
-                for column, x in zip(out, (packed(np.diff(known[:, 0], prepend=0)), packed(known[:, 1]), others, [seen[w] for w in others],
-                                           packed(np.diff(marks_in(seen, marks, begins), prepend=0)), len(seen)), strict=True):
+                number = np.fromiter(map(words.get, seen, repeat(-1)), np.int64, len(seen))
+                count = np.fromiter(seen.values(), np.int64, len(seen))
+                order = np.argsort(number)
+                order = order[np.count_nonzero(number < 0):]
+                found = number[order]
+                others = [w for w, n in zip(seen, number.tolist(), strict=True) if n < 0]
+                mine = np.union1d(mark_of[ranges(mark_at[found], mark_at[found + 1])], marks_in(others, marks, begins))
+                for column, x in zip(out, (packed(np.diff(found, prepend=0)), packed(count[order]), others, [seen[w] for w in others],
+                                           packed(np.diff(mine, prepend=0)), len(seen)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns) if i != at), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))],
@@ -413,8 +421,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
 
 
 def send_words(docs: DataFrame, model: Index) -> Broadcast:
-    """What features reads of the model; bounded by the examples."""
-    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins))
+    """What features reads of the model, with the marks of each word; bounded by the examples."""
+    own = [marks_in((w,), model.marks, model.begins) for w in model.words]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins, at, np.concatenate([np.zeros(0, np.int64), *own])))
 
 
 def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
