@@ -170,7 +170,7 @@ def candidates(nodes: DataFrame, lowest: int, trees: int = TREES) -> DataFrame:
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.substring("paths", i * size + 1, F.lit(size)))).alias("tree", "path"))
     met = met.withColumn("label", F.xxhash64("tree", F.substring("path", 1, 2 * lowest)))
     shared = saved(met.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "shared")
-    some = saved(met.join(shared, "label", "left_semi").select("tree", "path", "node", "need"), "paths")
+    some = saved(with_small(met, shared, ["label"], "left_semi").select("tree", "path", "node", "need"), "paths")
     order = some.repartitionByRange(partitions(nodes.sparkSession), "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
     walked = saved(order.mapInArrow(_walk(lowest), "a long, b long, level int, key binary"), "matches")
     ends = walked.where("level > 0")  # two for each level and task
