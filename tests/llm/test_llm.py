@@ -427,6 +427,27 @@ def test_sharding_edge_cases(empty, odd, tmp_path):
     assert odd.sparkSession.read.parquet(f"{tmp_path}/s").count() == 5
 
 
+def test_shards_split_repeated_rows(spark):
+    rows = [(1, "same row " * 20)] * 400 + [(i, f"other {i}") for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = collections.Counter()
+    keyed = sharding.shuffle_shards(df, shards=4, bucket_bytes=8_000)
+    got = keyed.collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(4) for k in range(len(rows) * (s + 1) // 4 - len(rows) * s // 4)]
+    counts.update(r["shard"] for r in got if r["doc_id"] != 1)
+    assert len(counts) == 4  # the copies do not lie together
+
+
+@pytest.mark.parametrize("run", ["\n", " ", "a", "ab", "é "])
+def test_packing_of_very_long_runs_equals_the_library(run):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    text = "Begin " + run * (1_100_000 // len(run)) + " end"
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 # -- 7 --------------------------------------------------------------------------
 
 def components_of(n, links):
@@ -457,6 +478,10 @@ def test_ngram_join(docs, texts, block):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
 
+def test_texts_of_few_shingles_need_less_shortening():
+    assert [ngram_join.needed(n, 0.8, 0.999) for n in (1, 3, 6, 8, 20)] == [8, 8, 7, 6, 6]
+
+
 def test_ngram_join_edge_cases(empty, odd):
     assert ngram_join.similar_texts(empty).count() == 0
     assert ngram_join.similar_texts(odd).count() == 5
