@@ -18,6 +18,7 @@ ids are packed once for each row; an empty table gives no rows. Extra columns ar
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,10 @@ WINDOW = 1024
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 1 << 18
 
+#: Code points that make a run too long for a pattern that backtracks.
+LONG_RUN = 20_000
+LONG_RUNS = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}").search
+
 _ENCODERS: dict[str, object] = {}
 
 #: The pattern that byte-level vocabularies split text by.
@@ -41,13 +46,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encoder(path: str):
     """Identifiers of a text as a numpy array, for a byte-level BPE file of the ``tokenizers`` library.
 
-    The merges run in tiktoken, which gives the same identifiers several times faster;
-    tests compare the two.
+    The merges run in tiktoken, which gives the same identifiers several times faster; tests
+    compare the two. Its pattern cannot split very long runs without or of blanks, so texts with
+    such a run go to ``tokenizers`` itself, as do all texts if the file asks for more than the pattern.
     """
     if path not in _ENCODERS:
         import json
 
+        import numpy as np
         import tiktoken
+        import tokenizers
 
         from .token_counts import byte_symbols
 
@@ -57,8 +65,21 @@ def encoder(path: str):
         marks = {t["content"]: t["id"] for t in whole["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in whole["model"]["vocab"].items()
                  if token not in marks}
-        made = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks)
-        _ENCODERS[path] = lambda text: made.encode_to_numpy(text, allowed_special="all")
+        fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+        split = whole.get("pre_tokenizer") or {}
+        plain = whole.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
+        slow: list = []  # made for the first text that needs it
+
+        def encode(text: str) -> np.ndarray:
+            if plain and not (len(text) >= LONG_RUN and LONG_RUNS(text)):
+                return fast.encode_to_numpy(text, allowed_special="all")
+            if not slow:
+                slow.append(tokenizers.Tokenizer.from_file(path))
+                slow[0].no_truncation()
+                slow[0].no_padding()
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _ENCODERS[path] = encode
     return _ENCODERS[path]
 
 
