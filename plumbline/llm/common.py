@@ -10,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a side that is broadcast; each holds a few numbers.
-BROADCAST_ROWS = 2_000_000
 #: Most bytes of a side that is broadcast.
 BROADCAST_BYTES = 32_000_000
 
