@@ -47,7 +47,7 @@ NEIGHBOURS = 24
 BLOCK = 64
 #: Blocks that a query reads before it knows a k-th best score; queries that are searched for together.
 FIRST_BLOCKS = 8
-TOGETHER = 128
+TOGETHER = 256
 #: Words are frequent if at least this share of the examples has them; at most so many are, for memory.
 FREQUENT = 1 / 16
 MOST_FREQUENT = 1024
@@ -127,7 +127,7 @@ class Lists:
     """What a search reads, made from the examples' word numbers and counts."""
 
     value: np.ndarray  # by example and word
-    example: np.ndarray  # by word and example, as is weight
+    example: np.ndarray  # by word and example, as is weight, in single precision
     weight: np.ndarray
     at: np.ndarray  # where the postings of each word begin
     frequent: int  # words below this number are frequent
@@ -188,8 +188,10 @@ class Index:
     def postings(self) -> list[tuple[np.ndarray, ...]]:
         """Of each word: examples and weights, and its blocks of examples with the largest weight in each."""
         made, out = self.ready(), []
+        order = np.argsort(self.word, kind="stable")
+        value, example = made.value[order], np.repeat(np.arange(len(self.ids)), np.diff(self.at))[order]
         for a, b in zip(made.at[:-1], made.at[1:], strict=True):
-            e, v = made.example[a:b], made.weight[a:b]
+            e, v = example[a:b], value[a:b]
             block, first = np.unique(e // BLOCK, return_index=True)
             out.append((e, v, block, np.maximum.reduceat(v, first) if len(v) else v))
         return out
@@ -203,7 +205,7 @@ class Index:
             if n:
                 value /= np.repeat(np.sqrt(np.add.reduceat(value**2, self.at[:-1])), sizes)
             order = np.argsort(word, kind="stable")
-            example, weight = np.repeat(np.arange(n), sizes)[order], value[order]
+            example, weight = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], value[order].astype(np.float32)
             at = np.searchsorted(word[order], np.arange(len(self.idf) + 1))
             # Words are numbered by falling number of examples.
             frequent = min(MOST_FREQUENT, int((np.diff(at) >= max(1, n * FREQUENT)).sum()))
@@ -228,7 +230,7 @@ class Index:
             a, b = made.at[rare], made.at[rare + 1]
             spots = list(zip(a.tolist(), b.tolist(), strict=True))
             if spots:
-                v = np.concatenate([made.weight[x:y] for x, y in spots]) * np.repeat(weights[cut:-1], b - a)
+                v = np.concatenate([made.weight[x:y] for x, y in spots]) * np.repeat(weights[cut:-1].astype(np.float32), b - a)
                 score[i] = np.bincount(np.concatenate([made.example[x:y] for x, y in spots]), v, minlength=score.shape[1])
             if without[i] >= 0:
                 score[i, without[i]] = -np.inf
