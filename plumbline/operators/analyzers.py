@@ -7,6 +7,7 @@ Grouping analyzers share one frequency table for each set of columns and filter.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -395,7 +396,7 @@ DEFAULT_KLL = KLLParameters(2048, 0.64, 100)
 
 @dataclass(frozen=True)
 class KLLSketch(NumericScan):
-    """Counts in equal-width buckets between minimum and maximum, and a grid of percentiles."""
+    """Counts in equal-width buckets between minimum and maximum, and a grid of percentiles from a KLL sketch of the size."""
 
     column: str
     kllParameters: KLLParameters | None = None
@@ -406,9 +407,10 @@ class KLLSketch(NumericScan):
         return self.kllParameters or DEFAULT_KLL
 
     def aggregates(self, schema: T.StructType) -> list[Column]:
-        grid = [i / 100 for i in range(1, 101)]
         number = self.number()
-        return [F.min(number), F.max(number), F.percentile_approx(number, grid, max(100, self.parameters.sketchSize))]
+        grid = F.array(*[F.lit(i / 100) for i in range(1, 101)])
+        sketch = F.kll_sketch_agg_double(number, F.lit(min(65535, max(8, self.parameters.sketchSize))))
+        return [F.min(number), F.max(number), F.when(F.count(number) > 0, F.kll_sketch_get_quantile_double(sketch, grid))]
 
     def bucket(self, low: float, high: float) -> Column:
         """Index of each value's bucket, once minimum and maximum are known."""
@@ -560,7 +562,15 @@ class Histogram(HistogramRows):
 
     @property
     def key(self) -> str:
-        return f"Histogram(column={self.column!r}, maxDetailBins={self.maxDetailBins}, where={self.where!r})"
+        binned = "" if self.binningUdf is None else f", binning={self.binning!r}"
+        return f"Histogram(column={self.column!r}, maxDetailBins={self.maxDetailBins}, where={self.where!r}{binned})"
+
+    @property
+    def binning(self) -> str:
+        """What tells one binning from another: the expression that it makes, and the code of a Python function in it."""
+        text = str(self.binningUdf(col(self.column)))
+        code = getattr(getattr(self.binningUdf, "func", None), "__code__", None)
+        return text if code is None else f"{text} {zlib.crc32(code.co_code + repr(code.co_consts).encode()):08x}"
 
     @property
     def details(self) -> int:

@@ -8,7 +8,7 @@ from enum import Enum
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,26 +96,48 @@ class Constraint:
         return ConstraintResult(self.name, "Failure", f"Value: {shown} does not meet the constraint requirement!"
                                 + (f" {self.hint}" if self.hint else ""))
 
-    def row_column(self, schema: T.StructType) -> Column | None:
-        """Whether each row meets the constraint; rows outside its filter do."""
+    def row_column(self, schema: T.StructType, repeated: Callable[[tuple[str, ...], str | None], Column]) -> Column | None:
+        """Whether each row meets the constraint; rows outside its filter do.
+
+        repeated: for columns and a filter, whether another row that passes the filter has the same values.
+        """
         if self.row is None or self.analyzer.precondition(schema) is not None:
             return None
-        good = F.coalesce(self.row(schema), F.lit(False))
         where = getattr(self.analyzer, "where", None)
+        found = ~repeated(self.row.columns, where) if isinstance(self.row, Alone) else self.row(schema)
+        good = F.coalesce(found, F.lit(False))
         return good if where is None else F.when(F.expr(where), good).otherwise(True)
 
 
+@dataclass(frozen=True)
+class Alone:
+    """Judges a row by whether no other row has its values in the columns; a row without any value is alone."""
+
+    columns: tuple[str, ...]
+
+
 def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
 def per_value(assertion: Callable[[Any], bool], value: Column) -> Column:
-    """An assertion judged on each value, in batches; null values pass."""
+    """An assertion judged on each value; null values and NaN pass.
+
+    An assertion that makes a condition of a column runs in Spark; any other is called on values, in batches.
+    """
+    number = value.cast("double")
+    try:
+        made = assertion(number)
+    except Exception:  # it needs a value, as chained comparisons do
+        made = None
+    if isinstance(made, Column):
+        return F.when(number.isNull() | F.isnan(number), True).otherwise(made.cast("boolean"))
+
     @F.pandas_udf("boolean")
     def judged(x: pd.Series) -> pd.Series:
         return x.map(lambda v: True if v is None or v != v else bool(assertion(v)))
 
-    return F.when(value.isNull(), True).otherwise(judged(value.cast("double")))
+    return F.when(value.isNull(), True).otherwise(judged(number))
 
 
 class Check:
@@ -187,15 +209,6 @@ class Check:
 
     # -- uniqueness -------------------------------------------------------
 
-    @staticmethod
-    def _alone(columns: tuple[str, ...]) -> Callable:
-        def row(_: T.StructType) -> Column:
-            keys = [col(c) for c in dict.fromkeys(columns)]
-            some = F.coalesce(*[F.when(k.isNotNull(), True) for k in keys])
-            return F.when(some, F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1).otherwise(True)
-
-        return row
-
     def isUnique(self, column: str, hint: str | None = None) -> Check:
         return self.hasUniqueness([column], is_one, hint)
 
@@ -203,13 +216,13 @@ class Check:
         return self.hasUniqueness([column, *columns], is_one, hint)
 
     def hasUniqueness(self, columns: Any, assertion: Callable, hint: str | None = None) -> Check:
-        return self._add("Uniqueness", Uniqueness(columns), assertion, hint, row=self._alone(as_list(columns)))
+        return self._add("Uniqueness", Uniqueness(columns), assertion, hint, row=Alone(tuple(dict.fromkeys(as_list(columns)))))
 
     def hasDistinctness(self, columns: Any, assertion: Callable, hint: str | None = None) -> Check:
         return self._add("Distinctness", Distinctness(columns), assertion, hint)
 
     def hasUniqueValueRatio(self, columns: Any, assertion: Callable, hint: str | None = None) -> Check:
-        return self._add("UniqueValueRatio", UniqueValueRatio(columns), assertion, hint, row=self._alone(as_list(columns)))
+        return self._add("UniqueValueRatio", UniqueValueRatio(columns), assertion, hint, row=Alone(tuple(dict.fromkeys(as_list(columns)))))
 
     # -- distributions ----------------------------------------------------
 

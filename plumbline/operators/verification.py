@@ -7,15 +7,15 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.planner import compute
+from ..plans.planner import compute, frequencies
 from ..plans.runner import AnalyzerContext
 from ..sources.pandas_io import ensure_spark, need_session
 from ..sources.repository import MetricsRepository, ResultKey
-from .analyzers import Analyzer
+from .analyzers import Analyzer, col
 from .anomaly import AnomalyDetectionStrategy
 from .check import Check, CheckLevel, CheckResult, CheckStatus, Constraint, ConstraintResult
 from .metrics import Outcome
@@ -87,12 +87,22 @@ class VerificationResult:
 
 
 def row_level(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
-    added = {}
+    """df with the checks' columns. Values that repeat are counted with a map-side step, without nulls, and joined back."""
+    added, flags = {}, {}
+
+    def repeated(columns: tuple[str, ...], where: str | None) -> Column:
+        return F.coalesce(F.col(flags.setdefault((columns, where), f" repeated {len(flags)}")), F.lit(False))
+
     for check in checks:
-        columns = [c for c in (x.row_column(df.schema) for x in check.constraints) if c is not None]
+        columns = [c for c in (x.row_column(df.schema, repeated) for x in check.constraints) if c is not None]
         if columns:
             added[check.description] = reduce(lambda a, b: a & b, columns)
-    return df.select("*", *[c.alias(name) for name, c in added.items()]) if added else df
+    rows = df
+    for (columns, where), flag in flags.items():
+        names = [f"{flag} {i}" for i in range(len(columns))]
+        counts = frequencies(df, columns, where).where("n > 1").select(*[F.col(f"g{i}").alias(n) for i, n in enumerate(names)], F.lit(True).alias(flag))
+        rows = rows.join(counts, reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.col(n)) for c, n in zip(columns, names, strict=True)]), "left")
+    return rows.select(*[col(c) for c in df.columns], *[c.alias(name) for name, c in added.items()]) if added else df
 
 
 class VerificationRunBuilder:

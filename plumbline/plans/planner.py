@@ -9,7 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    ArrayIndexOutOfBoundsException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    ParseException,
+    PythonException,
+    SparkRuntimeException,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +36,10 @@ from ..operators.analyzers import (
 )
 from ..operators.metrics import Distribution, DistributionValue, Outcome
 
+#: What Spark raises for the data or the expressions on it, not for the cluster.
+DATA_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+               NumberFormatException, ParseException, PythonException, SparkRuntimeException)
+
 
 def compute(df: DataFrame, analyzers: Iterable[Analyzer]) -> dict[Analyzer, Outcome]:
     """The outcome of each distinct analyzer, in the order given."""
@@ -51,8 +65,8 @@ def attempt(make) -> Outcome:
         return Outcome(make())
     except EmptyState as e:
         return Outcome(error=str(e))
-    except Exception as e:  # a job that fails is the metric's failure
-        return Outcome(error=str(e).splitlines()[0])
+    except (*DATA_ERRORS, ArithmeticError, ValueError, TypeError, KeyError) as e:  # a job that fails on its data is the metric's failure
+        return Outcome(error=(str(e).splitlines() or [type(e).__name__])[0])
 
 
 def _problem(df: DataFrame, a: Analyzer) -> str | None:
@@ -88,7 +102,7 @@ def scan(df: DataFrame, analyzers: list[ScanAnalyzer]) -> dict[Analyzer, Outcome
         return {}
     try:
         row = fused(df, analyzers).first()
-    except Exception:
+    except DATA_ERRORS:  # a lost executor or a missing file is no metric's failure
         if len(analyzers) == 1:
             return {analyzers[0]: attempt(lambda: _raise_again(df, analyzers[0]))}
         # One bad value fails a shared job: find whose it is by halves.
@@ -116,7 +130,10 @@ def buckets(df: DataFrame, found: dict[KLLSketch, list]) -> dict[Analyzer, Outco
     sketches = list(found)
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), a.bucket(float(found[a][0]), float(found[a][1])).alias("b"))
                       for i, a in enumerate(sketches)])
-    rows = df.select(F.explode(pairs).alias("x")).where("x.b is not null").groupBy("x.i", "x.b").count().collect()
+    try:
+        rows = df.select(F.explode(pairs).alias("x")).where("x.b is not null").groupBy("x.i", "x.b").count().collect()
+    except DATA_ERRORS as e:
+        return {a: Outcome(error=str(e).splitlines()[0]) for a in sketches}
     counts: list[dict[int, int]] = [{} for _ in sketches]
     for i, b, n in rows:
         counts[i][b] = n
@@ -151,7 +168,7 @@ def grouped(df: DataFrame, analyzers: list[GroupingAnalyzer]) -> dict[Analyzer,
     for (columns, where), those in shared.items():
         try:
             stats = FrequencyStats(*frequency_stats(frequencies(df, columns, where)).first())
-        except Exception as e:
+        except DATA_ERRORS as e:
             out |= {a: Outcome(error=str(e).splitlines()[0]) for a in those}
             continue
         out |= {a: attempt(lambda a=a, stats=stats: a.checked(stats)) for a in those}
@@ -189,9 +206,12 @@ def histogram(df: DataFrame, a: Histogram) -> Distribution:
     """Counts by value; the details of the most frequent ones, ties by value."""
     if a.where is not None:
         df = df.where(a.where)
-    counts = df.groupBy(a.bins().alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total, bins = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if not bins:
-        raise EmptyState(f"Empty state for analyzer {a.key}, all input values were NULL.")
-    top = counts.orderBy(F.desc("n"), "v").limit(a.details).collect()
+    counts = df.groupBy(a.bins().alias("v")).agg(F.count(F.lit(1)).alias("n")).persist()  # one scan for totals and details
+    try:
+        total, bins = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+        if not bins:
+            raise EmptyState(f"Empty state for analyzer {a.key}, all input values were NULL.")
+        top = counts.orderBy(F.desc("n"), "v").limit(a.details).collect()
+    finally:
+        counts.unpersist()
     return Distribution({v: DistributionValue(v, n, n / total) for v, n in top}, bins)

@@ -35,7 +35,9 @@ from . import (
     FractionalCategoricalRangeRule,
     Histogram,
     HoltWinters,
+    FileSystemMetricsRepository,
     InMemoryMetricsRepository,
+    DataTypeInstances,
     KLLParameters,
     KLLSketch,
     Maximum,
@@ -204,11 +206,13 @@ def approx_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the sketch's count is within 15 % of the exact one."""
     df = items(spark, sf_dir)
     got = AnalysisRunner(spark).onData(df).addAnalyzers([ApproxCountDistinct("l_partkey"), CountDistinct("l_partkey")]).run().metrics()
-    return spark.createDataFrame([("l_partkey", abs(got[0].value - got[1].value) <= 0.15 * got[1].value)], "instance string, within_tolerance boolean")
+    return spark.createDataFrame([("l_partkey", got[1].value, abs(got[0].value - got[1].value) <= 0.15 * got[1].value)],
+                                 "instance string, exact double, within_tolerance boolean")
 
 
 QUERIES["analyzer_approx_count_distinct_within_tolerance"] = approx_count_distinct
-SQL["analyzer_approx_count_distinct_within_tolerance"] = "SELECT 'l_partkey' AS instance, true AS within_tolerance"
+SQL["analyzer_approx_count_distinct_within_tolerance"] = (
+    "SELECT 'l_partkey' AS instance, CAST(count(DISTINCT l_partkey) AS DOUBLE) AS exact, count(DISTINCT l_partkey) > 0 AS within_tolerance FROM lineitem")
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +278,8 @@ check("hasDistinctness", lambda c: c.hasDistinctness(["l_partkey"], lambda x: x
 check("hasUniqueValueRatio", lambda c: c.hasUniqueValueRatio(["l_partkey", "l_suppkey"], lambda x: x > 0.5), freq("l_partkey, l_suppkey", f"{ONCE} * 1.0 / count(*)"), "v > 0.5")
 check("hasNumberOfDistinctValues", lambda c: c.hasNumberOfDistinctValues("gap", lambda x: x == 7), "count(DISTINCT coalesce(gap, -1))", "v = 7")
 check("hasHistogramValues", lambda c: c.hasHistogramValues("l_returnflag", lambda d: d["R"].ratio > 0.1), rate("l_returnflag = 'R'"), "'struct' <> '' AND v > 0.1")
-check("kllSketchSatisfies", lambda c: c.kllSketchSatisfies("l_quantity", lambda d: d.buckets[0].count > 0 and d.parameters[0] == 0.64), "count(*)", "'struct' <> '' AND v > 0")
+check("kllSketchSatisfies", lambda c: c.kllSketchSatisfies("l_quantity", lambda d: d.buckets[0].count > 100 and d.parameters[0] == 0.64),
+      f"count(*) FILTER (WHERE l_quantity < (SELECT min(l_quantity) + (max(l_quantity) - min(l_quantity)) / 100 FROM {ITEMS} r))", "'struct' <> '' AND v > 100")
 check("hasEntropy", lambda c: c.hasEntropy("l_returnflag", lambda x: x > 0.5), freq("l_returnflag", "ln(sum(n)) - sum(n * ln(n)) / sum(n)"), "v > 0.5")
 check("hasMutualInformation", lambda c: c.hasMutualInformation("l_returnflag", "gap", lambda x: x < 0.1),
       "(SELECT value FROM (" + SQL["analyzer_mutual_information"] + ") m)", "v < 0.1")
@@ -344,6 +349,14 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["verification_check_results"] = verification
+SQL["verification_check_results"] = f"""WITH m AS (SELECT count(*) - count(l_orderkey) AS nulls, count(*) AS n, count(gap) AS filled, min(l_quantity) AS low FROM {ITEMS} t),
+u AS (SELECT count(*) FILTER (WHERE c = 1) * 1.0 / sum(c) AS alone FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) g),
+c AS (SELECT 'keys' AS "check", 'Error' AS check_level, 1 AS i, CAST(1 - nulls / n AS DOUBLE) AS v, nulls = 0 AS ok FROM m
+UNION ALL SELECT 'keys', 'Error', 2, alone, alone = 1 FROM u UNION ALL SELECT 'gaps', 'Warning', 3, CAST(filled AS DOUBLE) / n, filled = n FROM m
+UNION ALL SELECT 'gaps', 'Warning', 4, low, low >= 1 FROM m)
+SELECT "check", check_level, CASE WHEN bool_and(ok) OVER (PARTITION BY "check") THEN 'Success' ELSE check_level END AS check_status,
+CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS constraint_status,
+CAST(CASE WHEN ok THEN 0 ELSE length('Value: ' || CAST(v AS VARCHAR) || ' does not meet the constraint requirement!') END AS INTEGER) AS message_length FROM c"""
 
 # -- results by row -----------------------------------------------------------
 
@@ -363,6 +376,8 @@ by_row("satisfies", lambda c: c.satisfies("gap < 4", "few"), "coalesce(gap < 4,
 by_row("contained_in", lambda c: c.isContainedIn("l_returnflag", ["A", "N"]), "coalesce(l_returnflag IN ('A', 'N'), true)")
 by_row("pattern", lambda c: c.hasPattern("day", "-0[1-6]-"), "regexp_matches(day, '-0[1-6]-')")
 by_row("unique", lambda c: c.isUnique("l_partkey"), "count(*) OVER (PARTITION BY l_partkey) = 1")
+by_row("unique_where", lambda c: c.isUnique("l_partkey").where("l_returnflag = 'R'"),
+       "l_returnflag <> 'R' OR count(*) FILTER (WHERE l_returnflag = 'R') OVER (PARTITION BY l_partkey) = 1")
 by_row("two_constraints", lambda c: c.isComplete("gap").isPositive("l_discount"), "gap IS NOT NULL AND l_discount > 0")
 by_row("where", lambda c: c.isComplete("gap").where("l_returnflag = 'R'"), "l_returnflag <> 'R' OR gap IS NOT NULL")
 by_row("minimum", lambda c: c.hasMin("gap", lambda x: x >= 3), "gap IS NULL OR gap >= 3")
@@ -417,6 +432,27 @@ def profile_kll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["profile_kll"] = profile_kll
+SQL["profile_kll"] = """WITH m AS (SELECT min(l_quantity) AS low, max(l_quantity) AS high, (max(l_quantity) - min(l_quantity)) / 5 AS step FROM lineitem),
+b AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS i),
+c AS (SELECT least(CAST(floor((l_quantity - low) / step) AS INTEGER), 4) AS i, count(*) AS n FROM lineitem, m GROUP BY 1)
+SELECT low + b.i * step AS low, CASE WHEN b.i = 4 THEN high ELSE low + (b.i + 1) * step END AS high, coalesce(n, 0) AS n FROM b CROSS JOIN m LEFT JOIN c ON c.i = b.i"""
+
+
+def profile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and deviations of numeric profiles; a text column is profiled by its predefined type, and one has no histogram for its threshold."""
+    got = (ColumnProfilerRunner(spark).onData(items(spark, sf_dir)).restrictToColumns(["l_quantity", "text_number", "l_returnflag"])
+           .setPredefinedTypes({"text_number": DataTypeInstances.Integral}).withLowCardinalityHistogramThreshold(2).run())
+    rows = [(c, p.dataType, float(getattr(p, "sum", None) or 0), round(float(getattr(p, "stdDev", None) or 0), 4), p.histogram is not None)
+            for c, p in got.profiles.items()]
+    return spark.createDataFrame(rows, "column string, kind string, total double, deviation double, has_histogram boolean")
+
+
+QUERIES["profile_numbers"] = profile_numbers
+SQL["profile_numbers"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{k}' AS kind, CAST({s} AS DOUBLE) AS total, CAST({d} AS DOUBLE) AS deviation, {h} AS has_histogram FROM {ITEMS} t"
+    for c, k, s, d, h in (("l_quantity", "Fractional", "sum(l_quantity)", "round(stddev_pop(l_quantity), 4)", "false"),
+                          ("text_number", "Integral", "sum(CAST(text_number AS DOUBLE))", "round(stddev_pop(CAST(text_number AS DOUBLE)), 4)", "false"),
+                          ("l_returnflag", "String", "0", "0", "count(DISTINCT l_returnflag) <= 2")))
 
 # -- suggestions --------------------------------------------------------------
 
@@ -445,8 +481,30 @@ suggestion("categorical_range", CategoricalRangeRule(), f"""
 WITH f AS (SELECT l_returnflag AS v, count(*) AS n FROM {ITEMS} t GROUP BY 1)
 SELECT 'l_returnflag' AS column_name, '''l_returnflag'' has value range ' || string_agg('''' || v || '''', ', ' ORDER BY n DESC, v) AS description,
 '.isContainedIn("l_returnflag", [' || string_agg('"' || v || '"', ', ' ORDER BY n DESC, v) || '])' AS code FROM f""")
-suggestion("fractional_categorical_range", FractionalCategoricalRangeRule())
-suggestion("unique_if_approximately_unique", UniqueIfApproximatelyUniqueRule(), columns=("l_orderkey", "l_partkey", "day"))
+suggestion("fractional_categorical_range", FractionalCategoricalRangeRule(), """
+WITH c AS (SELECT l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT *, sum(n) OVER (ORDER BY n DESC, v) - n AS before, sum(n) OVER () AS total FROM c),
+a AS (SELECT string_agg('''' || v || '''', ', ' ORDER BY n DESC, v) AS shown, string_agg('"' || v || '"', ', ' ORDER BY n DESC, v) AS listed,
+      CAST(sum(n) AS DOUBLE) / max(total) AS s, max(total) AS total FROM t WHERE before < 0.9 * total),
+b AS (SELECT *, floor(100 * (s - 1.96 * sqrt(s * (1 - s) / total))) / 100 AS bound FROM a)
+SELECT 'l_returnflag' AS column_name, '''l_returnflag'' has value range ' || shown || ' for at least ' || CAST(CAST(100 * bound AS INTEGER) AS VARCHAR) || '% of values' AS description,
+'.isContainedIn("l_returnflag", [' || listed || '], lambda x: x >= ' || CAST(bound AS VARCHAR) || ', "It should be above ' || CAST(bound AS VARCHAR) || '!")' AS code FROM b""")
+suggestion("unique_if_approximately_unique", UniqueIfApproximatelyUniqueRule(), " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '''{c}'' is unique' AS description, '.isUnique(\"{c}\")' AS code FROM {ITEMS} t HAVING count(DISTINCT {c}) >= 0.92 * count(*)"
+    for c in ("l_orderkey", "l_partkey", "day")), columns=("l_orderkey", "l_partkey", "day"))
+
+
+def unique_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uniqueness rule on a key, with the verdict of the rows held out on the suggestion."""
+    made = (ConstraintSuggestionRunner(spark).onData(table(spark, sf_dir, "orders").select("o_orderkey")).addConstraintRule(UniqueIfApproximatelyUniqueRule())
+            .useTrainTestSplitWithTestsetRatio(0.3, 1).run()["constraint_suggestions"])
+    return spark.createDataFrame([(s["column_name"], s["code_for_constraint"], s["constraint_result_on_test_set"]) for s in made],
+                                 "column_name string, code string, on_test_set string")
+
+
+QUERIES["suggest_unique_key"] = unique_key
+SQL["suggest_unique_key"] = ("SELECT 'o_orderkey' AS column_name, '.isUnique(\"o_orderkey\")' AS code, 'Success' AS on_test_set FROM orders "
+                             "HAVING count(DISTINCT o_orderkey) = count(*)")
 suggestion("retain_completeness", RetainCompletenessRule(), f"""
 WITH s AS (SELECT count(gap) * 1.0 / count(*) AS p, count(*) AS n FROM {ITEMS} t), b AS (SELECT CAST(floor(100 * (p - 1.96 * sqrt(p * (1 - p) / n))) AS INTEGER) AS c FROM s)
 SELECT 'gap' AS column_name, '''gap'' has less than ' || (100 - c) || '% missing values' AS description,
@@ -525,6 +583,49 @@ SQL["repository_query"] = " UNION ALL ".join(
     for d, s in ((1001, "O"), (1002, "P")))
 
 
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each priority's orders, saved to a file through Hadoop under tags, twice, and read back by tag and date."""
+    path, orders = FileSystemMetricsRepository.helper_metrics_file(spark), table(spark, sf_dir, "orders")
+    repo = FileSystemMetricsRepository(spark, f"file://{path}")
+    for i, status in enumerate(("F", "O", "F")):
+        (AnalysisRunner(spark).onData(orders.where(F.col("o_orderstatus") == status)).addAnalyzer(Size()).useRepository(repo)
+         .saveOrAppendResult(ResultKey(1000 + i, {"status": status})).run())
+    got = FileSystemMetricsRepository(spark, f"file://{path}").load().withTagValues({"status": "F"}).before(1001).getSuccessMetricsAsJson()
+    return spark.createDataFrame([(m["name"], float(m["value"]), int(m["dataset_date"]), m["status"]) for m in got],
+                                 "name string, value double, dataset_date long, status string")
+
+
+QUERIES["repository_files"] = repository_files
+SQL["repository_files"] = "SELECT 'Size' AS name, CAST(count(*) AS DOUBLE) AS value, CAST(1000 AS BIGINT) AS dataset_date, 'F' AS status FROM orders WHERE o_orderstatus = 'F'"
+
+
+def two_binnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two histograms of one column under different binnings, kept apart by a repository."""
+    repo = InMemoryMetricsRepository(spark)
+    tens, halves = Histogram("l_quantity", lambda c: F.floor(c / 10).cast("int")), Histogram("l_quantity", lambda c: F.floor(c / 25).cast("int"))
+    AnalysisRunner(spark).onData(items(spark, sf_dir)).addAnalyzer(tens).addAnalyzer(halves).useRepository(repo).saveOrAppendResult(ResultKey(1)).run()
+    got = [repo.load().forAnalyzers([a]).getSuccessMetricsAsJson() for a in (tens, halves)]
+    return spark.createDataFrame([(k, m["name"], round(float(m["value"]), DIGITS)) for k, ms in zip(("tens", "halves"), got, strict=True) for m in ms
+                                  if m["name"] == "Histogram.bins"], "binning string, name string, value double")
+
+
+QUERIES["repository_two_binnings"] = two_binnings
+SQL["repository_two_binnings"] = " UNION ALL ".join(
+    f"SELECT '{k}' AS binning, 'Histogram.bins' AS name, CAST(count(DISTINCT floor(l_quantity / {d})) AS DOUBLE) AS value FROM lineitem" for k, d in (("tens", 10), ("halves", 25)))
+
+
+def offset_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation of values far from zero, from the states of parts."""
+    df = items(spark, sf_dir).select("l_returnflag", (F.col("l_quantity") + 1e9).alias("far"))
+    parts = [states.states(df.where(F.col("l_returnflag") == f), ["far"]) for f in ("A", "N", "R")]
+    found = states.metrics(states.merge(parts)).where("name = 'StandardDeviation'")
+    return found.select("instance", "name", F.round("value", 3).alias("value"))
+
+
+QUERIES["states_merged_offset"] = offset_states
+SQL["states_merged_offset"] = "SELECT 'far' AS instance, 'StandardDeviation' AS name, round(stddev_pop(l_quantity), 3) AS value FROM lineitem"
+
+
 def merged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the whole table from the states of its parts."""
     df = items(spark, sf_dir)

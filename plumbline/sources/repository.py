@@ -176,11 +176,16 @@ class FileSystemMetricsRepository(MetricsRepository):
                 return []
             with open(self.path, encoding="utf-8") as f:
                 return f.read().splitlines()
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return []
-        return [r[0] for r in self.spark.read.text(self.path).collect()]  # a history of metrics, not data
+        files, place = self._hadoop()
+        for path in (self.path, f"{self.path}.old"):  # the second if a writer was lost between its renames
+            if files.exists(place(path)):
+                return [r[0] for r in self.spark.read.text(path).collect()]  # a history of metrics, not data
+        return []
+
+    def _hadoop(self) -> tuple[Any, Any]:
+        """The file system of the path, and what makes a path of a name."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return place(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
 
     def write(self, metrics: list[StoredMetric]) -> None:
         lines = [json.dumps(m.__dict__) for m in metrics]
@@ -190,7 +195,15 @@ class FileSystemMetricsRepository(MetricsRepository):
                 f.write("\n".join(lines))
             os.replace(f"{self.path}.new", self.path)
             return
-        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        new, old = f"{self.path}.new", f"{self.path}.old"
+        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(new)
+        files, place = self._hadoop()
+        if files.exists(place(self.path)):
+            files.delete(place(old), True)
+            files.rename(place(self.path), place(old))
+        if not files.rename(place(new), place(self.path)):
+            raise OSError(f"{new} cannot be renamed to {self.path}")
+        files.delete(place(old), True)
 
 
 def metrics_table(repository: MetricsRepository) -> DataFrame:

@@ -9,6 +9,7 @@ from plumbline import (
     VerificationSuite,
 )
 
+#: Rows and expected results that must equal those of the API's users.
 ROWS = [
     ("foo", 1, 5, 5, 3, 1, "a", 0, "5130566665286573", "foo@example.com", "123-45-6789", "http://userid@example.com:8080", "true"),
     ("bar", 2, 6, 5, 2, 2, "b", -1, "4532677117740914", "bar@example.com", "123456789", "http://foo.com/(something)?after=parens", "false"),
