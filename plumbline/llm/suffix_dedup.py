@@ -9,6 +9,10 @@ can repeat only if its sampled suffix's hash does. Spark's external sort carries
 tuples (hash, text, position): it is the disk-backed queue that delivers each class of
 equal hashes together, whatever the memory.
 
+Runs of a short period, such as blanks, would sample every position. All windows of such a run
+recur in it, so the run goes as a whole, and only its first windows, one for each place in the
+period, stand for it where other texts are compared.
+
 Induction. Within a class, sampled suffixes are sorted by what follows, in rounds over
 eight bytes, with the lengths of common prefixes of neighbours. The order of the suffixes
 d bytes further left is then induced from the order at d - 1 by a stable sort on one
@@ -40,6 +44,8 @@ LENGTH = 200
 GRAM = 64
 CLASS_LIMIT = 20_000
 BATCH_BYTES = 8_000_000
+#: Longest period of runs that go as a whole; those of longer ones sample few positions.
+MOST_PERIOD = 32
 
 _RNG = np.random.default_rng(5)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -99,6 +105,26 @@ def owners(at: np.ndarray, value: np.ndarray, least: np.ndarray) -> np.ndarray:
         owner[wrong] += 1
 
 
+def periodic(data: np.ndarray, at: np.ndarray, value: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(start, end, period) of runs in which sampled hashes recur so close, and that are longer than a window by a period at least."""
+    steps = np.diff(at)
+    out = []
+    for p in np.unique(steps[(steps <= MOST_PERIOD) & (value[1:] == value[:-1])]).tolist():
+        same = np.concatenate([[0], (data[p:] == data[:-p]).view(np.int8), [0]])
+        edges = np.flatnonzero(np.diff(same))
+        long = edges[1::2] - edges[::2] >= length
+        out += [(a, b + p, p) for a, b in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True)]
+    return out
+
+
+def compared(runs: list[tuple[int, int, int]], windows: int, length: int = LENGTH) -> np.ndarray:
+    """The windows that are compared with others: all but those in runs after the first period."""
+    needed = np.ones(windows, bool)
+    for a, b, p in runs:
+        needed[a + p:b - length + 1] = False
+    return np.flatnonzero(needed)
+
+
 def right_order(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray,
                 most: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each suffix data[start:end] within the order by (group, bytes), and common prefixes with the one before.
@@ -229,41 +255,57 @@ def _samples(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, len(batch), 256):
-                keys, ats, values = [], [], []
+                keys, ats, values, known = [], [], [], []
                 rows = batch.slice(part, 256)
                 for key, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                    at, value, _ = sampled(np.frombuffer(text.as_buffer(), np.uint8), length, gram)
+                    data = np.frombuffer(text.as_buffer(), np.uint8)
+                    at, value, least = sampled(data, length, gram)
+                    if runs := periodic(data, at, value, length):
+                        who = np.unique(owners(at, value, least)[compared(runs, len(least), length)])
+                        at, value = at[who], value[who]
+                        known += [(key, a, b) for a, b, _ in runs]
                     keys.append(np.full(len(at), key, np.int64))
                     ats.append(at)
                     values.append(value)
+                n, names = sum(map(len, ats)), ["text", "at", "hash", "stop"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (keys, ats)] + [pa.array(np.concatenate(values).view(np.int64))],
-                    names=["text", "at", "hash"])
+                    [*(pa.array(np.concatenate(x)) for x in (keys, ats)), pa.array(np.concatenate(values).view(np.int64)), pa.nulls(n, pa.int64())], names=names)
+                if known:
+                    text, start, stop = (pa.array(x, pa.int64()) for x in zip(*known, strict=True))
+                    yield pa.RecordBatch.from_arrays([text, start, pa.nulls(len(known), pa.int64()), stop], names=names)
 
     return run
 
 
 def _surroundings(length: int, gram: int):
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                          names=["text", "at", "low", "high", "hash", "code", "around"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            for part in range(0, len(batch), 64):
-                rows = batch.slice(part, 64)
-                out: list[tuple] = []
-                for key, text, chosen in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True):
-                    raw = text.as_py()
-                    at, value, least = sampled(np.frombuffer(raw, np.uint8), length, gram)
-                    owner = owners(at, value, least)
-                    who, first, count = np.unique(owner, return_index=True, return_counts=True)
-                    mine = np.isin(at[who], np.asarray(chosen.values))
-                    for w, a, n in zip(who[mine].tolist(), first[mine].tolist(), count[mine].tolist(), strict=True):
-                        around = raw[a:a + n - 1 + length]
-                        m = int(at[w])
-                        code = hashlib.blake2b(around + (m - a).to_bytes(2, "big"), digest_size=16).digest()
-                        out.append((key, m, a, a + n - 1, int(value[w].view(np.int64)), code, around))
-                cols = list(zip(*out, strict=True)) or [[]] * 7
-                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                                 names=["text", "at", "low", "high", "hash", "code", "around"])
+            for key, text, chosen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw = text.as_py()
+                data = np.frombuffer(raw, np.uint8)
+                at, value, least = sampled(data, length, gram)
+                windows = compared(periodic(data, at, value, length), len(least), length)
+                who, first, count = np.unique(owners(at, value, least)[windows], return_index=True, return_counts=True)
+                low, high = windows[first], windows[first + count - 1]
+                mine = np.isin(at[who], np.asarray(chosen.values))
+                for w, a, b in zip(who[mine].tolist(), low[mine].tolist(), high[mine].tolist(), strict=True):
+                    around = raw[a:b + length]
+                    m = int(at[w])
+                    code = hashlib.blake2b(around + (m - a).to_bytes(2, "big"), digest_size=16).digest()
+                    out.append((key, m, a, b, int(value[w].view(np.int64)), code, around))
+                    size += len(around)
+                    if size > BATCH_BYTES:
+                        yield made(out)
+                        out, size = [], 0
+        yield made(out)
 
     return run
 
@@ -320,7 +362,9 @@ def repeated_bytes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cla
     """(text, start, end): intervals of repeated bytes in different texts, given as (text long, bytes binary)."""
     spark = texts.sparkSession
     texts = texts.where(F.octet_length("bytes") >= length).select("text", "bytes")
-    samples = saved(texts.mapInArrow(_samples(length, gram), "text long, at long, hash long"), "samples")
+    samples = saved(texts.mapInArrow(_samples(length, gram), "text long, at long, hash long, stop long"), "samples")
+    known = samples.where("stop is not null").select("text", F.col("at").alias("start"), F.col("stop").alias("end"))
+    samples = samples.where("stop is null").select("text", "at", "hash")
     twice = saved(samples.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
     chosen = saved(samples.join(twice, "hash").groupBy("text").agg(F.collect_list("at").alias("chosen")), "chosen")
     # Only texts with such a suffix are shuffled to meet their positions.
@@ -342,7 +386,7 @@ def repeated_bytes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cla
         work = saved(work, "work")
         usual, hot = work.where(F.col("c") <= class_limit), work.where(F.col("c") > class_limit)
     sorted_ = usual.drop("c").repartition(partitions(spark), "hash").sortWithinPartitions("hash", "text", "at")
-    out = whole.union(sorted_.mapInArrow(_induced(length), "text long, start long, end long"))
+    out = whole.union(known).union(sorted_.mapInArrow(_induced(length), "text long, start long, end long"))
     if hot is not None:
         each = saved(hot.drop("c").mapInArrow(_windows(length), "code binary, text long, start long, n long"), "windows")
         again = saved(each.groupBy("code").agg(F.sum("n").alias("m")).where("m > 1").select("code"), "again")

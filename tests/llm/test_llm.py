@@ -398,6 +398,23 @@ def test_induced_order_on_small_alphabets():
         assert got == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1) if count[t[i:i + length]] > 1}
 
 
+def test_suffix_dedup_of_periodic_runs(spark):
+    rng = random.Random(8)
+    base = ["a" * 200, "a" * 201, "a" * 3000, "b" * 200, "c" * 230, "ab" * 100, "ab" * 101, "xyz" * 500 + prose(rng, 60), prose(rng, 60) + "xyz" * 70,
+            "é " * 400 + "a" * 260 + " \n" * 300, "q" + "a" * 250 + "q", "zx" * 150 + "a" * 199, " \n" * 103]
+    df = spark.createDataFrame(list(enumerate(base)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_bytes(df).collect()}
+    assert [got[i] for i in range(len(base))] == kept_bytes(base, 200)
+
+
+@pytest.mark.parametrize("run", ["a", "\n", "ab"])
+def test_long_runs_sample_few_positions(run):
+    data = np.frombuffer((run * 2_000_000).encode()[:2_000_000] + b"end", np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([data.tobytes()])], names=["text", "bytes"])
+    rows = [b for b in suffix_dedup._samples(200, 64)([batch])]
+    assert sum(len(b) for b in rows) < 400 and rows[-1].column("stop").to_pylist() == [2_000_000]
+
+
 def test_suffix_dedup_edge_cases(empty, odd):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
     assert sorted(r["n_removed"] for r in suffix_dedup.dedup_bytes(odd, 10, 4).collect()) == [0, 0, 10, 14, 14]
