@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 2048
+#: Small letters of Unicode 16 and 17 that Python's tables may lack, by capital letter.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+         **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
 #: Words whose counts a worker keeps; the store starts anew when full.
 CACHE_WORDS = 400_000
 
@@ -116,7 +119,7 @@ class PairMerger:
             text = unicodedata.normalize("NFC", text)
         if self.lower:
             # Letter by letter, without the special rule for a final sigma.
-            text = text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
+            text = text.lower() if text.isascii() else text.replace("Σ", "σ").lower().translate(NEWER)
         total, cache = 0, self.cache
         for word in self.words(text):
             n = cache.get(word)
