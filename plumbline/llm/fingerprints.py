@@ -140,8 +140,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text replaces the last floor(n/2) code points by the first as many (or all)
     of the next row's text in ascending id order; after the last row comes the first.
     Rows are cut into ranges of ids whose bounds are ids of the data. The first row of a
-    range is also sent to the range before it, so texts move in one shuffle and no task
-    needs more than a range. Null ids come first; ties are ordered by text.
+    range is also sent to the range before it, so texts move in one shuffle and each task
+    gets one range. Null ids come first; ties are ordered by text.
     """
     spark = docs.sparkSession
     ranges = partitions(spark)
@@ -160,7 +160,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array(F.lit(0), F.lit(1)))))
     rows = rows.select(F.when(F.col("copy") == 0, F.col("part")).otherwise(F.col("before")).cast("int").alias("part"),
                        F.col("copy").cast("int").alias("copy"), "id", "t")
-    rows = rows.repartition(ranges, "part").sortWithinPartitions("part", "copy", F.asc_nulls_first("id"), "t")
+    rows = rows.repartitionById(ranges, "part").sortWithinPartitions("part", "copy", F.asc_nulls_first("id"), "t")
 
     def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
         n = len(ids)
