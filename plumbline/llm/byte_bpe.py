@@ -173,17 +173,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             yield {"id": key, "ids": gather(start[mine], length[mine], flat).tobytes()}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("id", _arrow_type(docs, id_col)), ("ids", pa.binary())])
+    schema = pa.schema([("id", wordblocks.arrow_type(docs, id_col)), ("ids", pa.binary())])
     made = wordblocks.each_word(found, encoder)
     return wordblocks.with_texts(found, made, put_together, f"id {kind}, ids binary", schema).withColumnRenamed("id", id_col)
 
 
-def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
 def gather(start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The concatenation of flat[start:start + length] over all pairs."""
     total = int(length.sum())

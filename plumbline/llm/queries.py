@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     common,
+    conversations,
     decontaminate,
     fingerprints,
     line_dedup,
@@ -87,6 +88,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, copies=copies, texts=False).drop("repaired")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_byte_bpe": op13_byte_bpe,
     }
     return made

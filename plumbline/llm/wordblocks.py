@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -143,6 +144,10 @@ def batches(rows: Iterable[dict], schema: pa.Schema, limit: int = 8_000_000) ->
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def bucket_count(df: DataFrame) -> int:
     return 8 * common.partitions(df.sparkSession)
 
