@@ -17,6 +17,7 @@ from . import (
     ngram_join,
     oracles,
     packing,
+    phrases,
     sharding,
     suffix_dedup,
     token_counts,
@@ -88,6 +89,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, copies = conversations.damage(table(spark, sf_dir, "conversations"))
     return conversations.repair(rows, copies=copies, texts=False).drop("repaired")
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op11_collocations": op11_collocations,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_byte_bpe": op13_byte_bpe,
     }
