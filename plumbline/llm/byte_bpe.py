@@ -12,9 +12,11 @@ repeated rows each get a row; null ids of documents stay null. Columns other tha
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -133,44 +135,50 @@ def code_ranges(chars: str) -> str:
     return "".join(out)
 
 
-def splitter(pattern: str, apart: str) -> Callable[[str], Iterator[str]]:
-    """The function from a text to its words.
+#: Two blanks in a row, of which one is a space; most texts have none.
+BLANKS = re.compile(r"\s | \s")
+PAIRS = [p for c in " \t\n\r\x0b\x0c" for p in (c + " ", " " + c)]
+CUTS = re.compile(r"(?<=\S)(?= \S)")
+
+
+def chunks(text: str) -> Iterator[str]:
+    """The text cut before single spaces between other signs, where every match of the patterns in use ends."""
+    if any(p in text for p in PAIRS) if text.isascii() else BLANKS.search(text):
+        return iter(CUTS.split(text))
+    parts = text.split(" ")
+    return chain(parts[:1], map(" ".__add__, islice(parts, 1, None)))
+
+
+def splitter(pattern: str, apart: str) -> Callable[[str], list[str]]:
+    """The function from a chunk of text to its words.
 
     Code points in ``apart`` (as class ranges) are neither letters nor numbers to the library; texts with one of them take a
     pattern that says so.
     """
     plain = regex.compile(pattern)
     if not apart:
-        return lambda text: iter(plain.findall(text)) if len(text) < 1_000_000 else (m.group() for m in plain.finditer(text))
+        return plain.findall
     odd = regex.compile(f"[{apart}]")
     strict = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{apart}]]")
                            .replace(r" ?\p{L}", rf" ?[\p{{L}}--[{apart}]]").replace(r" ?\p{N}", rf" ?[\p{{N}}--[{apart}]]"), regex.V1)
-
-    def words(text: str) -> Iterator[str]:
-        used = plain if text.isascii() or not odd.search(text) else strict
-        return iter(used.findall(text)) if len(text) < 1_000_000 else (m.group() for m in used.finditer(text))
-
-    return words
+    return lambda text: (plain if text.isascii() or not odd.search(text) else strict).findall(text)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of each row; ids as little-endian unsigned 32-bit integers. Two shuffles, of dictionaries and of word numbers."""
     apart = code_ranges(letters_apart(pattern))
-    found = wordblocks.blocks(docs, id_col, text_col, lambda: splitter(pattern, apart), name="pretokens")
+    found = wordblocks.blocks(docs, id_col, text_col, lambda: (chunks, splitter(pattern, apart)), name="pretokens")
 
     def encoder() -> Callable[[list[bytes]], list[bytes]]:
         ranks = read_ranks(vocabulary)
         return lambda words: [np.array(merge_word(w, ranks), "<u4").tobytes() for w in words]
 
-    def put_together(answers: list[bytes], keys: list, sizes: np.ndarray, codes: np.ndarray) -> Iterator[dict]:
-        length = np.array([len(a) // 4 for a in answers], np.int64)
-        flat = np.frombuffer(b"".join(answers), "<u4")
-        start = np.cumsum(length) - length
+    def put_together(start: np.ndarray, length: np.ndarray, flat: np.ndarray, keys: list, sizes: np.ndarray, codes: np.ndarray) -> Iterator[dict]:
         at = 0
         for key, n in zip(keys, sizes.tolist(), strict=True):
             mine = codes[at:at + n]
             at += n
-            yield {"id": key, "ids": gather(start[mine], length[mine], flat).tobytes()}
+            yield {"id": key, "ids": wordblocks.gather(start[mine], length[mine], flat).astype("<u4").tobytes()}
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = pa.schema([("id", wordblocks.arrow_type(docs, id_col)), ("ids", pa.binary())])
@@ -178,15 +186,6 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return wordblocks.with_texts(found, made, put_together, f"id {kind}, ids binary", schema).withColumnRenamed("id", id_col)
 
 
-def gather(start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The concatenation of flat[start:start + length] over all pairs."""
-    total = int(length.sum())
-    if not total:
-        return flat[:0]
-    ends = np.cumsum(length)
-    return flat[np.arange(total) + np.repeat(start - (ends - length), length)]
-
-
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``decoded``: bytes of their ids, by a join with the token-byte table that every task holds.
 
@@ -207,7 +206,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
                 ids = np.frombuffer(raw, "<u4")
                 if len(ids) and (int(ids.max()) >= len(size) or (size[ids] < 0).any()):
                     raise ValueError("an id has no token")
-                texts.append(gather(start[ids], size[ids], data).tobytes())
+                texts.append(wordblocks.gather(start[ids], size[ids], data).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*out, "decoded"])
 
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"

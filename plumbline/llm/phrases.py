@@ -47,50 +47,44 @@ TOKENS = re.compile("[^ \t.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
 BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d"[i:i + 1] for i in range(10))
 
 
-def words_and_breaks(text: str) -> Iterator[str]:
-    """Words and ends of pieces; the text itself ends one. Only A to Z are lower-cased."""
-    text = text.encode().lower().decode()
-    if len(text) < 1_000_000:
-        return iter([*TOKENS.findall(text), "."])
-    return chain((m.group() for m in TOKENS.finditer(text)), ".")
+def chunks(text: str) -> Iterator[str]:
+    """Stretches between spaces, then the end of the text as one of its own. Only A to Z are lower-cased."""
+    return chain(text.encode().lower().decode().split(" "), ".")
 
 
 # -- arrays of counts, summed as a tree -------------------------------------------
 
 
 class Cells:
-    """An array of counts, as rows of cells that are in use; rows are given up when there are too many to hold."""
+    """An array of counts in 32 bits, one flat array if it has few rows; else rows in use, given up when there are too many to hold."""
 
-    def __init__(self, most: int = 256):
+    def __init__(self, size: int, most: int = 256):
         self.most = most
+        rows = -(-size // ROW_CELLS)
+        self.flat = np.zeros(rows * ROW_CELLS, np.int32) if rows <= most else None
         self.rows: dict[int, np.ndarray] = {}
 
     def add(self, at: np.ndarray) -> Iterator[dict]:
         """Counts cells; gives rows of counts if there is no more room."""
-        if not len(at):
+        if self.flat is not None:
+            np.add.at(self.flat, at, 1)
             return
-        low = int(at.min()) // ROW_CELLS
-        span = int(at.max()) // ROW_CELLS - low + 1
-        if span <= self.most:
-            counts = np.bincount(at - low * ROW_CELLS, minlength=span * ROW_CELLS).reshape(span, ROW_CELLS)
-            some = [(low + int(i), counts[i]) for i in np.flatnonzero(counts.any(axis=1))]
-        else:
-            at = np.sort(at)
-            cuts = np.flatnonzero(np.diff(at // ROW_CELLS)) + 1
-            some = [(int(p[0]) // ROW_CELLS, np.bincount(p % ROW_CELLS, minlength=ROW_CELLS)) for p in np.split(at, cuts)]
-        for row, counts in some:
-            mine = self.rows.get(row)
-            if mine is None:
-                self.rows[row] = counts.astype(np.int64)
-            else:
-                mine += counts
+        at = np.sort(at)
+        for some in np.split(at, np.flatnonzero(np.diff(at // ROW_CELLS)) + 1):
+            if len(some):
+                row = int(some[0]) // ROW_CELLS
+                if row not in self.rows:
+                    self.rows[row] = np.zeros(ROW_CELLS, np.int32)
+                self.rows[row] += np.bincount(some % ROW_CELLS, minlength=ROW_CELLS).astype(np.int32)
         if len(self.rows) > self.most:
             yield from self.given()
 
     def given(self) -> Iterator[dict]:
         part = TaskContext.get().partitionId()
+        if self.flat is not None:
+            self.rows = {i: c for i, c in enumerate(self.flat.reshape(-1, ROW_CELLS)) if c.any()}
         for row, counts in sorted(self.rows.items()):
-            yield array_row(row, part, counts)
+            yield array_row(row, part, counts.astype(np.int64))
         self.rows = {}
 
 
@@ -190,8 +184,10 @@ class Table:
             for level, n in enumerate(z.tolist()):
                 self.base[level, s], self.size[level, s] = at, n
                 at += n
-        self.bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(sizes[s].sum())) for s, _, b, _ in shards]) if shards else np.zeros(0, np.uint8)
-        self.rank = np.cumsum(self.bits, dtype=np.int32) - 1
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(sizes[s].sum())) for s, _, b, _ in shards]
+        packed = np.packbits(np.concatenate([*bits, np.zeros(64, np.uint8)]), bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<u8")
+        self.before = np.cumsum(np.bitwise_count(self.words), dtype=np.int32) - np.bitwise_count(self.words)
         self.keys = np.concatenate([np.frombuffer(k, "<i8") for _, _, _, k in shards]) if shards else np.zeros(0, np.int64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
@@ -207,8 +203,10 @@ class Table:
             if not len(left):
                 break
             at = self.base[level][shard[left]] + (mixed(keys[left], level + 1) % size.astype(np.uint64)).astype(np.int64)
-            hit = self.bits[at] > 0
-            out[left[hit]] = self.rank[at[hit]]
+            word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit & np.uint64(1)) > 0
+            lower = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[left[hit]] = self.before[at[hit] >> 6] + np.bitwise_count(lower)
             left = left[~hit]
         found = np.flatnonzero(out >= 0)
         out[found[self.keys[out[found]] != keys[found]]] = -1
@@ -266,6 +264,7 @@ class Level:
             table = Table([tuple(r) for r in rows], count, first)
             self.tables.append(spark.sparkContext.broadcast(table))
             first += -(-len(table.keys) // ROW_CELLS) * ROW_CELLS  # a row of counts belongs to one part
+        self.slots = first
         if first >= 1 << 31:
             raise ValueError("more than 2**31 candidates on one level; raise the least count")
 
@@ -365,7 +364,7 @@ def word_counts(found: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Dat
 
         yield from batches(out(), schema)
 
-    dictionaries = found.where("bucket is not null")
+    dictionaries = found.where(f"bucket > {wordblocks.PLACES}")
     passed = dictionaries.select("bucket", "tags", "words", "uses").repartition(n, "bucket").sortWithinPartitions("bucket")
     counted = common.saved(passed.mapInArrow(count, "bucket int, lang binary, word binary, f long"), "words")
     totals = counted.where("word is null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.sum("f").alias("n"))
@@ -383,29 +382,26 @@ def word_counts(found: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Dat
     numbered = common.saved(frequent.join(F.broadcast(offsets), "bucket").select(
         "bucket", "lang", "word", "f", (F.col("start") + F.row_number().over(own) - 1).alias("id")), "word_numbers")
 
-    answer_schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("made", pa.binary())])
-
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[dict]:
             now, known = None, {}
             for batch in rows:
-                for block, bucket, tags, words, places, lang, word, i in zip(*(batch.column(j) for j in range(8)), strict=True):
+                for block, bucket, tags, words, lang, word, i in zip(*(batch.column(j) for j in range(7)), strict=True):
                     if bucket.as_py() != now:
                         now, known = bucket.as_py(), {}
                     if i.as_py() is not None:
                         known[lang.as_py(), word.as_py()] = (i.as_py() + 1).to_bytes(4, "little")
                         continue
                     pairs = zip(wordblocks.unpack_bytes(tags.as_py()), wordblocks.unpack_bytes(words.as_py()), strict=True)
-                    yield {"block": block.as_py(), "bucket": now, "places": places.as_py(), "made": wordblocks.pack_bytes([known.get(p, b"") for p in pairs])}
+                    yield {"block": block.as_py(), "bucket": now} | wordblocks.answers([known.get(p, b"") for p in pairs])
 
-        yield from batches(out(), answer_schema)
+        yield from batches(out(), wordblocks.ANSWER_SCHEMA)
 
     none = lambda kind: F.lit(None).cast(kind)
-    asked = dictionaries.select("block", "bucket", "tags", "words", "places", none("binary").alias("lang"), none("binary").alias("word"), none("long").alias("id"))
-    told = numbered.select(none("long").alias("block"), "bucket", none("binary").alias("tags"), none("binary").alias("words"), none("binary").alias("places"),
-                           "lang", "word", "id")
+    asked = dictionaries.select("block", "bucket", "tags", "words", none("binary").alias("lang"), none("binary").alias("word"), none("long").alias("id"))
+    told = numbered.select(none("long").alias("block"), "bucket", none("binary").alias("tags"), none("binary").alias("words"), "lang", "word", "id")
     made = told.union(asked).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(
-        answer, "block long, bucket int, places binary, made binary")
+        answer, wordblocks.ANSWERS)
     return numbered.select("id", F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), "f"), totals, made
 
 
@@ -418,7 +414,7 @@ def with_filter(stream: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[dict]:
-            counts = Cells()
+            counts = Cells(cells)
             for numbers in stream(found):
                 _, keys = keys_of(numbers)
                 if len(keys):
@@ -449,11 +445,12 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     """
     spark = docs.sparkSession
     tagged = docs.select(F.lit(0).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("tag"))
-    found = wordblocks.blocks(tagged, "key", "text", lambda: words_and_breaks, tag="tag", name="phrase_words")
+    found = wordblocks.blocks(tagged, "key", "text", lambda: (chunks, TOKENS.findall), tag="tag", uses=True, name="phrase_words")
     words, totals, answers = word_counts(found, least)
 
-    def as_numbers(made: list[bytes], keys: list, sizes: np.ndarray, codes: np.ndarray) -> Iterator[dict]:
-        number = np.array([int.from_bytes(a, "little") for a in made], np.uint32)
+    def as_numbers(start: np.ndarray, length: np.ndarray, flat: np.ndarray, keys: list, sizes: np.ndarray, codes: np.ndarray) -> Iterator[dict]:
+        number = np.zeros(len(length), np.uint32)
+        number[length > 0] = flat[start[length > 0]]
         yield {"numbers": pack(number[codes])}
 
     stream = common.saved(wordblocks.with_texts(found, answers, as_numbers, "numbers binary", pa.schema([("numbers", pa.binary())])), "numbers")
@@ -494,13 +491,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
             break
         tables = made.tables
 
-        def counts(found: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
+        def counts(found: Iterator[pa.RecordBatch], tables=tables, slots=made.slots) -> Iterator[pa.RecordBatch]:
             def out() -> Iterator[dict]:
-                total = Cells()
+                total = Cells(slots)
                 for batch in found:
                     for numbers in numbers_in(batch):
-                        slots = look_up(tables, keys_of(numbers)[1])
-                        yield from total.add(slots[slots >= 0])
+                        at = look_up(tables, keys_of(numbers)[1])
+                        yield from total.add(at[at >= 0])
                 yield from total.given()
 
             yield from batches(out(), ARRAY_SCHEMA)

@@ -11,6 +11,7 @@ input; a single longer text is a block of its own.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -26,9 +27,9 @@ from . import common
 BLOCK_CHARS = 32_000_000
 BLOCK_WORDS = 1_000_000
 #: Words in a row of texts, unless one text has more.
-ROW_WORDS = 500_000
-#: Words of a long text that are taken at a time.
-STEP = 1_000_000
+ROW_WORDS = 1_000_000
+#: Chunks of a long text that are taken at a time; code points of a chunk that is remembered.
+STEP, CHUNK_KEPT = 1_000_000, 64
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -48,79 +49,149 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def squeeze(data: bytes) -> bytes:
+    """Deflated by an algorithm that also finds what is repeated far away; the size comes first."""
+    return len(data).to_bytes(8, "little") + bytes(pa.Codec("zstd", compression_level=9).compress(data))
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return bytes(pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little")))
+
+
+#: Fixed values of the code for small numbers: below ONE a byte, then LOW leading bytes with one more, the others with two more.
+ONE, LOW = 192, 40
+
+
+def pack_ranks(numbers: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: leading bytes, second and third bytes, each deflated apart."""
+    two, three = ONE, ONE + LOW * 256
+    if len(numbers) and int(numbers.max()) >= three + (256 - ONE - LOW) * 65536:
+        return b"\0" + pack(numbers)
+    v = numbers.astype(np.int64)
+    mid, far = (v >= two) & (v < three), v >= three
+    lead = np.where(mid, ONE + (v - two >> 8), np.where(far, ONE + LOW + (v - three >> 16), v)).astype(np.uint8)
+    rest = np.where(mid, v - two, v - three)[mid | far]
+    parts = [squeeze(x.tobytes()) for x in (lead, (rest & 255).astype(np.uint8), ((v[far] - three) >> 8 & 255).astype(np.uint8))]
+    return b"\1" + b"".join(len(p).to_bytes(4, "little") for p in parts[:2]) + b"".join(parts)
+
+
+def unpack_ranks(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return unpack(data[1:])
+    a, b = int.from_bytes(data[1:5], "little"), int.from_bytes(data[5:9], "little")
+    lead, second, third = (np.frombuffer(unsqueeze(x), np.uint8).astype(np.int64) for x in (data[9:9 + a], data[9 + a:9 + a + b], data[9 + a + b:]))
+    out = lead.copy()
+    more = np.flatnonzero(lead >= ONE)
+    value = np.where(lead[more] < ONE + LOW, ONE + ((lead[more] - ONE) << 8), ONE + LOW * 256 + ((lead[more] - ONE - LOW) << 16)) + second
+    value[lead[more] >= ONE + LOW] += third << 8
+    out[more] = value
+    return out
+
+
 def pack_bytes(parts: list[bytes]) -> bytes:
     sizes = pack(np.array([len(p) for p in parts], np.uint32))
-    return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(b"".join(parts), 1)
+    return len(sizes).to_bytes(4, "little") + sizes + squeeze(b"".join(parts))
 
 
 def unpack_bytes(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:4], "little")
     ends = np.cumsum(unpack(data[4:4 + n]), dtype=np.int64).tolist()
-    body = zlib.decompress(memoryview(data)[4 + n:])
+    body = unsqueeze(data[4 + n:])
     return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-class Numbers(dict):
-    """Numbers for words of one tag, in order of first use; ``every`` counts over all tags of the block."""
+def gather(start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The concatenation of flat[start:start + length] over all pairs."""
+    total = int(length.sum())
+    if not total:
+        return flat[:0]
+    ends = np.cumsum(length)
+    return flat[np.arange(total) + np.repeat(start - (ends - length), length)]
 
-    def __init__(self, every: list[tuple[str, str]], tag: str):
-        super().__init__()
-        self.every, self.tag = every, tag
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.every)
-        self.every.append((self.tag, word))
+class Chunks(dict):
+    """Numbers for chunks of text of one tag, in order of first use; a chunk's words are looked up once."""
+
+    def __init__(self, block: Block, tag: str, words_of: Callable[[str], list[str]]):
+        super().__init__()
+        self.block, self.tag, self.words_of = block, tag, words_of
+        self.numbers: dict[str, int] = {}
+
+    def __missing__(self, chunk: str) -> int:
+        block, numbers = self.block, self.numbers
+        n = len(block.ends)
+        for w in self.words_of(chunk):
+            i = numbers.get(w)
+            if i is None:
+                i = numbers[w] = len(block.words)
+                block.words.append(w)
+                block.tag_of.append(self.tag)
+            block.flat.append(i)
+        block.ends.append(len(block.flat))
+        if len(chunk) <= CHUNK_KEPT:
+            self[chunk] = n
         return n
 
 
 class Block:
-    """Texts of one block while they are read."""
+    """Texts of one block while they are read: for each text the numbers of its chunks, for each chunk those of its words."""
 
     def __init__(self, number: int):
         self.number = number
-        self.every: list[tuple[str, str]] = []
-        self.tags: dict[str, Numbers] = {}
+        self.words: list[str] = []
+        self.tag_of: list[str] = []
+        self.flat, self.ends = array("I"), array("Q")
+        self.tags: dict[str, Chunks] = {}
         self.keys: list = []
         self.texts: list[np.ndarray] = []
         self.chars = 0
 
-    def add(self, key, tag: str, words: Iterator[str], chars: int) -> None:
-        numbers = self.tags.get(tag)
-        if numbers is None:
-            numbers = self.tags[tag] = Numbers(self.every, tag)
+    def add(self, key, tag: str, chunks: Iterator[str], words_of: Callable[[str], list[str]], chars: int) -> None:
+        known = self.tags.get(tag)
+        if known is None:
+            known = self.tags[tag] = Chunks(self, tag, words_of)
         parts = []
-        while some := list(islice(words, STEP)):
-            parts.append(np.fromiter(map(numbers.__getitem__, some), np.uint32, len(some)))
+        while some := list(islice(chunks, STEP)):
+            parts.append(np.fromiter(map(known.__getitem__, some), np.uint32, len(some)))
         self.keys.append(key)
         self.texts.append(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32))
         self.chars += chars
 
     @property
     def full(self) -> bool:
-        return self.chars >= BLOCK_CHARS or len(self.every) >= BLOCK_WORDS
-
-    def rows(self, buckets: int) -> Iterator[dict]:
-        """Rows of the dictionary by bucket, then rows of texts; frequent words have small numbers."""
-        used = np.zeros(len(self.every), np.int64)
+        return self.chars >= BLOCK_CHARS or len(self.words) >= BLOCK_WORDS
+
+    def rows(self, buckets: int, uses: bool) -> Iterator[dict]:
+        """A row with the numbers of words in order of the dictionary, its rows by bucket, then rows of texts; frequent words have small numbers."""
+        self.tags = {}
+        flat, ends = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.uint64).astype(np.int64)
+        start = np.concatenate([np.zeros(1, np.int64), ends])[:-1]
+        length = ends - start
+        seen = np.zeros(len(ends), np.int64)
         for t in self.texts:
-            used += np.bincount(t, minlength=len(used))
+            np.add.at(seen, t, 1) if len(t) < len(seen) // 8 else np.add(seen, np.bincount(t, minlength=len(seen)), out=seen)
+        used = np.bincount(flat, weights=np.repeat(seen, length), minlength=len(self.words)).astype(np.int64)
         by_use = np.argsort(-used, kind="stable")
         rank = np.empty(len(used), np.uint32)
         rank[by_use] = np.arange(len(used), dtype=np.uint32)
-        made: dict[int, list] = {}
-        for i, (tag, word) in enumerate(self.every):
-            t, w = tag.encode(), word.encode()
-            made.setdefault(zlib.crc32(t + b"\0" + w) % buckets, []).append((t, w, i))
-        for bucket, those in sorted(made.items()):
-            those.sort()
-            at = np.array([i for _, _, i in those])
-            yield {"block": self.number, "bucket": bucket, "tags": pack_bytes([t for t, _, _ in those]), "words": pack_bytes([w for _, w, _ in those]),
-                   "uses": pack(used[at]), "places": pack(rank[at])}
+        if len(self.words):
+            bucket = np.fromiter((zlib.crc32(w.encode(), zlib.crc32(t.encode())) % buckets for t, w in zip(self.tag_of, self.words, strict=True)), np.int64, len(self.words))
+            order = np.argsort(bucket, kind="stable")
+            places = []
+            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                those = sorted((self.tag_of[i].encode(), self.words[i].encode(), i) for i in some.tolist())
+                at = np.array([i for _, _, i in those])
+                yield {"block": self.number, "bucket": int(bucket[at[0]]), "tags": pack_bytes([t for t, _, _ in those]),
+                       "words": pack_bytes([w for _, w, _ in those]), "uses": pack(used[at]) if uses else None}
+                places.append(rank[at])
+            yield {"block": self.number, "bucket": PLACES, "places": pack(np.concatenate(places))}
+        self.words, self.tag_of = [], []
+        ranked = rank[flat]
         keys, texts, total = [], [], 0
         for k, t in zip(self.keys, self.texts, strict=True):
             keys.append(k)
-            texts.append(rank[t])
-            total += len(t)
+            texts.append(gather(start[t], length[t], ranked))
+            total += len(texts[-1])
             if total >= ROW_WORDS:
                 yield self._texts(keys, texts)
                 keys, texts, total = [], [], 0
@@ -128,7 +199,7 @@ class Block:
             yield self._texts(keys, texts)
 
     def _texts(self, keys: list, texts: list[np.ndarray]) -> dict:
-        return {"block": self.number, "keys": keys, "sizes": pack(np.array([len(t) for t in texts], np.uint32)), "codes": pack(np.concatenate(texts))}
+        return {"block": self.number, "keys": keys, "sizes": pack(np.array([len(t) for t in texts], np.uint32)), "codes": pack_ranks(np.concatenate(texts))}
 
 
 def batches(rows: Iterable[dict], schema: pa.Schema, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -152,11 +223,17 @@ def bucket_count(df: DataFrame) -> int:
     return 8 * common.partitions(df.sparkSession)
 
 
-def blocks(docs: DataFrame, key: str, text: str, split: Callable[[], Callable[[str], Iterator[str]]], tag: str | None = None,
+#: In place of a bucket, on the row with the numbers of a block's words.
+PLACES = -1
+#: Functions from a text to its chunks and from a chunk to its words; no word reaches over the end of a chunk.
+Split = Callable[[], tuple[Callable[[str], Iterator[str]], Callable[[str], list[str]]]]
+
+
+def blocks(docs: DataFrame, key: str, text: str, split: Split, tag: str | None = None, uses: bool = False,
            name: str = "blocks") -> DataFrame:
-    """Saved rows of dictionaries (bucket, tags, words, uses, places) and of texts (keys, sizes, codes) of all blocks.
+    """Saved rows of dictionaries (bucket, tags, words, uses if asked for), of numbers (places) and of texts (keys, sizes, codes) of all blocks.
 
-    ``split`` makes, in the task, the function from a text to its words. A null text has none. Blocks are saved, as
+    ``split`` makes, in the task, what cuts texts into words. A null text has none. Blocks are saved, as
     their dictionaries and texts must be of one reading.
     """
     buckets = bucket_count(docs)
@@ -165,7 +242,7 @@ def blocks(docs: DataFrame, key: str, text: str, split: Callable[[], Callable[[s
             "sizes binary, codes binary")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = split()
+        chunks_of, words_of = split()
         part = TaskContext.get().partitionId()
         schema = None
 
@@ -181,29 +258,48 @@ def blocks(docs: DataFrame, key: str, text: str, split: Callable[[], Callable[[s
                         block = Block(part << 32 | n)
                         n += 1
                     t = t.as_py() or ""
-                    block.add(k.as_py(), g.as_py(), words_of(t), len(t))
+                    block.add(k.as_py(), g.as_py(), chunks_of(t), words_of, len(t))
                     if block.full:
-                        yield from block.rows(buckets)
+                        yield from block.rows(buckets, uses)
                         block = None
             if block is not None:
-                yield from block.rows(buckets)
+                yield from block.rows(buckets, uses)
 
         made = rows()
         first = next(made, None)
         if first is not None:
-            yield from batches((r for part in ([first], made) for r in part), schema)
+            yield from batches(({**dict.fromkeys(schema.names), **r} for part in ([first], made) for r in part), schema)
 
     tags = F.lit("") if tag is None else F.col(tag)
     return common.saved(common.spread(docs.select(F.col(key), F.col(text), tags.alias("tag"))).mapInArrow(run, form), name)
 
 
+ANSWERS = "block long, bucket int, sizes binary, made binary"
+ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("made", pa.binary())])
+
+
+def pack_runs(numbers: np.ndarray) -> bytes:
+    """Numbers of which the same ones follow each other often, in two bytes each if they fit."""
+    kind = "<u2" if not len(numbers) or int(numbers.max()) < 65536 else "<u4"
+    return kind[-1].encode() + squeeze(numbers.astype(kind).tobytes())
+
+
+def unpack_runs(data: bytes) -> np.ndarray:
+    return np.frombuffer(unsqueeze(data[1:]), f"<u{data[:1].decode()}").astype(np.uint32)
+
+
+def answers(parts: list[bytes]) -> dict:
+    """Columns of a row of answers, each of them 32-bit numbers one after another."""
+    return {"sizes": pack(np.array([len(p) // 4 for p in parts], np.uint32)), "made": pack_runs(np.frombuffer(b"".join(parts), "<u4"))}
+
+
 def each_word(found: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bytes]]]) -> DataFrame:
-    """(block, bucket, places, made): what ``make`` gives for the words of every dictionary, each distinct word asked once a task.
+    """(block, bucket, sizes, made): the 32-bit numbers that ``make`` gives for the words of every dictionary; each distinct word is
+    asked once a task.
 
     One shuffle by bucket of words. A task keeps the answers of its bucket, so its memory follows the distinct words of one bucket.
     """
     n = common.partitions(found.sparkSession)
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("made", pa.binary())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = make()
@@ -212,51 +308,63 @@ def each_word(found: DataFrame, make: Callable[[], Callable[[list[bytes]], list[
             known: dict[bytes, bytes] = {}
             now = None
             for batch in found:
-                for b, k, w, p in zip(*(batch.column(i) for i in range(4)), strict=True):
+                for b, k, w in zip(*(batch.column(i) for i in range(3)), strict=True):
                     if k.as_py() != now:
                         now, known = k.as_py(), {}
                     words = unpack_bytes(w.as_py())
                     new = [x for x in words if x not in known]
                     known.update(zip(new, ask(new), strict=True))
-                    yield {"block": b.as_py(), "bucket": now, "places": p.as_py(), "made": pack_bytes([known[x] for x in words])}
+                    yield {"block": b.as_py(), "bucket": now} | answers([known[x] for x in words])
+
+        yield from batches(rows(), ANSWER_SCHEMA)
+
+    words = found.where(f"bucket > {PLACES}").select("block", "bucket", "words")
+    return words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 
-        yield from batches(rows(), schema)
 
-    words = found.where("bucket is not null").select("block", "bucket", "words", "places")
-    return words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, places binary, made binary")
+Use = Callable[[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray, np.ndarray], Iterator[dict]]
 
 
-def with_texts(found: DataFrame, made: DataFrame, use: Callable[[list[bytes], list, np.ndarray, np.ndarray], Iterator[dict]],
-               form: str, schema: pa.Schema) -> DataFrame:
-    """Rows that ``use`` gives for each row of texts, from the answers of its block's words in order of their numbers.
+def with_texts(found: DataFrame, made: DataFrame, use: Use, form: str, schema: pa.Schema) -> DataFrame:
+    """Rows that ``use(start, length, flat, keys, sizes, codes)`` gives for each row of texts.
 
-    ``use(answers, keys, sizes, codes)``; the answers come first in the sorted partition, so a task holds one block's at a time.
+    The answer to word i of the block is flat[start[i]:start[i] + length[i]]. Answers come first in the sorted partition, so a task
+    holds one block's at a time.
     """
     n = common.partitions(found.sparkSession)
-    texts = found.where("bucket is null").select("block", "bucket", "places", F.lit(None).cast("binary").alias("made"), "keys", "sizes", "codes")
-    kind = found.schema["keys"].dataType.simpleString()
-    words = made.select("block", "bucket", "places", "made", F.lit(None).cast(kind).alias("keys"), F.lit(None).cast("binary").alias("sizes"),
-                        F.lit(None).cast("binary").alias("codes"))
+    none = lambda kind: F.lit(None).cast(kind)
+    texts = found.where(f"bucket is null or bucket = {PLACES}").select("block", "bucket", "places", "sizes", none("binary").alias("made"), "keys", "codes")
+    words = made.select("block", "bucket", none("binary").alias("places"), "sizes", "made", none(found.schema["keys"].dataType).alias("keys"), none("binary").alias("codes"))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            now, parts, answers = None, [], None
+            now, order, parts, told = None, None, [], None
             for batch in found:
                 for i in range(batch.num_rows):
-                    block, bucket, places, made, keys, sizes, codes = (batch.column(j)[i].as_py() for j in range(7))
+                    block, bucket, places, sizes, made, keys, codes = (batch.column(j)[i].as_py() for j in range(7))
                     if block != now:
-                        now, parts, answers = block, [], None
+                        now, order, parts, told = block, None, [], None
+                    if bucket == PLACES:
+                        order = unpack(places)
+                        continue
                     if bucket is not None:
-                        parts.append((unpack(places), unpack_bytes(made)))
+                        parts.append((unpack(sizes), unpack_runs(made)))
                         continue
-                    if answers is None:
-                        answers = [b""] * sum(len(p) for p, _ in parts)
-                        for p, m in parts:
-                            for at, x in zip(p.tolist(), m, strict=True):
-                                answers[at] = x
-                        parts = []
-                    yield from use(answers, keys, unpack(sizes), unpack(codes))
+                    if told is None:
+                        told, parts = in_order(order, parts), []
+                    yield from use(*told, keys, unpack(sizes), unpack_ranks(codes))
 
         yield from batches(rows(), schema)
 
     return words.union(texts).repartition(n, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last()).mapInArrow(run, form)
+
+
+def in_order(order: np.ndarray | None, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, flat) by number of the word, of answers in order of buckets."""
+    if order is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    sizes, flat = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    start, length = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    length[order] = sizes
+    start[order] = np.cumsum(sizes, dtype=np.int64) - sizes
+    return start, length, flat

@@ -23,7 +23,7 @@ def library():
 def test_random_strings(library):
     rng = random.Random(1)
     ranks, words = byte_bpe.read_ranks(PATH), byte_bpe.splitter(PATTERN, byte_bpe.code_ranges(byte_bpe.letters_apart(PATTERN)))
-    own = lambda t: [i for w in words(t) for i in byte_bpe.merge_word(w.encode(), ranks)]
+    own = lambda t: [i for c in byte_bpe.chunks(t) for w in words(c) for i in byte_bpe.merge_word(w.encode(), ranks)]
     pool = [chr(c) for c in range(0x250)] + list("՘֋࢏  　中́") + [chr(0x11de0), chr(0x1f600)]
     for _ in range(10_000):
         text = "".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice("abc  '\n1st") for _ in range(rng.randint(0, 40)))
@@ -48,6 +48,10 @@ def test_numbers_survive_packing():
         a = rng.integers(0, high, 5000, dtype=np.uint64).astype(np.uint32)
         assert (wordblocks.unpack(wordblocks.pack(a)) == a).all()
     assert len(wordblocks.unpack(wordblocks.pack(np.zeros(0, np.uint32)))) == 0
+        if high < 10**6:
+            assert (wordblocks.unpack_ranks(wordblocks.pack_ranks(a)) == a).all()
+    for a in ([], [191, 192, 192 + 10239, 192 + 10240, 5, 1_500_000], [2**31, 3]):
+        assert wordblocks.unpack_ranks(wordblocks.pack_ranks(np.array(a, np.uint32))).tolist() == a
     parts = [b"", b"ab", b"\0", "ü".encode()]
     assert wordblocks.unpack_bytes(wordblocks.pack_bytes(parts)) == parts and wordblocks.unpack_bytes(wordblocks.pack_bytes([])) == []
 
