@@ -7,7 +7,9 @@ checked against the schema before any job runs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import (
     AnalysisException,
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ..operators.analyzers import (
     Analyzer,
+    ApproxQuantile,
+    ApproxQuantiles,
     EmptyState,
     FrequencyStats,
     GroupingAnalyzer,
@@ -35,6 +39,7 @@ from ..operators.analyzers import (
     col,
 )
 from ..operators.metrics import Distribution, DistributionValue, Outcome
+from .selection import exact_quantiles
 
 #: What Spark raises for the data or the expressions on it, not for the cluster.
 DATA_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
@@ -47,12 +52,14 @@ def compute(df: DataFrame, analyzers: Iterable[Analyzer]) -> dict[Analyzer, Outc
     out: dict[Analyzer, Outcome] = {}
     sound: list[Analyzer] = []
     for a in wanted:
-        problem = a.precondition(df.schema) or _problem(df, a)
+        problem = a.precondition(df.schema) or expression_problem(df, a)
         if problem is None:
             sound.append(a)
         else:
             out[a] = Outcome(error=problem)
-    out |= scan(df, [a for a in sound if isinstance(a, ScanAnalyzer)])
+    exact = [a for a in sound if isinstance(a, (ApproxQuantile, ApproxQuantiles)) and a.relativeError == 0]
+    out |= scan(df, [a for a in sound if isinstance(a, ScanAnalyzer) and a not in exact])
+    out |= selected(df, exact)
     out |= grouped(df, [a for a in sound if isinstance(a, GroupingAnalyzer)])
     for a in sound:
         if isinstance(a, Histogram):
@@ -66,10 +73,15 @@ def attempt(make) -> Outcome:
     except EmptyState as e:
         return Outcome(error=str(e))
     except (*DATA_ERRORS, ArithmeticError, ValueError, TypeError, KeyError) as e:  # a job that fails on its data is the metric's failure
-        return Outcome(error=(str(e).splitlines() or [type(e).__name__])[0])
+        return Outcome(error=first_line(e))
 
 
-def _problem(df: DataFrame, a: Analyzer) -> str | None:
+def first_line(e: Exception) -> str:
+    """What an error says first."""
+    return next((x.strip() for x in str(e).splitlines() if x.strip()), type(e).__name__)
+
+
+def expression_problem(df: DataFrame, a: Analyzer) -> str | None:
     """An error of analysis in the analyzer's own expressions, found without a job."""
     try:
         if isinstance(a, ScanAnalyzer):
@@ -78,7 +90,7 @@ def _problem(df: DataFrame, a: Analyzer) -> str | None:
             df.where(a.where).schema
         return None
     except (AnalysisException, ParseException) as e:
-        return str(e).splitlines()[0]
+        return first_line(e)
 
 
 def common_filter(analyzers: list[ScanAnalyzer]) -> str | None:
@@ -119,6 +131,20 @@ def scan(df: DataFrame, analyzers: list[ScanAnalyzer]) -> dict[Analyzer, Outcome
     return out | buckets(df, sketches)
 
 
+def selected(df: DataFrame, analyzers: list) -> dict[Analyzer, Outcome]:
+    """Quantiles without error, a few passes for all; one bad value costs its own column alone."""
+    if not analyzers:
+        return {}
+    try:
+        found = exact_quantiles(df, {a: (a.number(), list(a.quantiles) if isinstance(a, ApproxQuantiles) else [a.quantile]) for a in analyzers})
+    except DATA_ERRORS as e:
+        if len(analyzers) == 1:
+            return {analyzers[0]: Outcome(error=first_line(e))}
+        half = len(analyzers) // 2
+        return selected(df, analyzers[:half]) | selected(df, analyzers[half:])
+    return {a: attempt(lambda a=a: a.value([None if found[a] is None else found[a] if isinstance(a, ApproxQuantiles) else found[a][0]])) for a in analyzers}
+
+
 def _raise_again(df: DataFrame, a: ScanAnalyzer):
     return a.value(list(df.agg(*a.aggregates(df.schema)).first()))
 
@@ -133,7 +159,7 @@ def buckets(df: DataFrame, found: dict[KLLSketch, list]) -> dict[Analyzer, Outco
     try:
         rows = df.select(F.explode(pairs).alias("x")).where("x.b is not null").groupBy("x.i", "x.b").count().collect()
     except DATA_ERRORS as e:
-        return {a: Outcome(error=str(e).splitlines()[0]) for a in sketches}
+        return {a: Outcome(error=first_line(e)) for a in sketches}
     counts: list[dict[int, int]] = [{} for _ in sketches]
     for i, b, n in rows:
         counts[i][b] = n
@@ -150,11 +176,62 @@ def frequencies(df: DataFrame, columns: tuple[str, ...], where: str | None) -> D
     return df.where(some).groupBy(*[col(c).alias(f"g{i}") for i, c in enumerate(names)]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequency_stats(table: DataFrame) -> DataFrame:
-    return table.agg(
+def _stats() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.count(F.when(F.col("n") == 1, 1)).alias("singles"),
-        F.coalesce(F.sum(F.col("n") * F.log("n")), F.lit(0.0)).alias("c_log_c"))
+        F.coalesce(F.sum(F.col("n") * F.log("n")), F.lit(0.0)).alias("c_log_c")]
+
+
+def frequency_stats(table: DataFrame) -> DataFrame:
+    return table.agg(*_stats())
+
+
+def derived(column: str, where: str | None) -> Column:
+    """The column in rows that pass the filter, else null."""
+    return col(column) if where is None else F.when(F.expr(where), col(column))
+
+
+#: Grouping columns of one job; Spark numbers grouping sets with as many bits.
+MOST_GROUPING_COLUMNS = 60
+
+
+def grouping_jobs(keys: list[tuple]) -> list[list[tuple]]:
+    """The (columns, filter) pairs, in runs that have no more derived columns together than one job takes."""
+    jobs: list[list[tuple]] = []
+    used: set = set()
+    for columns, where in keys:
+        own = {(c, where) for c in columns}
+        if not jobs or len(used | own) > MOST_GROUPING_COLUMNS:
+            jobs.append([])
+            used = set()
+        jobs[-1].append((columns, where))
+        used |= own
+    return jobs
+
+
+def all_frequency_stats(df: DataFrame, keys: list[tuple]) -> DataFrame:
+    """(set, groups, rows, singles, c_log_c) for each (columns, filter) pair, by its index, from one scan.
+
+    One Expand feeds one aggregation with a map-side step, as GROUPING SETS over the columns under their filters; a group without any
+    value stands for rows that its filter or its nulls leave out.
+    """
+    names: dict[tuple, str] = {}
+    for columns, where in keys:
+        for c in columns:
+            names.setdefault((c, where), f"g{len(names)}")
+    sets = [[names[c, where] for c in columns] for columns, where in keys]
+    wide = df.select(*[derived(c, where).alias(n) for (c, where), n in names.items()])
+    counted = wide.groupingSets([[F.col(n) for n in s] for s in sets], *[F.col(n) for n in names.values()]).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    bits = list(names.values())
+    mask = lambda s: sum(1 << (len(bits) - 1 - i) for i, b in enumerate(bits) if b not in s)
+    number, some = F.lit(None).cast("int"), F.lit(False)
+    for i, s in enumerate(sets):
+        here = F.col("gid") == F.lit(mask(s))
+        number = F.when(here, F.lit(i)).otherwise(number)
+        some = some | (here & reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in s]))
+    return counted.where(some).groupBy(number.alias("set")).agg(*_stats())
 
 
 def grouped(df: DataFrame, analyzers: list[GroupingAnalyzer]) -> dict[Analyzer, Outcome]:
@@ -165,22 +242,39 @@ def grouped(df: DataFrame, analyzers: list[GroupingAnalyzer]) -> dict[Analyzer,
             out[a] = attempt(lambda a=a: mutual_information(df, a))
         else:
             shared.setdefault((tuple(dict.fromkeys(a.columns)), getattr(a, "where", None)), []).append(a)
-    for (columns, where), those in shared.items():
-        try:
-            stats = FrequencyStats(*frequency_stats(frequencies(df, columns, where)).first())
-        except DATA_ERRORS as e:
-            out |= {a: Outcome(error=str(e).splitlines()[0]) for a in those}
-            continue
-        out |= {a: attempt(lambda a=a, stats=stats: a.checked(stats)) for a in those}
+    for job in grouping_jobs(list(shared)):
+        for key, stats in group_stats(df, job).items():
+            if isinstance(stats, str):
+                out |= {a: Outcome(error=stats) for a in shared[key]}
+            else:
+                out |= {a: attempt(lambda a=a, stats=stats: a.checked(stats)) for a in shared[key]}
     return out
 
 
+def group_stats(df: DataFrame, keys: list[tuple]) -> dict[tuple, FrequencyStats | str]:
+    """What each frequency table tells, or why it cannot be had; one bad value costs its own table alone."""
+    try:
+        if len(keys) == 1:
+            return {keys[0]: FrequencyStats(*frequency_stats(frequencies(df, *keys[0])).first())}
+        found = {r["set"]: FrequencyStats(r["groups"], r["rows"], r["singles"], r["c_log_c"]) for r in all_frequency_stats(df, keys).collect()}
+        return {k: found.get(i, FrequencyStats(0, 0, 0, 0.0)) for i, k in enumerate(keys)}
+    except DATA_ERRORS as e:
+        if len(keys) == 1:
+            return {keys[0]: first_line(e)}
+        half = len(keys) // 2
+        return group_stats(df, keys[:half]) | group_stats(df, keys[half:])
+
+
 def mutual_information(df: DataFrame, a: MutualInformation) -> float:
     """Sum over pairs of p(x, y) ln(p(x, y) / (p(x) p(y))), from sums of counts.
 
     The joint table and its two margins are aggregated in one job that shares the joint's shuffle.
     """
-    joint = frequencies(df, a.columns, a.where)
+    return information_of(frequencies(df, a.columns, a.where), a)
+
+
+def information_of(joint: DataFrame, a: MutualInformation) -> float:
+    """The same from the joint frequency table."""
     if len(set(a.columns)) == 1:
         joint = joint.withColumn("g1", F.col("g0"))
     both = F.when(F.col("g0").isNotNull() & F.col("g1").isNotNull(), F.col("n"))
@@ -197,21 +291,27 @@ def mutual_information(df: DataFrame, a: MutualInformation) -> float:
         raise EmptyState(f"Empty state for analyzer {a.key}, all input values were NULL.")
     if not rows[0]["pairs"]:
         return 0.0
-    import math
-
     return (rows[0]["s"] - (rows[1]["s"] or 0.0) - (rows[2]["s"] or 0.0) + math.log(n) * rows[0]["pairs"]) / n
 
 
-def histogram(df: DataFrame, a: Histogram) -> Distribution:
-    """Counts by value; the details of the most frequent ones, ties by value."""
+def binned(df: DataFrame, a: Histogram) -> DataFrame:
+    """(v, n): how often each bin occurs."""
     if a.where is not None:
         df = df.where(a.where)
-    counts = df.groupBy(a.bins().alias("v")).agg(F.count(F.lit(1)).alias("n")).persist()  # one scan for totals and details
-    try:
-        total, bins = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-        if not bins:
-            raise EmptyState(f"Empty state for analyzer {a.key}, all input values were NULL.")
-        top = counts.orderBy(F.desc("n"), "v").limit(a.details).collect()
-    finally:
-        counts.unpersist()
-    return Distribution({v: DistributionValue(v, n, n / total) for v, n in top}, bins)
+    return df.groupBy(a.bins().alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def histogram(df: DataFrame, a: Histogram) -> Distribution:
+    return histogram_of(binned(df, a), a)
+
+
+def histogram_of(counts: DataFrame, a: Histogram) -> Distribution:
+    """Totals and the most frequent bins, ties by value; one job, whose two halves share the shuffle of the counts."""
+    totals = counts.agg(F.lit(None).cast("string").alias("v"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"))
+    top = counts.orderBy(F.desc("n"), "v").limit(a.details).select("v", "n", F.lit(None).cast("long").alias("bins"))
+    rows = totals.unionByName(top).collect()
+    total, bins = next((r["n"], r["bins"]) for r in rows if r["bins"] is not None)
+    if not bins:
+        raise EmptyState(f"Empty state for analyzer {a.key}, all input values were NULL.")
+    best = sorted(((r["v"], r["n"]) for r in rows if r["bins"] is None), key=lambda x: (-x[1], x[0]))
+    return Distribution({v: DistributionValue(v, n, n / total) for v, n in best}, bins)

@@ -13,6 +13,7 @@ from ..operators.metrics import Metric, Outcome
 from ..sources.pandas_io import ensure_spark, need_session
 from ..sources.repository import MetricsRepository, ResultKey
 from .planner import compute
+from .states import States, StateStore
 
 METRIC_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("entity", "instance", "name")]
                              + [T.StructField("value", T.DoubleType())])
@@ -51,6 +52,7 @@ class AnalysisRunBuilder:
         self.repository: MetricsRepository | None = None
         self.key: ResultKey | None = None
         self.reuse: ResultKey | None = None
+        self.states: tuple[StateStore, str, list[str]] | None = None
 
     def addAnalyzer(self, analyzer: Analyzer) -> AnalysisRunBuilder:
         self.analyzers.append(analyzer)
@@ -77,6 +79,14 @@ class AnalysisRunBuilder:
         self.reuse = resultKey
         return self
 
+    def withStates(self, store: StateStore, part: str, onto: Iterable[str] | None = None) -> AnalysisRunBuilder:
+        """Read only this table, a part of the data, keep its states under the part's name, and give metrics of it and other parts together.
+
+        ``onto``: names of the parts whose states are added, all saved ones if left out. Their data is not read.
+        """
+        self.states = store, part, [p for p in (store.parts() if onto is None else onto) if p != part]
+        return self
+
     def known(self) -> dict[Analyzer, Outcome]:
         if self.reuse is None:
             return {}
@@ -89,12 +99,21 @@ class AnalysisRunBuilder:
 
     def run(self) -> AnalyzerContext:
         known = self.known()
-        fresh = compute(self.df, [a for a in self.analyzers if a not in known])
+        wanted = [a for a in self.analyzers if a not in known]
+        fresh = compute(self.df, wanted) if self.states is None else self.from_states(wanted)
         context = AnalyzerContext({a: known.get(a) or fresh[a] for a in dict.fromkeys(self.analyzers)})
         if self.repository is not None and self.key is not None:
             self.repository.save(self.key, context)
         return context
 
+    def from_states(self, wanted: list[Analyzer]) -> dict[Analyzer, Outcome]:
+        store, part, onto = self.states
+        own = States.of(self.df, wanted)
+        store.save(part, own)
+        merged = store.merged([*onto, part], wanted)
+        merged.problems |= own.problems
+        return merged.outcomes(wanted)
+
 
 class AnalysisRunner:
     def __init__(self, spark_session: SparkSession):
@@ -102,3 +121,8 @@ class AnalysisRunner:
 
     def onData(self, df: Any) -> AnalysisRunBuilder:
         return AnalysisRunBuilder(self.spark, df)
+
+    @staticmethod
+    def onStates(states: States, analyzers: Iterable[Analyzer]) -> AnalyzerContext:
+        """Metrics from states alone."""
+        return AnalyzerContext(states.outcomes(analyzers))
