@@ -42,6 +42,8 @@ FILTER_CELLS, ROW_CELLS = 1 << 23, 1 << 16
 TABLE_KEYS, SHARD_KEYS = 1 << 21, 1 << 14
 #: Arrays that one task of the first step of a tree adds up.
 FAN_IN = 32
+#: Code points of a block of texts.
+BLOCK_CHARS = 8_000_000
 #: Words, and what ends a piece, a token each; no word has one of these signs.
 TOKENS = re.compile("[^ \t.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
 BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d"[i:i + 1] for i in range(10))
@@ -445,7 +447,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     """
     spark = docs.sparkSession
     tagged = docs.select(F.lit(0).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("tag"))
-    found = wordblocks.blocks(tagged, "key", "text", lambda: (chunks, TOKENS.findall), tag="tag", uses=True, name="phrase_words")
+    found = wordblocks.blocks(tagged, "key", "text", lambda: (chunks, TOKENS.findall), tag="tag", uses=True, name="phrase_words", most_chars=BLOCK_CHARS)
     words, totals, answers = word_counts(found, least)
 
     def as_numbers(start: np.ndarray, length: np.ndarray, flat: np.ndarray, keys: list, sizes: np.ndarray, codes: np.ndarray) -> Iterator[dict]:

@@ -136,8 +136,8 @@ class Chunks(dict):
 class Block:
     """Texts of one block while they are read: for each text the numbers of its chunks, for each chunk those of its words."""
 
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, most_chars: int):
+        self.number, self.most_chars = number, most_chars
         self.words: list[str] = []
         self.tag_of: list[str] = []
         self.flat, self.ends = array("I"), array("Q")
@@ -159,7 +159,7 @@ class Block:
 
     @property
     def full(self) -> bool:
-        return self.chars >= BLOCK_CHARS or len(self.words) >= BLOCK_WORDS
+        return self.chars >= self.most_chars or len(self.words) >= BLOCK_WORDS
 
     def rows(self, buckets: int, uses: bool) -> Iterator[dict]:
         """A row with the numbers of words in order of the dictionary, its rows by bucket, then rows of texts; frequent words have small numbers."""
@@ -230,12 +230,14 @@ Split = Callable[[], tuple[Callable[[str], Iterator[str]], Callable[[str], list[
 
 
 def blocks(docs: DataFrame, key: str, text: str, split: Split, tag: str | None = None, uses: bool = False,
-           name: str = "blocks") -> DataFrame:
+           name: str = "blocks", most_chars: int | None = None) -> DataFrame:
     """Saved rows of dictionaries (bucket, tags, words, uses if asked for), of numbers (places) and of texts (keys, sizes, codes) of all blocks.
 
     ``split`` makes, in the task, what cuts texts into words. A null text has none. Blocks are saved, as
-    their dictionaries and texts must be of one reading.
+    their dictionaries and texts must be of one reading. ``most_chars``: code points of a block, BLOCK_CHARS if left out; smaller blocks take less
+    memory and repeat more words.
     """
+    most_chars = most_chars or BLOCK_CHARS
     buckets = bucket_count(docs)
     kind = docs.schema[key].dataType
     form = (f"block long, bucket int, tags binary, words binary, uses binary, places binary, keys array<{kind.simpleString()}>, "
@@ -255,7 +257,7 @@ def blocks(docs: DataFrame, key: str, text: str, split: Split, tag: str | None =
                                         ("places", pa.binary()), ("keys", pa.list_(batch.schema.field(0).type)), ("sizes", pa.binary()), ("codes", pa.binary())])
                 for k, t, g in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                     if block is None:
-                        block = Block(part << 32 | n)
+                        block = Block(part << 32 | n, most_chars)
                         n += 1
                     t = t.as_py() or ""
                     block.add(k.as_py(), g.as_py(), chunks_of(t), words_of, len(t))

@@ -7,7 +7,6 @@ Grouping analyzers share one frequency table for each set of columns and filter.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -402,6 +401,11 @@ class KLLSketch(NumericScan):
     kllParameters: KLLParameters | None = None
     filterable = False
 
+    def number(self) -> Column:
+        """NaN is left out, as no bucket holds it."""
+        value = super().number()
+        return F.when(~F.isnan(value), value)
+
     @property
     def parameters(self) -> KLLParameters:
         return self.kllParameters or DEFAULT_KLL
@@ -548,14 +552,37 @@ class MutualInformation(ColumnList):
         return super().precondition(schema) or (None if len(self.columns) == 2 else "Two columns are needed!")
 
 
+def _used_by(function: Any) -> list[Any]:
+    """Values that a Python function takes from around it."""
+    closed = [c.cell_contents for c in getattr(function, "__closure__", None) or ()]
+    code = getattr(function, "__code__", None)
+    return closed + ([function.__globals__[n] for n in code.co_names if n in function.__globals__] if code else [])
+
+
 @dataclass(frozen=True)
 class Histogram(HistogramRows):
-    """Counts and shares of each value as text; null is a value of its own."""
+    """Counts and shares of each value as text; null is a value of its own.
+
+    ``binningLabel`` names the binning in the histogram's identity. A binning by a Python function needs one, as Spark does not tell such
+    functions apart; others are told apart by the expression that they make.
+    """
 
     column: str
     binningUdf: Callable[[Column], Column] | None = None
     maxDetailBins: int | None = None
     where: str | None = None
+    binningLabel: str | None = None
+
+    def precondition(self, schema: T.StructType) -> str | None:
+        problem = super().precondition(schema)
+        if problem is None and self.binningUdf is not None and self.binningLabel is None and self.unnamed():
+            return f"The binning of {self.column} by a Python function needs a binningLabel!"
+        return problem
+
+    def unnamed(self) -> bool:
+        """Whether the binning's expression has something that no other session can read back."""
+        return hasattr(self.binningUdf, "func") or any(hasattr(v, "evalType") for v in _used_by(self.binningUdf)) or (
+            str(self.binningUdf(col(self.column))) != str(self.binningUdf(col(self.column))))
 
     def type_problem(self, column: str, kind: T.DataType) -> str | None:
         return f"Cannot bin {kind.simpleString()}" if is_nested(kind) else None
@@ -567,10 +594,8 @@ class Histogram(HistogramRows):
 
     @property
     def binning(self) -> str:
-        """What tells one binning from another: the expression that it makes, and the code of a Python function in it."""
-        text = str(self.binningUdf(col(self.column)))
-        code = getattr(getattr(self.binningUdf, "func", None), "__code__", None)
-        return text if code is None else f"{text} {zlib.crc32(code.co_code + repr(code.co_consts).encode()):08x}"
+        """What tells one binning from another: its label, or the expression that it makes."""
+        return str(self.binningUdf(col(self.column))) if self.binningLabel is None else f"label {self.binningLabel}"
 
     @property
     def details(self) -> int:

@@ -136,10 +136,14 @@ class BatchNormalStrategy(AnomalyDetectionStrategy):
 
 @dataclass(frozen=True)
 class HoltWinters(AnomalyDetectionStrategy):
-    """Additive Holt-Winters: the newest value against the forecast from all before, for two cycles at least."""
+    """Additive Holt-Winters: the newest value against the forecast from all before, for two cycles at least.
+
+    ``weights``: those of level, trend and season, fitted to each history if left out.
+    """
 
     metricsInterval: MetricInterval = MetricInterval.Daily
     seasonality: SeriesSeasonality = SeriesSeasonality.Weekly
+    weights: tuple[float, float, float] | None = None
 
     @property
     def period(self) -> int:
@@ -169,6 +173,8 @@ class HoltWinters(AnomalyDetectionStrategy):
 
     def fit(self, y: np.ndarray) -> tuple[np.ndarray, float]:
         """Smoothing weights of least squared error: a coarse grid, then steps of halving size."""
+        if self.weights is not None:
+            return self.run(y, *self.weights)
         cost = lambda w: float((self.run(y, *w)[0] ** 2).sum())
         grid = [0.05, 0.3, 0.6, 0.9]
         best = min(((a, b, g) for a in grid for b in grid for g in grid), key=cost)
@@ -186,3 +192,16 @@ class HoltWinters(AnomalyDetectionStrategy):
         errors, forecast = self.fit(np.asarray(history, float))
         off = abs(newest - forecast)
         return off <= max(1.96 * float(errors.std()), 1e-9)
+
+    def verdicts(self, values: Sequence[float]) -> list[bool | None]:
+        """What is_normal says of each value after those before it, under fixed weights, in one pass.
+
+        The start of the recurrence and its errors are of the first values alone, so a longer history only goes on.
+        """
+        p = self.period
+        if len(values) <= 2 * p:
+            return [None] * len(values)
+        errors, _ = self.run(np.asarray(values, float), *self.weights)
+        n = np.arange(1, len(errors) + 1)
+        spread = np.sqrt(np.maximum(np.cumsum(errors**2) / n - (np.cumsum(errors) / n) ** 2, 0.0))
+        return [None if i < 2 * p else bool(abs(errors[i]) <= max(1.96 * spread[i - 1], 1e-9)) for i in range(len(errors))]

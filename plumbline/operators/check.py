@@ -227,12 +227,12 @@ class Check:
     # -- distributions ----------------------------------------------------
 
     def hasNumberOfDistinctValues(self, column: str, assertion: Callable, binningUdf: Any = None, maxBins: int | None = None,
-                                  hint: str | None = None) -> Check:
-        return self._add("HistogramBin", Histogram(column, binningUdf, maxBins), assertion, hint, pick=lambda v: v.numberOfBins)
+                                  hint: str | None = None, binningLabel: str | None = None) -> Check:
+        return self._add("HistogramBin", Histogram(column, binningUdf, maxBins, binningLabel=binningLabel), assertion, hint, pick=lambda v: v.numberOfBins)
 
     def hasHistogramValues(self, column: str, assertion: Callable, binningUdf: Any = None, maxBins: int | None = None,
-                           hint: str | None = None) -> Check:
-        return self._add("Histogram", Histogram(column, binningUdf, maxBins), assertion, hint)
+                           hint: str | None = None, binningLabel: str | None = None) -> Check:
+        return self._add("Histogram", Histogram(column, binningUdf, maxBins, binningLabel=binningLabel), assertion, hint)
 
     def kllSketchSatisfies(self, column: str, assertion: Callable, kllParameters: KLLParameters | None = None,
                            hint: str | None = None) -> Check:

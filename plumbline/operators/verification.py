@@ -15,7 +15,7 @@ from ..plans.planner import compute, frequencies
 from ..plans.runner import AnalyzerContext
 from ..sources.pandas_io import ensure_spark, need_session
 from ..sources.repository import MetricsRepository, ResultKey
-from .analyzers import Analyzer, col
+from .analyzers import Analyzer, ApproxQuantiles, DataType, Histogram, KLLSketch, col
 from .anomaly import AnomalyDetectionStrategy
 from .check import Check, CheckLevel, CheckResult, CheckStatus, Constraint, ConstraintResult
 from .metrics import Outcome
@@ -96,7 +96,10 @@ def row_level(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
     for check in checks:
         columns = [c for c in (x.row_column(df.schema, repeated) for x in check.constraints) if c is not None]
         if columns:
-            added[check.description] = reduce(lambda a, b: a & b, columns)
+            if check.description in df.columns:
+                raise ValueError(f"The data has a column {check.description} already; the check of that name needs another")
+            own = [added[check.description]] if check.description in added else []  # checks of one name are one column
+            added[check.description] = reduce(lambda a, b: a & b, own + columns)
     rows = df
     for (columns, where), flag in flags.items():
         names = [f"{flag} {i}" for i in range(len(columns))]
@@ -129,6 +132,8 @@ class VerificationRunBuilder:
 
     def addAnomalyCheck(self, strategy: AnomalyDetectionStrategy, analyzer: Analyzer,
                         anomalyCheckConfig: AnomalyCheckConfig | None = None) -> VerificationRunBuilder:
+        if isinstance(analyzer, (ApproxQuantiles, DataType, Histogram, KLLSketch)):
+            raise TypeError(f"{analyzer.name} has several values; an anomaly check judges one")
         self.anomalies.append((strategy, analyzer, anomalyCheckConfig or AnomalyCheckConfig(
             description=f"Anomaly check for {analyzer.name}")))
         return self

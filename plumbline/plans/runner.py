@@ -73,7 +73,7 @@ class AnalysisRunBuilder:
         return self
 
     def reuseExistingResultsForKey(self, resultKey: ResultKey) -> AnalysisRunBuilder:
-        """Take single-valued metrics that the repository has under this key instead of computing them again."""
+        """Take values that the repository has under this key, distributions and sketches too, instead of computing them again."""
         if self.repository is None:
             raise ValueError("useRepository must come before reuseExistingResultsForKey")
         self.reuse = resultKey
@@ -90,12 +90,8 @@ class AnalysisRunBuilder:
     def known(self) -> dict[Analyzer, Outcome]:
         if self.reuse is None:
             return {}
-        date, tags = self.reuse.identity()
-        rows = [m for m in self.repository.load().forAnalyzers(self.analyzers).metrics() if (m.dataset_date, m.tags) == (date, tags)]
-        by_key: dict[str, list[float]] = {}
-        for m in rows:
-            by_key.setdefault(m.analyzer, []).append(m.value)
-        return {a: Outcome(by_key[a.key][0]) for a in self.analyzers if len(by_key.get(a.key, [])) == 1}
+        values = self.repository.values(self.reuse)
+        return {a: Outcome(values[a.key]) for a in self.analyzers if a.key in values}
 
     def run(self) -> AnalyzerContext:
         known = self.known()

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ from . import (
     Maximum,
     MaxLength,
     Mean,
+    MetricInterval,
     Minimum,
     MinLength,
     MutualInformation,
@@ -53,6 +55,7 @@ from . import (
     ResultKey,
     RetainCompletenessRule,
     RetainTypeRule,
+    SeriesSeasonality,
     SimpleThresholdStrategy,
     Size,
     StandardDeviation,
@@ -63,6 +66,9 @@ from . import (
     VerificationResult,
     VerificationSuite,
 )
+from .operators.series import judge_series
+from .plans.states import States, StateStore
+from .sources.repository import metrics_table
 from .streaming import states
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -586,11 +592,11 @@ SQL["repository_query"] = " UNION ALL ".join(
 def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each priority's orders, saved to a file through Hadoop under tags, twice, and read back by tag and date."""
     path, orders = FileSystemMetricsRepository.helper_metrics_file(spark), table(spark, sf_dir, "orders")
-    repo = FileSystemMetricsRepository(spark, f"file://{path}")
+    repo = FileSystemMetricsRepository(spark, path)
     for i, status in enumerate(("F", "O", "F")):
         (AnalysisRunner(spark).onData(orders.where(F.col("o_orderstatus") == status)).addAnalyzer(Size()).useRepository(repo)
          .saveOrAppendResult(ResultKey(1000 + i, {"status": status})).run())
-    got = FileSystemMetricsRepository(spark, f"file://{path}").load().withTagValues({"status": "F"}).before(1001).getSuccessMetricsAsJson()
+    got = FileSystemMetricsRepository(spark, path).load().withTagValues({"status": "F"}).before(1001).getSuccessMetricsAsJson()
     return spark.createDataFrame([(m["name"], float(m["value"]), int(m["dataset_date"]), m["status"]) for m in got],
                                  "name string, value double, dataset_date long, status string")
 
@@ -639,3 +645,218 @@ SQL["states_merged"] = " UNION ALL ".join(
     for c in ("l_quantity", "gap") for n, v in (("Completeness", f"count({c}) * 1.0 / count(*)"), ("Sum", f"sum({c})"), ("Mean", f"avg({c})"),
                                                 ("StandardDeviation", f"stddev_pop({c})"), ("Minimum", f"min({c})"), ("Maximum", f"max({c})")))
 
+
+# -- states of parts: each flag's items are read once, and an empty part -----------------
+
+STATE_PARTS = ("A", "N", "R", "none")
+
+
+def from_states(name: str, analyzers: list, *of: str, digits: int = DIGITS) -> None:
+    """Metrics of all items from the states of their parts; the SQL is that of the queries ``of`` over the whole."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = items(spark, sf_dir)
+        merged = States.merge([States.of(df.where(F.col("l_returnflag") == f), analyzers) for f in STATE_PARTS])
+        context = AnalysisRunner.onStates(merged, analyzers)
+        return AnalyzerContext.successMetricsAsDataFrame(spark, context).withColumn("value", F.round("value", digits))
+
+    QUERIES[name] = run
+    SQL[name] = " UNION ALL ".join(f"({SQL[q]})" for q in of) if len(of) > 1 else SQL[of[0]]
+
+
+def whole(analyzer: Any, columns: list[str], metric: str, value: str, where: str = "") -> str:
+    """SQL of a grouping metric, through a query of its own that is not kept."""
+    frequency("tmp", analyzer, columns, metric, value, where)
+    QUERIES.pop("tmp")
+    return SQL.pop("tmp")
+
+
+_GROUPED = [(Uniqueness(["l_orderkey", "gap"]), ["l_orderkey", "gap"], "Uniqueness", f"{ONCE} * 1.0 / sum(n)", ""),
+            (Distinctness(["l_partkey", "gap"], LATE), ["l_partkey", "gap"], "Distinctness", "count(*) * 1.0 / sum(n)", LATE),
+            (UniqueValueRatio(["l_partkey", "l_suppkey"]), ["l_partkey", "l_suppkey"], "UniqueValueRatio", f"{ONCE} * 1.0 / count(*)", ""),
+            (CountDistinct(["l_suppkey"]), ["l_suppkey"], "CountDistinct", "count(*)", ""),
+            (Entropy("gap"), ["gap"], "Entropy", "ln(sum(n)) - sum(n * ln(n)) / sum(n)", "")]
+from_states("states_frequency", [g[0] for g in _GROUPED], "analyzer_entropy")
+SQL["states_frequency"] = " UNION ALL ".join(whole(*g) for g in _GROUPED)
+from_states("states_mutual_information", [MutualInformation(["l_returnflag", "gap"])], "analyzer_mutual_information")
+from_states("states_histogram", [Histogram("gap")], "analyzer_histogram")
+from_states("states_data_type", [DataType("gap")], "analyzer_data_type_gap")
+from_states("states_correlation", [Correlation("l_quantity", "l_extendedprice"), Correlation("gap", "l_tax", LATE)], "analyzer_correlation")
+SQL["states_correlation"] += (f" UNION ALL SELECT 'Multicolumn' AS entity, 'gap,l_tax' AS instance, 'Correlation' AS name, "
+                              f"round(CAST(corr(gap, l_tax) AS DOUBLE), {DIGITS}) AS value FROM {ITEMS} t WHERE {LATE}")
+
+
+def grouped_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five grouping metrics of different columns and filters from one scan."""
+    context = AnalysisRunner(spark).onData(items(spark, sf_dir)).addAnalyzers([g[0] for g in _GROUPED]).run()
+    return AnalyzerContext.successMetricsAsDataFrame(spark, context).withColumn("value", F.round("value", DIGITS))
+
+
+QUERIES["analysis_grouping_sets"] = grouped_sets
+SQL["analysis_grouping_sets"] = SQL["states_frequency"]
+
+
+def states_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all orders after each year's orders have been read alone, the last one through a run on saved states."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    store = StateStore(spark, FileSystemMetricsRepository.helper_metrics_file(spark, "states"))
+    wanted = [Size(), Mean("o_totalprice"), StandardDeviation("o_totalprice", "o_orderstatus = 'F'"), Uniqueness(["o_custkey"]), Entropy("o_orderpriority")]
+    context = AnalyzerContext()
+    for year in [r[0] for r in orders.select("year").distinct().orderBy("year").collect()]:
+        context = AnalysisRunner(spark).onData(orders.where(F.col("year") == year)).addAnalyzers(wanted).withStates(store, str(year)).run()
+    return AnalyzerContext.successMetricsAsDataFrame(spark, context).withColumn("value", F.round("value", 4))
+
+
+QUERIES["states_by_year"] = states_by_year
+_BY = "(SELECT {c}, count(*) AS n FROM orders GROUP BY {c})"
+SQL["states_by_year"] = " UNION ALL ".join(f"SELECT '{e}' AS entity, '{i}' AS instance, '{n}' AS name, round(CAST({v} AS DOUBLE), 4) AS value FROM {t}" for e, i, n, v, t in (
+    ("Dataset", "*", "Size", "count(*)", "orders"), (*column("o_totalprice", "Mean", "avg(o_totalprice)"), "orders"),
+    (*column("o_totalprice", "StandardDeviation", "stddev_pop(o_totalprice)"), "orders WHERE o_orderstatus = 'F'"),
+    (*column("o_custkey", "Uniqueness", f"{ONCE} * 1.0 / sum(n)"), _BY.format(c="o_custkey")),
+    (*column("o_orderpriority", "Entropy", "ln(sum(n)) - sum(n * ln(n)) / sum(n)"), _BY.format(c="o_orderpriority"))))
+
+
+def kll_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles and buckets from merged sketches: the exact value, and by how much of all rows the sketch is off, in steps of two per cent."""
+    df, asked = items(spark, sf_dir), [ApproxQuantile("l_extendedprice", 0.5), KLLSketch("l_extendedprice", KLLParameters(4096, 0.64, 4))]
+    merged = States.merge([States.of(df.where(F.col("l_returnflag") == f), asked) for f in STATE_PARTS])
+    median, kll = (o.value for o in merged.outcomes(asked).values())
+    cuts = [("median", median, 0.5)] + [(f"bucket {i}", b.highValue, sum(x.count for x in kll.buckets[:i + 1])) for i, b in enumerate(kll.buckets[:-1])]
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("l_extendedprice") <= v if k == "median" else F.col("l_extendedprice") < v, 1)).alias(k)
+                                                 for k, v, _ in cuts]).first()
+    return spark.createDataFrame([(k, int(abs(one[k] / one["n"] - (x if k == "median" else x / one["n"])) // 0.02)) for k, _, x in cuts], "cut string, off long")
+
+
+QUERIES["states_kll_within_bound"] = kll_states
+SQL["states_kll_within_bound"] = " UNION ALL ".join(
+    f"SELECT '{k}' AS cut, CAST(0 AS BIGINT) AS off FROM (SELECT count(*) AS n FROM lineitem) x" for k in ("median", "bucket 0", "bucket 1", "bucket 2"))
+
+
+# -- quantiles without error ---------------------------------------------------------
+
+metrics("analyzer_quantile_selection", [ApproxQuantiles("l_extendedprice", [0.0, 0.01, 0.5, 0.999, 1.0], 0.0), ApproxQuantile("gap", 0.5, 0.0, LATE)],
+        *[column("l_extendedprice", f"ApproxQuantiles-{q}", f"quantile_disc(l_extendedprice, {q})") for q in (0.01, 0.5, 0.999)],
+        column("l_extendedprice", "ApproxQuantiles-0.0", "min(l_extendedprice)"), column("l_extendedprice", "ApproxQuantiles-1.0", "max(l_extendedprice)"))
+SQL["analyzer_quantile_selection"] += (f" UNION ALL SELECT 'Column' AS entity, 'gap' AS instance, 'ApproxQuantile-0.5' AS name, "
+                                       f"round(CAST(quantile_disc(gap, 0.5) AS DOUBLE), {DIGITS}) AS value FROM {ITEMS} t WHERE {LATE}")
+
+
+# -- anomalies of many series --------------------------------------------------------
+
+BY_MONTH = ("(SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS month, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1, 2)")
+
+
+def series(name: str, strategy: Any, normal: str | None) -> None:
+    """Each month's orders of each priority after the months before, all in one job; normal: SQL of the verdict over the windows w."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        months = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+            F.count(F.lit(1)).cast("double").alias("value"))
+        return judge_series(months, strategy, ["series"], "value", "month").select("series", "month", "value", "normal")
+
+    QUERIES[f"series_{name}"] = run
+    if normal:
+        over = "OVER (PARTITION BY series ORDER BY month"
+        SQL[f"series_{name}"] = f"""SELECT series, month, v AS value, {normal} AS normal FROM (
+SELECT series, month, v, lag(v, 1) {over}) AS p, lag(v, 2) {over}) AS p2,
+avg(v) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, stddev_samp(v) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s,
+avg(v) {over} ROWS UNBOUNDED PRECEDING) AS mi, stddev_pop(v) {over} ROWS UNBOUNDED PRECEDING) AS si FROM {BY_MONTH} x) w"""
+
+
+series("simple_threshold", SimpleThresholdStrategy(10, 1e9), "v BETWEEN 10 AND 1e9")
+series("absolute_change", AbsoluteChangeStrategy(-8.0, 8.0), "p IS NULL OR v - p BETWEEN -8 AND 8")
+series("absolute_change_second_order", AbsoluteChangeStrategy(-12.0, 12.0, 2), "p2 IS NULL OR v - 2 * p + p2 BETWEEN -12 AND 12")
+series("relative_rate_of_change", RelativeRateOfChangeStrategy(0.9, 1.1), "p IS NULL OR v / p BETWEEN 0.9 AND 1.1")
+series("batch_normal", BatchNormalStrategy(1.0, 1.0), "m IS NULL OR v BETWEEN m - coalesce(s, 0) AND m + coalesce(s, 0)")
+series("online_normal", OnlineNormalStrategy(1.0, 1.0, 0.0, False), "v BETWEEN mi - si AND mi + si")
+series("online_normal_without_anomalies", OnlineNormalStrategy(2.0, 2.0), None)
+series("holt_winters_fixed_weights", HoltWinters(MetricInterval.Monthly, SeriesSeasonality.Yearly, (0.3, 0.1, 0.2)), None)
+
+
+# -- repositories: typed values, binnings by Python functions -----------------------------
+
+def reused_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A histogram and quantiles that a second run takes from files; its own data is empty."""
+    df, repo = items(spark, sf_dir), FileSystemMetricsRepository(spark)
+    wanted = [Histogram("gap"), ApproxQuantiles("l_quantity", [0.5], 0.0)]
+    AnalysisRunner(spark).onData(df).addAnalyzers(wanted).useRepository(repo).saveOrAppendResult(ResultKey(1)).run()
+    again = FileSystemMetricsRepository(spark, repo.path)
+    context = AnalysisRunner(spark).onData(df.where("false")).addAnalyzers(wanted).useRepository(again).reuseExistingResultsForKey(ResultKey(1)).run()
+    return AnalyzerContext.successMetricsAsDataFrame(spark, context).withColumn("value", F.round("value", DIGITS))
+
+
+QUERIES["repository_reused_values"] = reused_values
+SQL["repository_reused_values"] = (SQL["analyzer_histogram"] + f" UNION ALL SELECT 'Column' AS entity, 'l_quantity' AS instance, 'ApproxQuantiles-0.5' AS name, "
+                                   f"round(CAST(quantile_disc(l_quantity, 0.5) AS DOUBLE), {DIGITS}) AS value FROM lineitem")
+
+
+def width(step: int) -> Any:
+    """A binning by a Python function."""
+
+    @F.pandas_udf("long")
+    def binned(x: pd.Series) -> pd.Series:
+        return (x // step).astype("int64")
+
+    return binned
+
+
+def two_function_binnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of two binnings by one Python function with different widths, saved twice and read back by label."""
+    repo = InMemoryMetricsRepository(spark)
+    made = [Histogram("l_quantity", width(w), binningLabel=f"width {w}") for w in (10, 25)]
+    for _ in range(2):
+        AnalysisRunner(spark).onData(items(spark, sf_dir)).addAnalyzers(made).useRepository(repo).saveOrAppendResult(ResultKey(1)).run()
+    asked = [Histogram("l_quantity", width(w), binningLabel=f"width {w}") for w in (10, 25)]
+    rows = [(w, m["name"], round(float(m["value"]), DIGITS)) for w, a in zip((10, 25), asked, strict=True)
+            for m in repo.load().forAnalyzers([a]).getSuccessMetricsAsJson() if not m["name"].startswith("Histogram.ratio")]
+    return spark.createDataFrame(rows, "width long, name string, value double")
+
+
+QUERIES["repository_two_function_binnings"] = two_function_binnings
+SQL["repository_two_function_binnings"] = " UNION ALL ".join(
+    f"SELECT CAST({w} AS BIGINT) AS width, 'Histogram.bins' AS name, CAST(count(DISTINCT floor(l_quantity / {w})) AS DOUBLE) AS value FROM lineitem UNION ALL "
+    f"SELECT CAST({w} AS BIGINT) AS width, 'Histogram.abs.' || CAST(CAST(floor(l_quantity / {w}) AS BIGINT) AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 2"
+    for w in (10, 25))
+
+
+def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and deviations of each status, saved one by one, compacted, and read as a table that has not passed through the driver."""
+    orders, repo = table(spark, sf_dir, "orders"), FileSystemMetricsRepository(spark)
+    for i, status in enumerate(("F", "O", "P")):
+        (AnalysisRunner(spark).onData(orders.where(F.col("o_orderstatus") == status)).addAnalyzer(Size()).addAnalyzer(Maximum("o_totalprice")).useRepository(repo)
+         .saveOrAppendResult(ResultKey(1000 + i, {"status": status})).run())
+    repo.compact()
+    return metrics_table(FileSystemMetricsRepository(spark, repo.path)).select("dataset_date", F.col("tags")["status"].alias("status"), "name", F.round("value", 2).alias("value"))
+
+
+QUERIES["repository_history_table"] = history_table
+SQL["repository_history_table"] = " UNION ALL ".join(
+    f"SELECT CAST({1000 + i} AS BIGINT) AS dataset_date, '{s}' AS status, '{n}' AS name, round(CAST({v} AS DOUBLE), 2) AS value FROM orders WHERE o_orderstatus = '{s}'"
+    for i, s in enumerate("FOP") for n, v in (("Size", "count(*)"), ("Maximum", "max(o_totalprice)")))
+
+
+def one_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks of one name judge rows together."""
+    df = items(spark, sf_dir)
+    a, b = Check(spark, CheckLevel.Error, "same").isUnique("l_partkey"), Check(spark, CheckLevel.Warning, "same").isComplete("gap")
+    result = VerificationSuite(spark).onData(df).addCheck(a).addCheck(b).run()
+    return VerificationResult.rowLevelResultsAsDataFrame(spark, result, df).select("l_orderkey", "l_linenumber", "same")
+
+
+QUERIES["rowlevel_checks_of_one_name"] = one_name
+SQL["rowlevel_checks_of_one_name"] = f"SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) = 1 AND gap IS NOT NULL AS same FROM {ITEMS} t"
+
+
+def kll_without_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of a column with NaN, which no bucket holds."""
+    df = items(spark, sf_dir).select(F.when(F.col("l_linenumber") == 1, math.nan).otherwise(F.col("l_quantity")).alias("x"))
+    got = AnalysisRunner(spark).onData(df).addAnalyzer(KLLSketch("x", KLLParameters(2048, 0.64, 4))).run().outcomes
+    return spark.createDataFrame([(i, b.lowValue, b.count) for i, b in enumerate(next(iter(got.values())).value.buckets)], "bucket long, low double, n long")
+
+
+QUERIES["analyzer_kll_without_nan"] = kll_without_nan
+_SOME = "(SELECT l_quantity AS x FROM lineitem WHERE l_linenumber <> 1)"
+SQL["analyzer_kll_without_nan"] = " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS bucket, CAST(min(x) + {i} * (max(x) - min(x)) / 4 AS DOUBLE) AS low, "
+    f"(SELECT count(*) FROM {_SOME} y, (SELECT min(x) AS a, (max(x) - min(x)) / 4.0 AS w FROM {_SOME} q) m WHERE least(floor((x - a) / w), 3) = {i}) AS n FROM {_SOME} z"
+    for i in range(4))
