@@ -35,7 +35,7 @@ STEP_TOKENS = 1 << 18
 
 #: Code points that make a run too long for a pattern that backtracks.
 LONG_RUN = 20_000
-LONG_RUNS = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}").search
+BLANKS = re.compile(r"\s{64,}").findall
 
 _ENCODERS: dict[str, object] = {}
 
@@ -43,6 +43,11 @@ _ENCODERS: dict[str, object] = {}
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def longest_run(text: str) -> int:
+    """The most code points in a row without a blank, or of blanks (0 for fewer than 64 of those), in time that grows with the text alone."""
+    return max(max(map(len, text.split()), default=0), max(map(len, BLANKS(text)), default=0))
+
+
 def encoder(path: str):
     """Identifiers of a text as a numpy array, for a byte-level BPE file of the ``tokenizers`` library.
 
@@ -71,7 +76,7 @@ def encoder(path: str):
         slow: list = []  # made for the first text that needs it
 
         def encode(text: str) -> np.ndarray:
-            if plain and not (len(text) >= LONG_RUN and LONG_RUNS(text)):
+            if plain and (len(text) < LONG_RUN or longest_run(text) < LONG_RUN):
                 return fast.encode_to_numpy(text, allowed_special="all")
             if not slow:
                 slow.append(tokenizers.Tokenizer.from_file(path))
