@@ -38,8 +38,8 @@ from .wordblocks import batches, pack, unpack
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Cells of the array that rules out keys; cells and slots of one row of an array.
 FILTER_CELLS, ROW_CELLS = 1 << 23, 1 << 16
-#: Keys in one part of a table, and in one shard of its hash function.
-TABLE_KEYS, SHARD_KEYS = 1 << 21, 1 << 14
+#: Keys in one part of a table, unless one shard has more; candidates that a task unites before it sends them on.
+TABLE_KEYS, HELD_KEYS = 1 << 21, 1 << 21
 #: Arrays that one task of the first step of a tree adds up.
 FAN_IN = 32
 #: Code points of a block of texts.
@@ -219,60 +219,70 @@ def shard_of(keys: np.ndarray, count: int) -> np.ndarray:
     return (mixed(keys, 0) % np.uint64(count)).astype(np.int64)
 
 
+RUN_SCHEMA = pa.schema([("shard", pa.int64()), ("keys", pa.binary())])
+
+
+def as_runs(keys: np.ndarray, shards: int) -> Iterator[dict]:
+    """The keys of each shard, in order."""
+    shard = shard_of(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(some):
+            yield {"shard": int(shard[some[0]]), "keys": keys[some].astype("<i8").tobytes()}
+
+
 class Level:
     """The tables of one level: saved shards, and parts of them as broadcast variables of bounded size."""
 
-    def __init__(self, spark: SparkSession, keys: DataFrame, name: str, table_keys: int):
+    def __init__(self, spark: SparkSession, runs: DataFrame, name: str, table_keys: int):
+        """runs: (shard, keys), sorted runs of keys that tasks have found; every shard's are united, and placed in one step."""
         self.spark = spark
         n = common.partitions(spark)
-        self.total = keys.count()
-        self.count = max(1, -(-self.total // SHARD_KEYS))
-        count = self.count
-
-        def number(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in found:
-                keys = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard_of(keys, count))], names=["key", "shard"])
+        self.count = count = wordblocks.bucket_count(runs)
+        schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("sizes", pa.binary()), ("bits", pa.binary()), ("keys", pa.binary())])
 
         def place(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out() -> Iterator[dict]:
-                held, now = [], None
+                now, keys = None, np.zeros(0, np.int64)
                 for batch in found:
-                    shards, keys = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-                    for s in np.unique(shards).tolist():
-                        if s != now and held:
-                            yield row(now, np.concatenate(held))
-                            held = []
-                        now = s
-                        held.append(keys[shards == s])
-                if held:
-                    yield row(now, np.concatenate(held))
+                    for shard, run in zip(batch.column(0), batch.column(1), strict=True):
+                        if shard.as_py() != now:
+                            if now is not None:
+                                yield row(now, keys)
+                            now, keys = shard.as_py(), np.zeros(0, np.int64)
+                        keys = np.union1d(keys, np.frombuffer(run.as_py(), "<i8"))
+                if now is not None:
+                    yield row(now, keys)
 
             def row(shard: int, keys: np.ndarray) -> dict:
                 levels, placed = build(keys)
-                return {"shard": shard, "sizes": pack(np.array([len(b) for b in levels], np.uint32)), "bits": np.packbits(np.concatenate(levels)).tobytes(),
-                        "keys": placed.astype("<i8").tobytes()}
+                return {"shard": shard, "n": len(keys), "sizes": pack(np.array([len(b) for b in levels], np.uint32)),
+                        "bits": np.packbits(np.concatenate(levels)).tobytes(), "keys": placed.astype("<i8").tobytes()}
 
-            yield from batches(out(), pa.schema([("shard", pa.int64()), ("sizes", pa.binary()), ("bits", pa.binary()), ("keys", pa.binary())]))
+            yield from batches(out(), schema)
 
-        numbered = keys.mapInArrow(number, "key long, shard long").repartition(n, "shard").sortWithinPartitions("shard", "key")
-        self.shards = common.saved(numbered.mapInArrow(place, "shard long, sizes binary, bits binary, keys binary"), name)
-        self.parts = max(1, -(-self.total // table_keys))
-        self.each = -(-self.count // self.parts)
+        placed = runs.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(place, "shard long, n long, sizes binary, bits binary, keys binary")
+        self.shards = common.saved(placed, name)
+        self.total, first, held = 0, 0, 0
         self.tables: list = []
-        first = 0
-        for p in range(self.parts):
-            rows = self.part(p)
-            table = Table([tuple(r) for r in rows], count, first)
+        bounds = [0]
+        for shard, keys in sorted(self.shards.select("shard", "n").collect()):  # a number for each shard
+            if held and held + keys > table_keys:
+                bounds.append(shard)
+                held = 0
+            held += keys
+            self.total += keys
+        for low, high in zip(bounds, [*bounds[1:], count], strict=True):
+            table = Table(self.part(low, high), count, first)
             self.tables.append(spark.sparkContext.broadcast(table))
             first += -(-len(table.keys) // ROW_CELLS) * ROW_CELLS  # a row of counts belongs to one part
         self.slots = first
         if first >= 1 << 31:
             raise ValueError("more than 2**31 candidates on one level; raise the least count")
 
-    def part(self, p: int) -> list:
-        inside = (F.col("shard") >= p * self.each) & (F.col("shard") < (p + 1) * self.each)
-        return sorted(self.shards.where(inside).select("shard", "sizes", "bits", "keys").collect())
+    def part(self, low: int, high: int) -> list[tuple]:
+        inside = (F.col("shard") >= low) & (F.col("shard") < high)
+        return sorted(tuple(r) for r in self.shards.where(inside).select("shard", "sizes", "bits", "keys").collect())
 
     def keep(self, flags: DataFrame) -> None:
         """Forgets the keys of slots that are not frequent; flags: (cell, bits), read part by part."""
@@ -479,16 +489,24 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
             passing[cell * ROW_CELLS // 8:(cell + 1) * ROW_CELLS // 8] = np.frombuffer(bits, np.uint8)
         sent = spark.sparkContext.broadcast(passing)
 
-        def candidates(found: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(sent.value, count=filter_cells)
-            for batch in found:
-                for numbers in numbers_in(batch):
-                    keys = np.unique(keys_of(numbers)[1])
-                    keys = keys[bits[cell_of(keys, filter_cells)] > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+        shards = wordblocks.bucket_count(stream)
 
-        keys = common.saved(stream.mapInArrow(candidates, "key long").distinct(), f"candidates{size}")
-        made = Level(spark, keys, f"tables{size}", table_keys)
+        def candidates(found: Iterator[pa.RecordBatch], sent=sent, shards=shards) -> Iterator[pa.RecordBatch]:
+            def out() -> Iterator[dict]:
+                bits = np.unpackbits(sent.value, count=filter_cells)
+                held = np.zeros(0, np.int64)
+                for batch in found:
+                    for numbers in numbers_in(batch):
+                        keys = np.unique(keys_of(numbers)[1])
+                        held = np.union1d(held, keys[bits[cell_of(keys, filter_cells)] > 0])
+                        if len(held) > HELD_KEYS:
+                            yield from as_runs(held, shards)
+                            held = held[:0]
+                yield from as_runs(held, shards)
+
+            yield from batches(out(), RUN_SCHEMA)
+
+        made = Level(spark, stream.mapInArrow(candidates, "shard long, keys binary"), f"tables{size}", table_keys)
         if not made.total:
             break
         tables = made.tables
@@ -531,17 +549,21 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     A phrase scores floor(1000 a n / (l r)) at its weakest cut; phrases that a longer one contains as often are left out.
     """
     found, totals = mine(docs, text, lang, least, longest, filter_cells, table_keys)
-    totals = common.saved(totals, "totals")
+    return scored(found, common.saved(totals, "totals"), top)
+
+
+def scored(found: DataFrame, totals: DataFrame, top: int) -> DataFrame:
+    """The best phrases of each language, of what ``mine`` gives."""
     wide = lambda c: f"cast({c} as decimal(19, 0))"
     left, right = "heads[k - 1]", "tails[size(words) - k - 1]"
     cuts = F.expr(f"transform(sequence(1, size(words) - 1), k -> named_struct('score', ({wide('f')} * 1000 * {wide('n')}) div ({wide(left)} * {wide(right)}), "
                   f"'k', k, 'l', {left}, 'r', {right}))")
     own = found.where((F.size("words") > 1) & ~F.col("whole"))
-    scored = common.with_small(own, totals, ["lang"]).select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), "n",
+    cut = common.with_small(own, totals, ["lang"]).select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), "n",
                                                              F.array_min(cuts).alias("cut"))
     order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
     # The best of a share of a language first, so that no task sorts all of its phrases.
     shares = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
-    some = scored.withColumn("at", F.row_number().over(shares)).where(F.col("at") <= top).drop("at")
+    some = cut.withColumn("at", F.row_number().over(shares)).where(F.col("at") <= top).drop("at")
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").cast("long").alias("score"))
