@@ -1,21 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The terms are all words: those of the examples are indexed, and the others of a text count in
-its length. Document frequencies of both are counted over all documents. The examples' vectors
-form an inverted index in blocks of examples. A query reads the postings of its rare words whole.
-Those of frequent words lie block by block, beside the largest weight of each word in each block;
-a block's bound is its best score by rare words plus what the largest weights add. The blocks of
+The terms are all words, and beginnings of words that go with the label: those of four to eight letters whose presence is
+associated with it among the examples (chi-square). Terms of the examples are indexed, and other words of a text count in
+its length. Document frequencies of all are counted over all documents. The examples' vectors
+form an inverted index in blocks of examples. A query reads the postings of its rare terms whole.
+Those of frequent terms lie block by block, beside the largest weight of each term in each block;
+a block's bound is its best score by rare terms plus what the largest weights add. The blocks of
 highest bound are read first, and then only those whose bound reaches the k-th best score so far.
 The best are scored again in double precision, so the result is exact. The neighbours vote
-with weights that grow with similarity, and they are the evidence. Beside the vote stands the
-lean of a text: the log likelihood ratios of the marks in it, the words and beginnings of words
-whose presence is most associated with the label among the examples, summed over all marks and
-over the strongest, and the log of how many words it has. A logistic fit on
-the examples' own votes and leans, each without itself, turns both into a calibrated score.
+with weights that are their cosines, and they are the evidence. The score is a logistic function of the
+vote that never falls as the vote grows, fitted on the examples' own votes, each without itself. Nothing else enters it.
 
 ``max_examples`` bounds the labelled rows per class that are learnt from (those with the
-smallest hash of the id); all else covers all documents. Index and marks are bounded by it, so
-they can be sent to every task; they travel as word numbers and counts, and each worker makes
+smallest hash of the id); all else covers all documents. Index and terms are bounded by it, so
+they can be sent to every task; they travel as term numbers and counts, and each worker makes
 its postings once.
 
 Defined results: null and empty texts, and texts without any word, get the share of
@@ -43,7 +41,7 @@ from .common import is_small, saved, spread, with_small
 FOLDS = 5
 MAX_EXAMPLES = 6000
 MIN_CHI2 = 15.0
-NEIGHBOURS = 24
+NEIGHBOURS = 8
 BLOCK = 64
 #: Blocks that a query reads before it knows a k-th best score; queries that are searched for together.
 FIRST_BLOCKS = 8
@@ -53,8 +51,6 @@ FREQUENT = 1 / 16
 MOST_FREQUENT = 1024
 #: Single-precision scores are this close to exact ones, with room to spare.
 SLACK = 1e-5
-#: Marks whose ratios are also summed apart, as few strong ones can be outweighed by many weak ones.
-STRONGEST = 3
 #: Pseudo-similarity that the base rate votes with.
 PRIOR_VOTES = 0.25
 
@@ -62,7 +58,7 @@ PRIOR_VOTES = 0.25
 #: a text has only so many words, so there are at most this many times the words of a mean text.
 OFTEN = 1 / 1000
 
-#: Lengths of the word beginnings that are marks beside whole words.
+#: Lengths of the word beginnings that may be terms beside whole words.
 HEADS = (4, 5, 6, 7, 8)
 
 _NONE = np.zeros(0, np.int64)
@@ -73,20 +69,31 @@ def terms(text: str | None) -> list[str]:
     return _WORDS(text.lower()) if text else []
 
 
-def features_of(word: str) -> list[str]:
-    """A word as itself and by its beginnings, which endings of inflected words do not hide."""
-    return [word, *(f"{word[:k]}*" for k in HEADS if len(word) >= k)]
+def beginnings(word: str) -> list[str]:
+    """The beginnings of a word, which its endings do not hide; no word ends with their sign."""
+    return [f"{word[:k]}*" for k in HEADS if len(word) >= k]
 
 
 def heads(known: dict[str, int]) -> set[str]:
-    """What known marks begin with; words that begin otherwise need no closer look."""
+    """What known beginnings begin with; words that begin otherwise need no closer look."""
     return {w[:HEADS[0]] for w in known}
 
 
-def marks_in(words: Iterable[str], known: dict[str, int], begins: set[str]) -> np.ndarray:
-    """The different known marks in words, by number, ascending."""
-    some = {known[f] for w in words if w[:HEADS[0]] in begins for f in features_of(w) if f in known}
-    return np.array(sorted(some), np.int64) if some else _NONE
+def marks_in(words: Iterable[str], known: dict[str, int], begins: set[str]) -> list[int]:
+    """The known beginnings of words, by number, one word after the other."""
+    return [known[f] for w in words if w[:HEADS[0]] in begins for f in beginnings(w) if f in known]
+
+
+def all_terms(text: str | None, known: dict[str, int], begins: set[str]) -> Counter:
+    """How often a text has each word and each known beginning."""
+    seen = Counter(terms(text))
+    out = Counter(seen)
+    for w, n in seen.items():
+        if w[:HEADS[0]] in begins:
+            for f in beginnings(w):
+                if f in known:
+                    out[f] += n
+    return out
 
 
 def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,7 +145,7 @@ class Lists:
 
 @dataclass
 class Index:
-    """Examples as an inverted index in blocks, with the fit that calibrates votes."""
+    """Examples as an inverted index in blocks, with the fit that calibrates votes. A word of it is any term: a word or a beginning."""
 
     words: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -153,13 +160,10 @@ class Index:
     base: float = 0.5
     featureless: float = 0.5
     slope: float = 1.0
-    pull: np.ndarray = field(default_factory=lambda: np.zeros(3))
     shift: float = 0.0
+    #: Beginnings that are terms, and what they begin with.
     marks: dict[str, int] = field(default_factory=dict)
     begins: set[str] = field(default_factory=set)
-    #: Examples of each class that have a mark, and examples of each class.
-    marked: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-    have: np.ndarray = field(default_factory=lambda: np.zeros(2))
     lists: Lists | None = field(default=None, repr=False, compare=False)
 
     def to_send(self) -> Index:
@@ -167,8 +171,8 @@ class Index:
         return replace(self, words={}, marks={}, begins=set(), lists=None)
 
     def vector(self, text: str | None, df: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Words of a text and their weights, of length 1 together; df has the document frequencies of words outside the examples."""
-        seen = Counter(terms(text))
+        """Terms of a text and their weights, of length 1 together; df has the document frequencies of words outside the examples."""
+        seen = all_terms(text, self.marks, self.begins)
         found = sorted((self.words[w], n) for w, n in seen.items() if w in self.words)
         others = sum(((1 + math.log(n)) * idf(self.total, (df or {}).get(w, 0)))**2 for w, n in seen.items() if w not in self.words)
         return self.weigh(np.array([w for w, _ in found], np.int64), np.array([n for _, n in found], np.int64), others)
@@ -280,30 +284,21 @@ class Index:
         """Of one query, as search."""
         return self.search([found], [value], k, [without])[0]
 
-    def lean(self, marks: np.ndarray, size: int, own: int | None = None) -> np.ndarray:
-        """Log likelihood ratios of the label by the marks of a text of so many words: their sum, and that of the
-        STRONGEST; and the log of 1 + size. own is the class of an example that is left out itself."""
-        at = np.asarray(marks, np.int64)
-        n = [self.marked[y][at] - (own == y) for y in (0, 1)]
-        out = [self.have[y] - (own == y) + 1 for y in (0, 1)]
-        ratios = np.sort(np.log((n[1] + 0.5) / out[1]) - np.log((n[0] + 0.5) / out[0]))
-        return np.array([ratios.sum(), ratios[-STRONGEST:].sum(), math.log1p(size)])
-
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Log odds of the similarity-weighted vote; the base rate votes too."""
-        w = s**2 * self.weight[e]
+        w = s * self.weight[e]
         yes = (w * self.toxic[e]).sum() + PRIOR_VOTES * self.base
         no = (w * (1 - self.toxic[e])).sum() + PRIOR_VOTES * (1 - self.base)
         return math.log(max(yes, 1e-9) / max(no, 1e-9))
 
-    def calibrate(self, votes: np.ndarray, leans: np.ndarray) -> None:
-        """Logistic fit of the labels on the examples' votes and leans without themselves; NaN where an example has no word."""
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Logistic fit of the labels on the examples' votes without themselves, with a slope of 0 or more; NaN where an example has no word."""
         some = np.flatnonzero(~np.isnan(votes))
-        x = np.column_stack([votes[some], leans[some], np.ones(len(some))])
         y, w = self.toxic[some], self.weight[some]
         if len(some) < 10 or y.min() == y.max():
             return
-        start = fit = np.eye(x.shape[1])[0]
+        x = np.column_stack([votes[some], np.ones(len(some))])
+        start = fit = np.array([1.0, 0.0])
 
         def loss(c: np.ndarray) -> float:
             z = x @ c
@@ -312,21 +307,24 @@ class Index:
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
             g = x.T @ (w * (p - y)) + 1e-3 * (fit - start)
-            h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
+            h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2)
             step = np.linalg.solve(h, g)
             while loss(fit - step) > loss(fit) and np.abs(step).max() >= 1e-8:
                 step = step / 2
             fit = fit - step
             if np.abs(step).max() < 1e-8:
                 break
+        if fit[0] < 0:  # likeness to toxic examples never speaks for a text
+            share = (w * y).sum() / w.sum()
+            fit = np.array([0.0, math.log(share / (1 - share))])
         if np.isfinite(fit).all():
-            self.slope, self.pull, self.shift = float(fit[0]), fit[1:-1], float(fit[-1])
+            self.slope, self.shift = float(fit[0]), float(fit[1])
 
-    def judged(self, e: np.ndarray, s: np.ndarray, marks: np.ndarray, size: int) -> tuple[float, list[int], list[float]]:
+    def judged(self, e: np.ndarray, s: np.ndarray, size: int) -> tuple[float, list[int], list[float]]:
         """Probability of the label for a text with words, and the evidence: ids of the nearest examples and their cosines."""
         if not len(self.ids) or not size:
             return self.featureless, [], []
-        z = self.slope * self.vote(e, s) + float(self.pull @ self.lean(marks, size)) + self.shift
+        z = self.slope * self.vote(e, s) + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.ids[e].tolist(), s.tolist()
 
 
@@ -350,37 +348,42 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str,
 def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFrame:
     """rows with what the model asks of a text in its place; sent is what send_words made.
 
-    words and counts: which words of the examples it has and how often, packed (words as steps from one to the next);
-    others and other_counts: the same of all its other words; marks: the marks in it, packed likewise; size: how many
-    different words it has.
+    words and counts: which terms of the examples it has and how often, packed (terms as steps from one to the next);
+    others and other_counts: the same of all its other words; size: how many different words it has.
     """
     at = rows.columns.index(text_col)
     kept = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, marks, begins, mark_at, mark_of = sent.value
-        kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.int32())
+        kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())
+        number_of = np.array([words[m] for m in marks], np.int64)
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for text in batch.column(at):
                 seen = Counter(terms(text.as_py()))
                 number = np.fromiter(map(words.get, seen, repeat(-1)), np.int64, len(seen))
                 count = np.fromiter(seen.values(), np.int64, len(seen))
-                order = np.argsort(number)
-                order = order[np.count_nonzero(number < 0):]
-                found = number[order]
+                some = number >= 0
+                found, often = number[some], count[some]
                 others = [w for w, n in zip(seen, number.tolist(), strict=True) if n < 0]
-                mine = np.union1d(mark_of[ranges(mark_at[found], mark_at[found + 1])], marks_in(others, marks, begins))
-                for column, x in zip(out, (packed(np.diff(found, prepend=0)), packed(count[order]), others, [seen[w] for w in others],
-                                           packed(np.diff(mine, prepend=0)), len(seen)), strict=True):
+                mine, its = mark_of[ranges(mark_at[found], mark_at[found + 1])], np.repeat(often, mark_at[found + 1] - mark_at[found])
+                begun = [(m, seen[w]) for w in others if w[:HEADS[0]] in begins for m in marks_in((w,), marks, begins)]
+                if begun:
+                    mine, its = np.append(mine, [m for m, _ in begun]), np.append(its, [n for _, n in begun])
+                total = np.bincount(mine, its, minlength=len(marks)).astype(np.int64)
+                has = np.flatnonzero(total)
+                found, often = np.append(found, number_of[has]), np.append(often, total[has])
+                order = np.argsort(found)
+                found = found[order]
+                for column, x in zip(out, (packed(np.diff(found, prepend=0)), packed(often[order]), others, [seen[w] for w in others], len(seen)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns) if i != at), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))],
-                names=[*kept, "words", "counts", "others", "other_counts", "marks", "size"])
+                names=[*kept, "words", "counts", "others", "other_counts", "size"])
 
     form = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
-    return rows.mapInArrow(run, ", ".join([*form, "words binary, counts binary, others array<string>, other_counts array<int>, "
-                                                  "marks binary, size int"]))
+    return rows.mapInArrow(run, ", ".join([*form, "words binary, counts binary, others array<string>, other_counts array<int>, size int"]))
 
 
 def with_others(found: DataFrame, total: int) -> DataFrame:
@@ -393,8 +396,11 @@ def with_others(found: DataFrame, total: int) -> DataFrame:
     df = saved(pairs.groupBy("word").agg(F.count("*").alias("df")), "other-words")
     often = df.where(F.col("df") > max(20.0, total * OFTEN))
     rare = df.where(F.col("df") <= max(20.0, total * OFTEN))
-    joined = pairs.join(F.broadcast(often), "word").union(
-        pairs.join(F.broadcast(often), "word", "left_anti").join(rare.hint("merge"), "word").select("word", "row", "n", "df"))
+    if is_small(often):
+        joined = pairs.join(F.broadcast(often), "word").union(
+            pairs.join(F.broadcast(often), "word", "left_anti").join(rare.hint("merge"), "word").select("word", "row", "n", "df"))
+    else:  # few, very long texts: Spark splits what is skewed
+        joined = pairs.join(df.hint("merge"), "word").select("word", "row", "n", "df")
     weight = (1 + F.log("n")) * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1)
     # Added in order, so that equal texts get equal sums.
     squares = joined.groupBy("row").agg(F.aggregate(F.array_sort(F.collect_list(weight * weight)), F.lit(0.0), lambda a, x: a + x)
@@ -424,9 +430,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
 
 def send_words(docs: DataFrame, model: Index) -> Broadcast:
     """What features reads of the model, with the marks of each word; bounded by the examples."""
-    own = [marks_in((w,), model.marks, model.begins) for w in model.words]
+    own = [[] if w.endswith("*") else marks_in((w,), model.marks, model.begins) for w in model.words]
     at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins, at, np.concatenate([np.zeros(0, np.int64), *own])))
+    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins, at, np.array([m for x in own for m in x], np.int64)))
 
 
 def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
@@ -438,7 +444,7 @@ def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: st
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(terms(text)) for f in features_of(w)}:
+                for f in {f for w in set(terms(text)) for f in beginnings(w)}:
                     counts.setdefault(f, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(counts), *(pa.array([c[y] for c in counts.values()], pa.int64()) for y in (0, 1))],
@@ -458,19 +464,17 @@ def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: st
     marks = (rows.select("toxic", "text").mapInArrow(presence, "word string, n0 long, n1 long")
              .groupBy("word").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
              .where((with_ >= 3) & (without > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-             .orderBy(F.desc("chi2"), "word").select("word", "n0", "n1").collect())  # bounded by the examples' words
-    model.marks = {r[0]: i for i, r in enumerate(marks)}
-    model.begins = heads(model.marks)
-    model.marked = np.array([[r[1 + y] for r in marks] for y in (0, 1)], np.float64)
-    model.have = np.array([n0, n1], np.float64)
+             .orderBy(F.desc("chi2"), "word").select("word").collect())  # bounded by the examples' words
+    model.marks = known = {r[0]: i for i, r in enumerate(marks)}
+    model.begins = begins = heads(model.marks)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter(w for text in batch.column(0).to_pylist() for w in set(terms(text)))
+            seen = Counter(w for text in batch.column(0).to_pylist() for w in all_terms(text, known, begins))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     words = rows.select("text").mapInArrow(distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    # Frequent words come first, as the first word of an example decides its block.
+    # Frequent terms come first, as the first word of an example decides its block.
     words = words.sort_by([("n", "descending"), ("word", "ascending")]).column("word").to_pylist()
     model.words = {w: i for i, w in enumerate(words)}
     return model, training
@@ -500,7 +504,7 @@ def index_examples(model: Index, training: Training, all_features: DataFrame, wo
     rows = saved(features(rows, words_sent).drop("others", "other_counts"), "example-features")  # examples have no other words
     got = rows.toArrow()
     id_, y, row = (got.column(c).to_numpy() for c in ("id", "toxic", "row"))
-    words, counts, marks = ([unpacked(x) for x in got.column(c).to_pylist()] for c in ("words", "counts", "marks"))
+    words, counts = ([unpacked(x) for x in got.column(c).to_pylist()] for c in ("words", "counts"))
     totals, n0, n1, base = training.totals, training.have.get(0, 0), training.have.get(1, 0), model.base
     share = np.array([totals.get(0, 0) / n0, totals.get(1, 0) / n1])
     size = np.array([len(w) for w in words])
@@ -514,7 +518,6 @@ def index_examples(model: Index, training: Training, all_features: DataFrame, wo
     model.word = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(words[i]) for i in order)]).astype(np.int32)
     often = np.concatenate([np.zeros(0, np.int64), *(counts[i] for i in order)])
     model.count = often.astype(np.uint8 if often.max(initial=0) < 256 else np.int32)
-    leans = np.array([model.lean(np.cumsum(marks[i]), int(size[i]), int(y[i])) for i in order]).reshape(len(order), 3)
     place = {int(row[i]): at for at, i in enumerate(order)}
     sent = rows.sparkSession.sparkContext.broadcast((model.to_send(), place))  # bounded by max_examples
 
@@ -531,25 +534,25 @@ def index_examples(model: Index, training: Training, all_features: DataFrame, wo
     got = rows.select("row", "words", "counts").mapInArrow(run, "at long, vote double").toArrow()
     votes = np.full(len(order), np.nan)
     votes[got.column("at").to_numpy()] = got.column("vote").to_numpy()
-    model.calibrate(votes, leans)
+    model.calibrate(votes)
     return sent
 
 
 def scored(rows: DataFrame, model: Index, sent: Broadcast) -> DataFrame:
     """rows of with_others without what describes the text, but with score, evidence array<long>, cosines array<double>."""
-    asked = ["words", "counts", "other_squares", "marks", "size"]
+    asked = ["words", "counts", "other_squares", "size"]
     kept = [c for c in rows.columns if c not in [*asked, "row"]]
-    fitted = model.featureless, model.slope, model.pull, model.shift
+    fitted = model.featureless, model.slope, model.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = replace(sent.value[0], featureless=fitted[0], slope=fitted[1], pull=fitted[2], shift=fitted[3], lists=sent.value[0].ready())
+        index = replace(sent.value[0], featureless=fitted[0], slope=fitted[1], shift=fitted[2], lists=sent.value[0].ready())
         for batch in batches:
             for part in range(0, len(batch), TOGETHER):
                 now = batch.slice(part, TOGETHER)
-                words, counts, others, marks, size = (now.column(len(kept) + i).to_pylist() for i in range(5))
+                words, counts, others, size = (now.column(len(kept) + i).to_pylist() for i in range(4))
                 asked_for = [index.weigh(np.cumsum(unpacked(w)), unpacked(c), q) for w, c, q in zip(words, counts, others, strict=True)]
                 best = index.search([x[0] for x in asked_for], [x[1] for x in asked_for])
-                out = [index.judged(*x, np.cumsum(unpacked(m)), n) for x, m, n in zip(best, marks, size, strict=True)]
+                out = [index.judged(*x, n) for x, n in zip(best, size, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(now.column(i) for i in range(len(kept))), pa.array([x[0] for x in out], pa.float64()),
                      pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],

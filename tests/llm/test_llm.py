@@ -212,18 +212,52 @@ def test_toxicity_finds_cosines_over_all_words(spark):
     docs = docs.union(spark.createDataFrame(plain, FORM)).union(copies)
     rows = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
     words = {r["doc_id"]: collections.Counter(re.findall(r"[^\W_]+", r["text"].lower())) for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    begun = {i: collections.Counter({f: sum(n for w, n in c.items() if w.startswith(f[:-1])) for f in {w[:k] + "*" for w in c for k in range(4, 9) if len(w) >= k}})
+             for i, c in words.items()}
+    n1 = sum(toxic.values())
+    n0 = len(toxic) - n1
+    have = [collections.Counter(f for i, y in toxic.items() if y == c for f in begun[i]) for c in (0, 1)]
+
+    def goes_with_the_label(f):
+        a, c = have[1][f], have[0][f]
+        out = n0 + n1 - a - c
+        return a + c >= 3 and out > 0 and (n0 + n1) * (a * (n0 - c) - c * (n1 - a)) ** 2 / ((a + c) * out * n0 * n1) >= toxicity.MIN_CHI2
+
+    marks = {f for f in have[0].keys() | have[1].keys() if goes_with_the_label(f)}
+    assert marks
+    words = {i: c + collections.Counter({f: n for f, n in begun[i].items() if f in marks}) for i, c in words.items()}
     df = collections.Counter(w for c in words.values() for w in c)
     weigh = {i: {w: (1 + np.log(n)) * (np.log((1 + len(words)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in words.items()}
     size = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in weigh.items()}
-    train = [r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
     assert rows.keys() == words.keys()
-    for i, v in weigh.items():
-        cosine = {e: sum(x * weigh[e].get(w, 0) for w, x in v.items()) / size[i] / size[e] for e in train}
+
+    def cosines(i):
+        return {e: sum(x * weigh[e].get(w, 0) for w, x in weigh[i].items()) / size[i] / size[e] for e in toxic if e != i or i >= 1000}
+
+    base = (n1 + 1) / (n0 + n1 + 2)
+
+    def vote(cosine):
+        best = sorted(((c, toxic[e]) for e, c in cosine.items() if c > 0), reverse=True)[:toxicity.NEIGHBOURS]
+        yes, no = sum(c for c, y in best if y) + toxicity.PRIOR_VOTES * base, sum(c for c, y in best if not y) + toxicity.PRIOR_VOTES * (1 - base)
+        return np.log(max(yes, 1e-9) / max(no, 1e-9))
+
+    x, y = np.array([[vote(cosines(e)), 1.0] for e in toxic]), np.array(list(toxic.values()), float)
+    fit = np.array([1.0, 0.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ fit))
+        fit = fit - 0.5 * np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * (fit - [1.0, 0.0]))
+    assert fit[0] > 0
+    for i in weigh:
+        cosine = {e: c for e, c in cosines(i).items()} | ({i: 1.0} if i in toxic else {})
         best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:toxicity.NEIGHBOURS]
         assert rows[i]["cosines"] == pytest.approx(best)
         assert [cosine[e] for e in rows[i]["evidence"]] == pytest.approx(rows[i]["cosines"])
+        voted = sum(c * toxic[e] for e, c in zip(rows[i]["evidence"], rows[i]["cosines"], strict=True)) + toxicity.PRIOR_VOTES * base
+        z = np.log(max(voted, 1e-9) / max(sum(rows[i]["cosines"]) + toxicity.PRIOR_VOTES - voted, 1e-9))
+        assert rows[i]["score"] == pytest.approx(1 / (1 + np.exp(-(fit[0] * z + fit[1]))), abs=0.02)
     for i in range(2000, 2030):
-        assert rows[i]["cosines"][0] == pytest.approx(1) or i - 2000 not in train
+        assert rows[i]["cosines"][0] == pytest.approx(1) or i - 2000 not in toxic
 
 
 def test_toxicity_learns_from_all_bounded_examples(spark):
