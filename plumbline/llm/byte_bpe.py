@@ -106,20 +106,31 @@ def _long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def letters_apart(pattern: str) -> str:
-    """Code points that this machine's ``regex`` counts among letters or numbers and the tokenizer library does not, or the other way.
+@lru_cache(maxsize=1)
+def letters_apart() -> str:
+    """Code points that this machine's ``regex`` counts among letters or numbers and the tokenizer library does not.
 
     Both are asked once for each code point; the two follow different versions of Unicode.
     """
     import tiktoken
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     single = {bytes([b]): b for b in range(256)}
+
+    def known(kind: str, every: str) -> str:
+        return bytes(tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+
+    return classes_apart(known)
+
+
+def classes_apart(known: Callable[[str, str], str]) -> str:
+    """Code points whose class differs; ``known(kind, text)`` gives the characters of a class that the library finds in a text."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     apart: set[str] = set()
-    for kind in (r"\p{L}", r"\p{N}", r"\s"):
-        if kind in pattern or kind == r"\s":
-            known = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
-            apart ^= set(bytes(known).decode()) ^ set(regex.findall(kind, every))
+    for kind in (r"\p{L}", r"\p{N}"):
+        own, theirs = set(regex.findall(kind, every)), set(known(kind, every))
+        if theirs - own:
+            raise ValueError("the tokenizer library knows letters or numbers that the regex module does not")
+        apart |= own - theirs
     return "".join(sorted(apart))
 
 
@@ -158,15 +169,22 @@ def splitter(pattern: str, apart: str) -> Callable[[str], list[str]]:
     plain = regex.compile(pattern)
     if not apart:
         return plain.findall
-    odd = regex.compile(f"[{apart}]")
-    strict = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{apart}]]")
-                           .replace(r" ?\p{L}", rf" ?[\p{{L}}--[{apart}]]").replace(r" ?\p{N}", rf" ?[\p{{N}}--[{apart}]]"), regex.V1)
+    odd, strict = regex.compile(f"[{apart}]"), regex.compile(without(pattern, apart), regex.V1)
     return lambda text: (plain if text.isascii() or not odd.search(text) else strict).findall(text)
 
 
+def without(pattern: str, apart: str) -> str:
+    """The pattern, in the newer syntax of classes, with code points that are neither letters nor numbers in it."""
+    rest = "[^\\s\\p{L}\\p{N}]"
+    parts = pattern.split(rest)
+    for kind in (r"\p{L}", r"\p{N}"):
+        parts = [p.replace(f"[{kind}]", kind).replace(kind, f"[{kind}--[{apart}]]") for p in parts]
+    return f"[{rest}||[{apart}]]".join(parts)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of each row; ids as little-endian unsigned 32-bit integers. Two shuffles, of dictionaries and of word numbers."""
-    apart = code_ranges(letters_apart(pattern))
+    apart = code_ranges(letters_apart())
     found = wordblocks.blocks(docs, id_col, text_col, lambda: (chunks, splitter(pattern, apart)), name="pretokens")
 
     def encoder() -> Callable[[list[bytes]], list[bytes]]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import classes_apart, code_ranges, splitter
+
 LIMIT = 2048
 #: Small letters of Unicode 16 and 17 that Python's tables may lack, by capital letter.
 NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
@@ -38,10 +41,22 @@ def byte_symbols() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def letters_apart() -> str:
+    """Letters and numbers of ``regex`` that the ``tokenizers`` library does not know, as it follows an older version of Unicode."""
+    from tokenizers import Regex, pre_tokenizers
+
+    def known(kind: str, every: str) -> str:
+        return "".join(w for w, _ in pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(every))
+
+    return classes_apart(known)
+
+
 class PairMerger:
     """Counts tokens of words and texts for one vocabulary file in the ``tokenizers`` format."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, apart: str | None = None):
+        """apart: letters and numbers of ``regex`` that the library does not know, as ranges; asked for if left out."""
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model = whole["model"]
@@ -63,7 +78,8 @@ class PairMerger:
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         pre = whole["pre_tokenizer"]
         split = next(s for s in pre["pretokenizers"] if s["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")).findall
+        pattern = split["pattern"]["Regex"].replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+        self.words = splitter(pattern, code_ranges(letters_apart()) if apart is None else apart)
         marks = [t["content"] for t in whole["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(marks, key=len, reverse=True)))) if marks else None
         self.cache: dict[str, int] = {}
@@ -148,11 +164,12 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                  limit: int = LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each row. No shuffle; workers reuse counts of frequent words."""
     kind = docs.schema[id_col].dataType.simpleString()
+    apart = code_ranges(letters_apart())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _MERGERS.get(vocabulary)
         if merger is None:
-            merger = _MERGERS[vocabulary] = PairMerger(vocabulary)
+            merger = _MERGERS[vocabulary] = PairMerger(vocabulary, apart=apart)
         for batch in batches:
             texts = batch.column(1)
             counts = [merger.count(t.as_py()) for t in texts]

@@ -22,7 +22,7 @@ def library():
 
 def test_random_strings(library):
     rng = random.Random(1)
-    ranks, words = byte_bpe.read_ranks(PATH), byte_bpe.splitter(PATTERN, byte_bpe.code_ranges(byte_bpe.letters_apart(PATTERN)))
+    ranks, words = byte_bpe.read_ranks(PATH), byte_bpe.splitter(PATTERN, byte_bpe.code_ranges(byte_bpe.letters_apart()))
     own = lambda t: [i for c in byte_bpe.chunks(t) for w in words(c) for i in byte_bpe.merge_word(w.encode(), ranks)]
     pool = [chr(c) for c in range(0x250)] + list("՘֋࢏  　中́") + [chr(0x11de0), chr(0x1f600)]
     for _ in range(10_000):
@@ -80,3 +80,37 @@ def test_decoding_refuses_unknown_ids(spark):
         byte_bpe.decode(spark.createDataFrame([(bytearray(ids),)], "ids binary"), PATH).collect()
     kept = byte_bpe.decode(spark.createDataFrame([(None, 1)], "ids binary, decoded_by long"), PATH).select(F.col("decoded").isNull()).first()[0]
     assert kept
+
+
+def test_counts_know_the_librarys_letters():
+    """Letters newer than the library, alone and before an ending, and random strings."""
+    import tokenizers
+
+    from plumbline.llm.token_counts import PairMerger
+
+    path = tokenizer_path("word_bpe_49k.json")
+    merger, library = PairMerger(path), tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(3)
+    pool = [chr(c) for c in [*range(1, 0x600), 0x88F, 0x208F, 0x10940, 0x11DE0, 0x1C89, 0xA7CB, 0x2028]]
+    texts = [chr(c) + "'s" for c in [*range(0x500, 0x600), 0x88F, 0x208F, 0x10940, 0x11DE0]]
+    texts += ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice("abc  '\n1stA") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    assert [merger.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_packing_of_long_runs_takes_linear_time():
+    """Runs just below what goes to the library: letters of 15,000 and blanks."""
+    import time
+
+    import tokenizers
+
+    from plumbline.llm import packing
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    encode, library = packing.encoder(path), tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(5)
+    chinese = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(15_000))
+    for text in ("\n".join([chinese] * 20), " ".join(["ab" * 7499 + "c"] * 20), (" " * 15_000 + "x") * 20):
+        began = time.perf_counter()
+        ids = encode(text).tolist()
+        assert time.perf_counter() - began < 5 and ids == library.encode(text, add_special_tokens=False).ids
+    assert packing.longest_run("ab" * 50 + " " * 70 + "\n" + "c") == 100 and packing.longest_run("") == 0 and packing.longest_run(" " * 99) == 99
