@@ -51,6 +51,7 @@ from . import (
     NonNegativeNumbersRule,
     OnlineNormalStrategy,
     PatternMatch,
+    QualitySession,
     RelativeRateOfChangeStrategy,
     ResultKey,
     RetainCompletenessRule,
@@ -860,3 +861,78 @@ SQL["analyzer_kll_without_nan"] = " UNION ALL ".join(
     f"SELECT CAST({i} AS BIGINT) AS bucket, CAST(min(x) + {i} * (max(x) - min(x)) / 4 AS DOUBLE) AS low, "
     f"(SELECT count(*) FROM {_SOME} y, (SELECT min(x) AS a, (max(x) - min(x)) / 4.0 AS w FROM {_SOME} q) m WHERE least(floor((x - a) / w), 3) = {i}) AS n FROM {_SOME} z"
     for i in range(4))
+
+
+# -- inputs of other kinds, and the faces of the library ---------------------------------
+
+def shared(spark: SparkSession, name: str) -> str:
+    return FileSystemMetricsRepository.helper_metrics_file(spark, name)
+
+
+_FACTS = [Size(), Completeness("gap"), Mean("l_quantity"), Uniqueness(["l_orderkey", "l_linenumber"])]
+_FACTS_SQL = " UNION ALL ".join(f"SELECT '{e}' AS entity, '{i}' AS instance, '{n}' AS name, round(CAST({v} AS DOUBLE), {DIGITS}) AS value FROM {t}" for e, i, n, v, t in (
+    ("Dataset", "*", "Size", "count(*)", f"{ITEMS} t"), (*column("gap", "Completeness", "count(gap) * 1.0 / count(*)"), f"{ITEMS} t"),
+    (*column("l_quantity", "Mean", "avg(l_quantity)"), f"{ITEMS} t"),
+    ("Multicolumn", "l_orderkey,l_linenumber", "Uniqueness", f"{ONCE} * 1.0 / sum(n)", f"(SELECT count(*) AS n FROM {ITEMS} t GROUP BY l_orderkey, l_linenumber) g")))
+_FACT_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity", "gap"]
+
+
+def facts(spark: SparkSession, data: Any) -> DataFrame:
+    context = AnalysisRunner(spark).onData(data).addAnalyzers(_FACTS).run()
+    return AnalyzerContext.successMetricsAsDataFrame(spark, context).withColumn("value", F.round("value", DIGITS))
+
+
+def from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written as CSV with a header and read back with inferred types; an empty field is null."""
+    path = shared(spark, "items.csv")
+    items(spark, sf_dir).select(*_FACT_COLUMNS).write.option("header", True).csv(path)
+    return facts(spark, spark.read.csv(path, header=True, inferSchema=True))
+
+
+def from_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by the name of a view in the catalog."""
+    items(spark, sf_dir).select(*_FACT_COLUMNS).createOrReplaceTempView("plumbline_items")
+    return facts(spark, spark.table("plumbline_items"))
+
+
+def from_pandas_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a pandas table, and metrics as one."""
+    few = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name").toPandas()
+    got = AnalyzerContext.successMetricsAsDataFrame(spark, AnalysisRunner(spark).onData(few).addAnalyzers([Size(), Mean("n_regionkey"), MaxLength("n_name")]).run(), pandas=True)
+    return spark.createDataFrame(got)
+
+
+def from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics exported as JSON, as rows."""
+    context = AnalysisRunner(spark).onData(items(spark, sf_dir)).addAnalyzers(_FACTS).run()
+    rows = [(m["entity"], m["instance"], m["name"], round(m["value"], DIGITS)) for m in AnalyzerContext.successMetricsAsJson(spark, context)]
+    return spark.createDataFrame(rows, "entity string, instance string, name string, value double")
+
+
+def by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's own runner, checks and profiler; two constraints added together."""
+    session, df = QualitySession(spark), items(spark, sf_dir)
+    check = session.createCheck(CheckLevel.Warning, "session")
+    check = check.addConstraints([check.isComplete("gap"), check.hasSize(lambda n: n > 0)])
+    result = VerificationSuite(spark).onData(df).addCheck(check).run()
+    checked = [(r["constraint_status"], 1.0) for r in VerificationResult.checkResultsAsJson(spark, result)]
+    size = AnalyzerContext.successMetricsAsJson(spark, session.createAnalysisRunner(df).addAnalyzer(Size()).run())[0]
+    repo = InMemoryMetricsRepository(spark)
+    profiles_ = (session.createColumnProfileRunner(df).restrictToColumns(["gap"]).useRepository(repo).saveOrAppendResult(ResultKey(3)).run())
+    kept = [m for m in repo.load().getSuccessMetricsAsJson() if m["name"] == "Completeness"]
+    rows = [*checked, ("Size", size["value"]), ("Records", float(profiles_.numRecords)), ("Kept", round(kept[0]["value"], DIGITS)),
+            (str(profiles_.profiles["gap"]).split(":")[0], 1.0)]
+    return spark.createDataFrame(rows, "what string, value double")
+
+
+for _name, _query in (("source_csv", from_csv), ("source_catalog_table", from_catalog), ("sink_json", from_json)):
+    QUERIES[_name] = _query
+    SQL[_name] = _FACTS_SQL
+QUERIES["source_pandas"] = from_pandas_table
+SQL["source_pandas"] = " UNION ALL ".join(f"SELECT '{e}' AS entity, '{i}' AS instance, '{n}' AS name, CAST({v} AS DOUBLE) AS value FROM nation" for e, i, n, v in (
+    ("Dataset", "*", "Size", "count(*)"), column("n_regionkey", "Mean", "avg(n_regionkey)"), column("n_name", "MaxLength", "max(length(n_name))")))
+QUERIES["session_facade"] = by_session
+SQL["session_facade"] = (f"WITH m AS (SELECT count(*) AS n, count(gap) AS filled FROM {ITEMS} t) "
+                         "SELECT CASE WHEN filled = n THEN 'Success' ELSE 'Failure' END AS what, CAST(1 AS DOUBLE) AS value FROM m "
+                         "UNION ALL SELECT CASE WHEN n > 0 THEN 'Success' ELSE 'Failure' END, 1 FROM m UNION ALL SELECT 'Size', n FROM m UNION ALL SELECT 'Records', n FROM m "
+                         f"UNION ALL SELECT 'Kept', round(filled * 1.0 / n, {DIGITS}) FROM m UNION ALL SELECT 'NumericProfiles for column', 1 FROM m")
