@@ -395,7 +395,7 @@ DEFAULT_KLL = KLLParameters(2048, 0.64, 100)
 
 @dataclass(frozen=True)
 class KLLSketch(NumericScan):
-    """Counts in equal-width buckets between minimum and maximum, and a grid of percentiles from a KLL sketch of the size."""
+    """Exact counts in equal-width buckets between minimum and maximum, and the levels of a quantile sketch."""
 
     column: str
     kllParameters: KLLParameters | None = None
@@ -411,25 +411,14 @@ class KLLSketch(NumericScan):
         return self.kllParameters or DEFAULT_KLL
 
     def aggregates(self, schema: T.StructType) -> list[Column]:
-        number = self.number()
-        grid = F.array(*[F.lit(i / 100) for i in range(1, 101)])
-        sketch = F.kll_sketch_agg_double(number, F.lit(min(65535, max(8, self.parameters.sketchSize))))
-        return [F.min(number), F.max(number), F.when(F.count(number) > 0, F.kll_sketch_get_quantile_double(sketch, grid))]
-
-    def bucket(self, low: float, high: float) -> Column:
-        """Index of each value's bucket, once minimum and maximum are known."""
-        n = self.parameters.numberOfBuckets
-        if high == low:
-            return F.when(self.number().isNotNull(), F.lit(n - 1))
-        at = F.floor((self.number() - low) / F.lit((high - low) / n)).cast("int")
-        return F.when(self.number().isNotNull(), F.greatest(F.lit(0), F.least(at, F.lit(n - 1))))
-
-    def distribution(self, low: float, high: float, grid: list[float], counts: dict[int, int]) -> BucketDistribution:
+        return [F.min(self.number()), F.max(self.number())]
+
+    def distribution(self, low: float, high: float, levels: list[list[float]], counts: dict[int, int]) -> BucketDistribution:
         p = self.parameters
         step = (high - low) / p.numberOfBuckets
         edges = [low + i * step for i in range(p.numberOfBuckets)] + [high]
         buckets = [BucketValue(edges[i], edges[i + 1], counts.get(i, 0)) for i in range(p.numberOfBuckets)]
-        return BucketDistribution(buckets, [p.shrinkingFactor, float(p.sketchSize)], [[float(x) for x in grid]])
+        return BucketDistribution(buckets, [p.shrinkingFactor, float(p.sketchSize)], [[float(x) for x in level] for level in levels])
 
     def rows(self, value: BucketDistribution) -> list[Metric]:
         out = [Metric(self.entity, self.instance, "KLL.buckets", float(len(value.buckets)))]

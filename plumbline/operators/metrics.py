@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.kll import quantiles
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -77,9 +79,9 @@ class BucketValue:
 
 @dataclass(frozen=True)
 class BucketDistribution:
-    """Equal-width buckets between minimum and maximum, and a grid of quantiles.
+    """Equal-width buckets between minimum and maximum, and the levels of a quantile sketch.
 
-    ``data`` holds the quantile grid as its only level; Spark does not show a sketch's own levels.
+    A value of level h of ``data`` stands for 2**h values.
     """
 
     buckets: list[BucketValue]
@@ -90,7 +92,8 @@ class BucketDistribution:
         return self.buckets[i]
 
     def computePercentiles(self) -> list[float]:
-        return self.data[0] if self.data else []
+        """The values at 1, 2, ..., 100 per cent."""
+        return quantiles(self.data, [i / 100 for i in range(1, 101)])
 
     @property
     def argmax(self) -> int:

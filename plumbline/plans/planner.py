@@ -8,9 +8,12 @@ checked against the schema before any job runs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import (
     AnalysisException,
     ArithmeticException,
@@ -25,6 +28,7 @@ from pyspark.errors import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kll import Compactors
 from ..operators.analyzers import (
     Analyzer,
     ApproxQuantile,
@@ -149,22 +153,56 @@ def _raise_again(df: DataFrame, a: ScanAnalyzer):
     return a.value(list(df.agg(*a.aggregates(df.schema)).first()))
 
 
+#: Sketches of so many tasks are merged by one task of the first step.
+SKETCH_FAN_IN = 64
+SUMMARY = "i int, part long, counts array<long>, levels array<array<double>>"
+
+
 def buckets(df: DataFrame, found: dict[KLLSketch, list]) -> dict[Analyzer, Outcome]:
-    """Bucket counts of all sketches in a second scan, with a map-side step."""
+    """Bucket counts and sketches of all columns in a second scan: one summary a task and column, merged in two steps."""
     if not found:
         return {}
     sketches = list(found)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), a.bucket(float(found[a][0]), float(found[a][1])).alias("b"))
-                      for i, a in enumerate(sketches)])
+    plan = [(float(found[a][0]), float(found[a][1]), a.parameters.numberOfBuckets, a.parameters.sketchSize, a.parameters.shrinkingFactor) for a in sketches]
+    schema = pa.schema([("i", pa.int32()), ("part", pa.int64()), ("counts", pa.list_(pa.int64())), ("levels", pa.list_(pa.list_(pa.float64())))])
+
+    def rows(made: list[tuple[int, int, np.ndarray, Compactors]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"i": i, "part": p, "counts": c.tolist(), "levels": [x.tolist() for x in s.levels]} for i, p, c, s in made], schema)
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [(i, TaskContext.get().partitionId(), np.zeros(n, np.int64), Compactors(size, shrink)) for i, (_, _, n, size, shrink) in enumerate(plan)]
+        for batch in batches:
+            for (i, _, counts, sketch), (low, high, n, _, _) in zip(made, plan, strict=True):
+                x = batch.column(i).drop_null().to_numpy()
+                at = np.floor((x - low) / ((high - low) / n)).astype(np.int64) if high > low else np.full(len(x), n - 1)
+                counts += np.bincount(np.clip(at, 0, n - 1), minlength=n)
+                sketch.add(x)
+        yield rows(made)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, part, counts, levels = (batch.column(c)[r].as_py() for c in range(4))
+                one = (i, part, np.array(counts, np.int64), Compactors(*plan[i][3:], levels))
+                if now is not None and now[:2] == one[:2]:
+                    now = (*now[:2], now[2] + one[2], now[3].merge(one[3]))
+                    continue
+                if now is not None:
+                    yield rows([now])
+                now = one
+        if now is not None:
+            yield rows([now])
+
+    columns = df.select(*[a.number().alias(f"c{i}") for i, a in enumerate(sketches)])
+    summaries = columns.mapInArrow(summarize, SUMMARY)
+    for part in (F.expr(f"part div {SKETCH_FAN_IN}"), F.lit(0).cast("long")):
+        summaries = summaries.withColumn("part", part).repartition("i", "part").sortWithinPartitions("i", "part").mapInArrow(merge, SUMMARY)
     try:
-        rows = df.select(F.explode(pairs).alias("x")).where("x.b is not null").groupBy("x.i", "x.b").count().collect()
+        got = {r["i"]: r for r in summaries.collect()}
     except DATA_ERRORS as e:
         return {a: Outcome(error=first_line(e)) for a in sketches}
-    counts: list[dict[int, int]] = [{} for _ in sketches]
-    for i, b, n in rows:
-        counts[i][b] = n
-    return {a: Outcome(a.distribution(float(found[a][0]), float(found[a][1]), found[a][2], counts[i]))
-            for i, a in enumerate(sketches)}
+    return {a: Outcome(a.distribution(*plan[i][:2], got[i]["levels"], dict(enumerate(got[i]["counts"])))) for i, a in enumerate(sketches)}
 
 
 def frequencies(df: DataFrame, columns: tuple[str, ...], where: str | None) -> DataFrame:

@@ -6,7 +6,7 @@ alone. Filters and parameters are part of an analyzer's identity, and so of its
 
 Rows merge by sums, extremes and sketches; deviations and correlations by co-moments about the common mean, which keeps digits
 far from zero. Frequency tables merge by key with a map-side step and never leave Spark. Quantiles come from a KLL sketch, also
-where an analyzer asks for a smaller error; bucket counts come from the sketch's ranks.
+where an analyzer asks for a smaller error; bucket counts come from the sketch's ranks, and a grid of its percentiles stands in place of levels.
 
 NaN counts as a value: it makes means, sums, deviations and maxima NaN, as in a scan of the whole; sketches leave it out.
 """
@@ -232,7 +232,7 @@ class States:
             edges = [math.nextafter(low + i * ((high - low) / n), -math.inf) for i in range(1, n)]
             below = [0, *(round(x * r["hits"]) for x in self._ask(r["kll"], "rank", edges)), r["hits"]]
             counts = {i: below[i + 1] - below[i] for i in range(n)}
-        return a.distribution(low, high, [float(x) for x in r["grid"]], counts)
+        return a.distribution(low, high, [r["grid"]], counts)
 
     def _ask(self, sketch: bytes, what: str, at: list[float]) -> list[float]:
         """Ranks or quantiles of one sketch, by Spark's functions."""
