@@ -46,8 +46,8 @@ BLOCK = 64
 #: Blocks that a query reads before it knows a k-th best score; queries that are searched for together.
 FIRST_BLOCKS = 8
 TOGETHER = 256
-#: Words are frequent if at least this share of the examples has them; at most so many are, for memory.
-FREQUENT = 1 / 16
+#: Terms are frequent if at least this share of the examples has them; at most so many are, for memory. Results do not depend on it.
+FREQUENT = 1 / 64
 MOST_FREQUENT = 1024
 #: Single-precision scores are this close to exact ones, with room to spare.
 SLACK = 1e-5
@@ -358,6 +358,17 @@ def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFr
         words, marks, begins, mark_at, mark_of = sent.value
         kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())
         number_of = np.array([words[m] for m in marks], np.int64)
+        begun_by: dict[str, list[int]] = {}  # the beginnings of words by what can be of one
+
+        def marks_of(word: str) -> list[int]:
+            head = word[:HEADS[-1]]
+            out = begun_by.get(head)
+            if out is None:
+                if len(begun_by) >= 200_000:
+                    begun_by.clear()
+                out = begun_by[head] = marks_in((word,), marks, begins)
+            return out
+
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for text in batch.column(at):
@@ -368,7 +379,7 @@ def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFr
                 found, often = number[some], count[some]
                 others = [w for w, n in zip(seen, number.tolist(), strict=True) if n < 0]
                 mine, its = mark_of[ranges(mark_at[found], mark_at[found + 1])], np.repeat(often, mark_at[found + 1] - mark_at[found])
-                begun = [(m, seen[w]) for w in others if w[:HEADS[0]] in begins for m in marks_in((w,), marks, begins)]
+                begun = [(m, seen[w]) for w in others if w[:HEADS[0]] in begins for m in marks_of(w)]
                 if begun:
                     mine, its = np.append(mine, [m for m, _ in begun]), np.append(its, [n for _, n in begun])
                 total = np.bincount(mine, its, minlength=len(marks)).astype(np.int64)
