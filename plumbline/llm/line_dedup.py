@@ -6,12 +6,12 @@ select the same line: it is their fingerprint. One position is often selected by
 windows and counts once. A line of at least ``long_chars`` characters is also a window by
 itself, and its own fingerprint.
 
-Positions whose fingerprint no other position has are dropped. The others are joined with what
-shares the fingerprint and extended to the left and right, by the hashes of the lines there, to
-all windows that selected them; each such match is reduced to its earliest occurrence. A window
+Positions whose fingerprint no other position has are dropped. The others are extended to the left and right to
+all windows that selected them, and a window is matched with its earliest occurrence by the hash of all its lines. A window
 that occurred earlier, in the order of id and position, is deleted; overlapping windows make
 the whole repeated run, and the earliest occurrence of a run stays. So a line goes exactly if
-it lies in a run of at least ``run`` lines, or is a long line, that occurs earlier.
+it lies in a run of at least ``run`` lines, or is a long line, that occurs earlier. A match is not grown beyond a window at
+a time: a long copied run is as many matches as it has windows.
 
 Only DataFrame functions are used. Fingerprints are counted, and matches reduced to their
 earliest occurrence, by aggregates with a map-side step; what joins them back is a broadcast of
