@@ -771,7 +771,21 @@ series("relative_rate_of_change", RelativeRateOfChangeStrategy(0.9, 1.1), "p IS
 series("batch_normal", BatchNormalStrategy(1.0, 1.0), "m IS NULL OR v BETWEEN m - coalesce(s, 0) AND m + coalesce(s, 0)")
 series("online_normal", OnlineNormalStrategy(1.0, 1.0, 0.0, False), "v BETWEEN mi - si AND mi + si")
 series("online_normal_without_anomalies", OnlineNormalStrategy(2.0, 2.0), None)
-series("holt_winters_fixed_weights", HoltWinters(MetricInterval.Monthly, SeriesSeasonality.Yearly, (0.3, 0.1, 0.2)), None)
+series("holt_winters_fixed_weights", HoltWinters(MetricInterval.Monthly, SeriesSeasonality.Yearly, (0.3, 0.1, 0.2)), None)  # its SQL follows
+#: The recurrence step by step; the season's values are a list whose first is the next one's, and which a step turns by one.
+_A, _B, _C = 0.3, 0.1, 0.2
+SQL["series_holt_winters_fixed_weights"] = f"""WITH RECURSIVE x AS {BY_MONTH},
+s AS (SELECT series, month, v, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS t FROM x),
+i AS (SELECT series, avg(v) FILTER (WHERE t < 12) AS level, (avg(v) FILTER (WHERE t >= 12 AND t < 24) - avg(v) FILTER (WHERE t < 12)) / 12 AS trend FROM s GROUP BY series),
+r AS (SELECT i.series, CAST(-1 AS BIGINT) AS t, level, trend, CAST(0 AS DOUBLE) AS e,
+(SELECT list(s.v - i.level ORDER BY s.t) FROM s WHERE s.series = i.series AND s.t < 12) AS season FROM i
+UNION ALL
+SELECT q.series, q.t, q.now, {_B} * (q.now - q.level) + {1 - _B} * q.trend, q.v - (q.level + q.trend + q.own), list_concat(q.season[2:12], [{_C} * (q.v - q.now) + {1 - _C} * q.own])
+FROM (SELECT r.series, s.t, s.v, r.level, r.trend, r.season, r.season[1] AS own, {_A} * (s.v - r.season[1]) + {1 - _A} * (r.level + r.trend) AS now
+FROM r JOIN s ON s.series = r.series AND s.t = r.t + 1) q)
+SELECT s.series, s.month, s.v AS value, CASE WHEN s.t < 24 THEN NULL ELSE abs(e) <= greatest(1.96 * sd, 1e-9) END AS normal
+FROM s JOIN (SELECT series, t, e, stddev_pop(e) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sd FROM r WHERE t >= 0) w
+ON w.series = s.series AND w.t = s.t"""
 
 
 # -- repositories: typed values, binnings by Python functions -----------------------------
