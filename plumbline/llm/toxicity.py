@@ -47,7 +47,7 @@ BLOCK = 64
 FIRST_BLOCKS = 8
 TOGETHER = 256
 #: Terms are frequent if at least this share of the examples has them; at most so many are, for memory. Results do not depend on it.
-FREQUENT = 1 / 64
+FREQUENT = 1 / 16
 MOST_FREQUENT = 1024
 #: Single-precision scores are this close to exact ones, with room to spare.
 SLACK = 1e-5
@@ -133,7 +133,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 class Lists:
     """What a search reads, made from the examples' word numbers and counts."""
 
-    value: np.ndarray  # by example and word
+    length: np.ndarray  # of each example's vector before it is scaled to 1, in double precision
     example: np.ndarray  # by word and example, as is weight, in single precision
     weight: np.ndarray
     at: np.ndarray  # where the postings of each word begin
@@ -193,21 +193,25 @@ class Index:
         """Of each word: examples and weights, and its blocks of examples with the largest weight in each."""
         made, out = self.ready(), []
         order = np.argsort(self.word, kind="stable")
-        value, example = made.value[order], np.repeat(np.arange(len(self.ids)), np.diff(self.at))[order]
+        value, example = self.values(np.arange(len(self.word)), np.repeat(made.length, np.diff(self.at)))[order], np.repeat(np.arange(len(self.ids)), np.diff(self.at))[order]
         for a, b in zip(made.at[:-1], made.at[1:], strict=True):
             e, v = example[a:b], value[a:b]
             block, first = np.unique(e // BLOCK, return_index=True)
             out.append((e, v, block, np.maximum.reduceat(v, first) if len(v) else v))
         return out
 
+    def values(self, places: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Weights of the examples' terms at the places, in double precision; not kept, for memory."""
+        return (1 + np.log(self.count[places].astype(np.float64))) * self.idf[self.word[places]] / length
+
     def ready(self) -> Lists:
         """Postings, blocks and largest weights; made once in each worker."""
         if self.lists is None:
             n, sizes = len(self.ids), np.diff(self.at)
             word = self.word.astype(np.int64)
             value = (1 + np.log(self.count.astype(np.float64))) * self.idf[word]
-            if n:
-                value /= np.repeat(np.sqrt(np.add.reduceat(value**2, self.at[:-1])), sizes)
+            length = np.sqrt(np.add.reduceat(value**2, self.at[:-1])) if n else np.zeros(0)
+            value /= np.repeat(length, sizes)
             order = np.argsort(word, kind="stable")
             example, weight = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], value[order].astype(np.float32)
             at = np.searchsorted(word[order], np.arange(len(self.idf) + 1))
@@ -219,7 +223,7 @@ class Index:
             first: dict[bytes, int] = {}
             same = [first.setdefault(self.word[a:b].tobytes() + b"|" + self.count[a:b].tobytes(), i)
                     for i, (a, b) in enumerate(zip(self.at[:-1], self.at[1:], strict=True))]
-            self.lists = Lists(value, example, weight, at, frequent, blocks, largest, np.array(same, np.int64))
+            self.lists = Lists(length, example, weight, at, frequent, blocks, largest, np.array(same, np.int64))
         return self.lists
 
     def bounded(self, found: list[np.ndarray], value: list[np.ndarray], without: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +277,7 @@ class Index:
         a, b = self.at[kinds], self.at[kinds + 1]
         places = ranges(a, b)
         query[found] = value
-        product = query[self.word[places]] * made.value[places]
+        product = query[self.word[places]] * self.values(places, np.repeat(made.length[kinds], b - a))
         query[found] = 0
         total = np.add.reduceat(product, np.cumsum(b - a) - (b - a)) if len(kinds) else np.zeros(0)
         e, s = largest_of(mine, total[which], k)
