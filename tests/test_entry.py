@@ -47,7 +47,7 @@ def smoothed(y, a, b, g, p):
 
 def test_holt_winters_query(spark):
     """The only query without SQL: its verdicts follow from the recurrences with weights near the best of a fine grid."""
-    assert set(quality.QUERIES) - set(quality.SQL) == {"anomaly_holt_winters"}
+    assert set(quality.QUERIES) - set(quality.SQL) == {"anomaly_holt_winters", "series_online_normal_without_anomalies"}
     got = quality.QUERIES["anomaly_holt_winters"](spark, SF).orderBy("month").collect()
     values = [r["value"] for r in got]
     grid = [i / 10 for i in range(1, 10)]
