@@ -38,6 +38,7 @@ from plumbline.sources.pandas_io import from_pandas
 
 @pytest.fixture(scope="module")
 def df(spark):
+    # Rows whose metrics are known.
     return spark.createDataFrame([("foo", 1, 5, 1), ("bar", 2, 6, 3), ("baz", 3, None, 1)], "a string, b long, c long, d long")
 
 
@@ -49,6 +50,7 @@ def values(df, *analyzers):
     return got
 
 
+# The metrics of the rows above.
 @pytest.mark.parametrize(("analyzer", "expected"), [
     (Size(), [3.0]), (Size("b > 1"), [2.0]), (Completeness("b"), [1.0]), (Completeness("c"), [2 / 3]), (Completeness("c", "b > 2"), [0.0]),
     (Compliance("top b", "b >= 2"), [2 / 3]), (Compliance("c", "c >= 2"), [2 / 3]), (Compliance("x", "b >=2 AND d >= 2"), [1 / 3]),
