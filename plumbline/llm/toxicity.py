@@ -572,6 +572,7 @@ def scored(rows: DataFrame, model: Index, sent: Broadcast) -> DataFrame:
                     [*(now.column(i) for i in range(len(kept))), pa.array([x[0] for x in out], pa.float64()),
                      pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
                     names=[*kept, "score", "evidence", "cosines"])
+        sent.value[0].lists = None  # idle workers do not keep postings
 
     form = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
     return rows.select(*kept, *asked).mapInArrow(run, ", ".join([*form, "score double, evidence array<long>, cosines array<double>"]))
