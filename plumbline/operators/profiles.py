@@ -38,6 +38,8 @@ class StandardColumnProfile:
     isDataTypeInferred: bool
     typeCounts: dict[str, int]
     histogram: list[DistributionValue] | None = None
+    #: Counted exactly only where a suggestion depends on it.
+    numDistinctValues: int | None = None
 
     TITLE = "StandardProfiles"
 

@@ -139,6 +139,15 @@ def test_single_rules_and_split(spark):
     assert split and all(s["constraint_result_on_test_set"] in ("Success", "Failure") for s in split)
 
 
+def test_unique_column_whose_sketch_misses_by_more_than_the_tolerance(spark):
+    df = spark.range(59 * 400, 60 * 400).selectExpr("id", "id - id % 2 AS twice", "id - (id % 400 < 40)::int AS nearly")
+    assert abs(1 - df.selectExpr("approx_count_distinct(id)").first()[0] / 400) > 0.08
+    run = ConstraintSuggestionRunner(spark).onData(df).addConstraintRule(UniqueIfApproximatelyUniqueRule())
+    exact = [c for c in df.columns if df.select(c).distinct().count() >= 0.92 * 400]
+    assert [s["column_name"] for s in run.run()["constraint_suggestions"]] == exact == ["id", "nearly"]
+    assert run.columnProfiles.profiles["id"].numDistinctValues == 400
+
+
 def test_states_merge_to_the_whole(spark):
     df = spark.range(100).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS x")
     parts = [states.states(df.where(f"id % 4 = {i}"), ["id", "x"]) for i in range(4)]
