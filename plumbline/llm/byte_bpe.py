@@ -3,7 +3,7 @@
 Texts are split into words by the pattern of the vocabulary; words go with their positions into blocks (``wordblocks``),
 the blocks' dictionaries through one shuffle by word, in which each distinct word is encoded once, and the ids back to the
 blocks, where texts are put together by position. Decoding looks every id up in the token-byte table, whose size is that of
-the vocabulary file and which is therefore sent to all tasks.
+the vocabulary file and which every task therefore reads; asked for together with encoding, it is done in the same Python worker.
 
 Defined results: a null or empty text has no ids and decodes to nothing; texts and words of any length are taken whole;
 repeated rows each get a row; null ids of documents stay null. Columns other than id and text are not read.
@@ -182,8 +182,30 @@ def without(pattern: str, apart: str) -> str:
     return f"[{rest}||[{apart}]]".join(parts)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of each row; ids as little-endian unsigned 32-bit integers. Two shuffles, of dictionaries and of word numbers."""
+#: Ids of a long text that are decoded at a time.
+STEP = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def decoder(vocabulary: str) -> Callable[[np.ndarray], bytes]:
+    """The function from ids to their bytes, by the token-byte table; an id without a token is an error."""
+    start, size, data = token_table(read_ranks(vocabulary))
+
+    def run(ids: np.ndarray) -> bytes:
+        if len(ids) and (int(ids.max()) >= len(size) or (size[ids] < 0).any()):
+            raise ValueError("an id has no token")
+        parts = (ids[i:i + STEP] for i in range(0, len(ids), STEP))
+        return b"".join(wordblocks.gather(start[p], size[p], data).tobytes() for p in parts)
+
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids) of each row; ids as little-endian unsigned 32-bit integers. Two shuffles, of dictionaries and of word numbers.
+
+    With ``decoded`` also what decode gives for the ids, made from them in the same task: a second Python worker beside each
+    would take the memory of the first once more.
+    """
     apart = code_ranges(letters_apart())
     found = wordblocks.blocks(docs, id_col, text_col, lambda: (chunks, splitter(pattern, apart)), name="pretokens")
 
@@ -192,16 +214,19 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         return lambda words: [np.array(merge_word(w, ranks), "<u4").tobytes() for w in words]
 
     def put_together(start: np.ndarray, length: np.ndarray, flat: np.ndarray, keys: list, sizes: np.ndarray, codes: np.ndarray) -> Iterator[dict]:
+        text_of = decoder(vocabulary) if decoded else None
         at = 0
         for key, n in zip(keys, sizes.tolist(), strict=True):
             mine = codes[at:at + n]
             at += n
-            yield {"id": key, "ids": wordblocks.gather(start[mine], length[mine], flat).astype("<u4").tobytes()}
+            ids = wordblocks.gather(start[mine], length[mine], flat).astype("<u4").tobytes()
+            yield {"id": key, "ids": ids} | ({"decoded": text_of(np.frombuffer(ids, "<u4"))} if text_of else {})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("id", wordblocks.arrow_type(docs, id_col)), ("ids", pa.binary())])
+    schema = pa.schema([("id", wordblocks.arrow_type(docs, id_col)), ("ids", pa.binary()), *([("decoded", pa.binary())] if decoded else [])])
     made = wordblocks.each_word(found, encoder)
-    return wordblocks.with_texts(found, made, put_together, f"id {kind}, ids binary", schema).withColumnRenamed("id", id_col)
+    form = f"id {kind}, ids binary" + ", decoded binary" * decoded
+    return wordblocks.with_texts(found, made, put_together, form, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -213,18 +238,10 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     at = out.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, size, data = token_table(read_ranks(vocabulary))
+        text_of = decoder(vocabulary)
         for batch in batches:
-            texts = []
-            for cell in batch.column(at):
-                raw = cell.as_py()
-                if raw is None:
-                    texts.append(None)
-                    continue
-                ids = np.frombuffer(raw, "<u4")
-                if len(ids) and (int(ids.max()) >= len(size) or (size[ids] < 0).any()):
-                    raise ValueError("an id has no token")
-                texts.append(wordblocks.gather(start[ids], size[ids], data).tobytes())
+            raw = (cell.as_py() for cell in batch.column(at))
+            texts = [None if x is None else text_of(np.frombuffer(x, "<u4")) for x in raw]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*out, "decoded"])
 
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
@@ -233,6 +250,6 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
 
 def encoded_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    found = decode(encode(docs, vocabulary, pattern, id_col, text_col), vocabulary)
+    found = encode(docs, vocabulary, pattern, id_col, text_col, decoded=True)
     return found.select(F.col(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

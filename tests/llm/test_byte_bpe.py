@@ -74,6 +74,20 @@ def test_corpus(spark, library, monkeypatch, chars):
     assert byte_bpe.encoded_digests(docs.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_one_python_worker_encodes_and_decodes(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, None), (None, "\u4e00 " * 700)], "doc_id long, text string")
+    made = byte_bpe.encode(docs, PATH, PATTERN, decoded=True)
+    digests = byte_bpe.encoded_digests(docs, PATH, PATTERN)._jdf.queryExecution().sparkPlan().toString()
+    assert digests.split("Exchange")[0].count("MapInArrow") == 1
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, byte_bpe.decode(byte_bpe.encode(docs, PATH, PATTERN), PATH).collect()), key=str)
+
+
+def test_long_texts_decode_in_steps(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "STEP", 3)
+    ids = [i for w in (b"one", b" two", b" archaeology", b"\xe4\xb8\x80") for i in byte_bpe.merge_word(w, byte_bpe.read_ranks(PATH))] * 3
+    assert byte_bpe.decoder(PATH)(np.array(ids, "<u4")) == "one two archaeology\u4e00".encode() * 3 and byte_bpe.decoder(PATH)(np.zeros(0, "<u4")) == b""
+
+
 def test_decoding_refuses_unknown_ids(spark):
     ids = np.array([5, 60_000], "<u4").tobytes()
     with pytest.raises(Exception, match="no token"):
