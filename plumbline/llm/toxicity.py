@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -439,15 +440,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
     model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
     if model.words:
         sent = send_words(docs, model)
-        index_examples(model, training, saved(features(docs.select(text_col), sent, text_col), "features"), sent)
+        index_examples(model, training, saved(features(docs.select(text_col), sent, text_col), "features"), example_features(training, sent))
     return model
 
 
 def send_words(docs: DataFrame, model: Index) -> Broadcast:
     """What features reads of the model, with the marks of each word; bounded by the examples."""
-    own = [[] if w.endswith("*") else marks_in((w,), model.marks, model.begins) for w in model.words]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins, at, np.array([m for x in own for m in x], np.int64)))
+    at, own = array("q", [0]), array("q")  # no list for each word, for the driver's memory
+    for w in model.words:
+        if not w.endswith("*"):
+            own.extend(marks_in((w,), model.marks, model.begins))
+        at.append(len(own))
+    return docs.sparkSession.sparkContext.broadcast((model.words, model.marks, model.begins, np.array(at, np.int64), np.array(own, np.int64)))
 
 
 def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str,
@@ -495,9 +499,16 @@ def vocabulary(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: st
     return model, training
 
 
-def index_examples(model: Index, training: Training, all_features: DataFrame, words_sent: Broadcast) -> Broadcast:
-    """Weights by document frequencies over all documents, then the examples' index and calibration; the index as sent to tasks."""
-    n_words = len(model.words)
+def example_features(training: Training, words_sent: Broadcast) -> DataFrame:
+    """Saved features of the examples, with a number ``row``."""
+    rows = training.rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text").withColumn("row", F.monotonically_increasing_id())
+    return saved(features(rows, words_sent).drop("others", "other_counts"), "example-features")  # examples have no other words
+
+
+def index_examples(model: Index, training: Training, all_features: DataFrame, rows: DataFrame, n_words: int | None = None) -> Broadcast:
+    """Weights by document frequencies over all documents, then the index of the examples, of which rows are the features, and
+    calibration; the index as sent to tasks. n_words: how many words the model had, if it no longer holds them."""
+    n_words = len(model.words) if n_words is None else n_words
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.zeros(n_words, np.int64), 0
@@ -515,8 +526,6 @@ def index_examples(model: Index, training: Training, all_features: DataFrame, wo
     count = np.zeros(n_words)
     count[w[w >= 0]] = n[w >= 0]
     model.idf = np.log((1 + model.total) / (1 + count)) + 1
-    rows = training.rows.select("id", F.col("toxic").cast("int").alias("toxic"), "text").withColumn("row", F.monotonically_increasing_id())
-    rows = saved(features(rows, words_sent).drop("others", "other_counts"), "example-features")  # examples have no other words
     got = rows.toArrow()
     id_, y, row = (got.column(c).to_numpy() for c in ("id", "toxic", "row"))
     words, counts = ([unpacked(x) for x in got.column(c).to_pylist()] for c in ("words", "counts"))
@@ -579,23 +588,27 @@ def scored(rows: DataFrame, model: Index, sent: Broadcast) -> DataFrame:
 
 
 def learnt_and_scored(docs: DataFrame, labels: DataFrame, kept: list[Column], max_examples: int, id_col: str, text_col: str,
-                      label_col: str) -> DataFrame:
-    """kept, score, evidence and cosines of each row of docs; each text is read for features once."""
+                      label_col: str) -> tuple[DataFrame, Broadcast | None]:
+    """kept, score, evidence and cosines of each row of docs, and what their plan reads in every task; each text is read for features once."""
     model, training = vocabulary(docs, labels, max_examples, id_col, text_col, label_col)
     rows = spread(docs).select(*kept, F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     if not model.words:
         return rows.drop("text", "row").select("*", F.lit(model.featureless).alias("score"), F.array().cast("array<long>").alias("evidence"),
-                                               F.array().cast("array<double>").alias("cosines"))
+                                               F.array().cast("array<double>").alias("cosines")), None
     words_sent = send_words(docs, model)
-    found = saved(features(rows, words_sent), "features")
-    sent = index_examples(model, training, found, words_sent)
-    return scored(with_others(spread(found), model.total), model, sent)
+    found, own = saved(features(rows, words_sent), "features"), example_features(training, words_sent)
+    # Both are saved, so nothing reads the words again; the driver holds them no longer while it makes the index.
+    n_words, model.words, model.marks, model.begins = len(model.words), {}, {}, set()
+    words_sent.destroy()
+    del words_sent
+    sent = index_examples(model, training, found, own, n_words)
+    return scored(with_others(spread(found), model.total), model, sent), sent
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id",
              text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, evidence, cosines) of all rows by the examples among them."""
-    found = learnt_and_scored(docs, labels, [F.col(id_col).alias("kept")], max_examples, id_col, text_col, label_col)
+    found, _ = learnt_and_scored(docs, labels, [F.col(id_col).alias("kept")], max_examples, id_col, text_col, label_col)
     return found.select(F.col("kept").alias(id_col), (fold(F.col("kept")) == 0).alias("held_out"), "score",
                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", "cosines")
 
@@ -604,7 +617,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, unchanged; equal texts have equal scores."""
     key = [F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit(""))).alias("k2")]
-    found = learnt_and_scored(docs, labels, key, MAX_EXAMPLES, id_col, text_col, "toxic")
+    found, sent = learnt_and_scored(docs, labels, key, MAX_EXAMPLES, id_col, text_col, "toxic")
     bad = saved(found.where(F.col("score") >= threshold).select("k1", "k2").distinct(), "toxic")
+    if sent is not None:
+        sent.destroy()  # the verdicts are saved
     both = [key[0] == bad["k1"], key[1] == bad["k2"]]
     return docs.join(F.broadcast(bad) if is_small(bad) else bad, both[0] & both[1], "left_anti")

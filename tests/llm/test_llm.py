@@ -277,6 +277,20 @@ def test_toxicity_edge_cases(spark, docs, empty, odd):
     assert toxicity.keep_clean(odd, none).columns == odd.columns
 
 
+def test_stage_of_toxicity_leaves_no_broadcasts(spark, monkeypatch):
+    """What tasks were sent is destroyed once the verdicts are saved, and the driver holds no words while it makes the index."""
+    import os
+
+    rows = [(i, f"shared word{i % 7}" + (" vile" if i % 3 == 0 else ""), "en", "e", "w", "l") for i in range(60)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0)) for r in rows], "doc_id long, toxic int")
+    folder, held, index = spark.sparkContext._temp_dir, [], toxicity.index_examples
+    monkeypatch.setattr(toxicity, "index_examples", lambda model, *a: held.append(len(model.words)) or index(model, *a))
+    had = set(os.listdir(folder))
+    kept = toxicity.keep_clean(spark.createDataFrame(rows, FORM), labels)
+    assert set(os.listdir(folder)) <= had and held == [0]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in rows if r[0] % 3]
+
+
 # -- 3 --------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
