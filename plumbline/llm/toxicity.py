@@ -23,6 +23,7 @@ base rate; repeated ids and rows each get a row. Extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from array import array
@@ -44,9 +45,11 @@ MAX_EXAMPLES = 6000
 MIN_CHI2 = 15.0
 NEIGHBOURS = 8
 BLOCK = 64
-#: Blocks that a query reads before it knows a k-th best score; queries that are searched for together.
+#: Blocks that a query reads before it knows a k-th best score; texts that are read, or searched for, together;
+#: examples of which postings are made together. Results do not depend on them.
 FIRST_BLOCKS = 8
 TOGETHER = 256
+EXAMPLES = 512
 #: Terms are frequent if at least this share of the examples has them; at most so many are, for memory. Results do not depend on it.
 FREQUENT = 1 / 16
 MOST_FREQUENT = 1024
@@ -119,10 +122,14 @@ def largest_of(e: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return e[keep], s[keep]
 
 
+def width_of(most: int) -> int:
+    """Bytes that integers from 0 to most need."""
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+
+
 def packed(a: np.ndarray) -> bytes:
     """Integers from 0 in as few bytes each as the largest needs, after that number."""
-    most = int(a.max(initial=0))
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    width = width_of(int(a.max(initial=0)))
     return bytes([width]) + a.astype(f"<u{width}").tobytes()
 
 
@@ -135,9 +142,9 @@ class Lists:
     """What a search reads, made from the examples' word numbers and counts."""
 
     length: np.ndarray  # of each example's vector before it is scaled to 1, in double precision
-    example: np.ndarray  # by word and example, as is weight, in single precision
+    example: np.ndarray  # of words that are not frequent, by word and example, as is weight, in single precision
     weight: np.ndarray
-    at: np.ndarray  # where the postings of each word begin
+    at: np.ndarray  # where the postings of each word begin, among those of all
     frequent: int  # words below this number are frequent
     blocks: np.ndarray  # weights of frequent words: examples, padded to whole blocks, x words
     largest: np.ndarray  # blocks x words
@@ -201,28 +208,42 @@ class Index:
             out.append((e, v, block, np.maximum.reduceat(v, first) if len(v) else v))
         return out
 
-    def values(self, places: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def values(self, places: np.ndarray | slice, length: np.ndarray | float) -> np.ndarray:
         """Weights of the examples' terms at the places, in double precision; not kept, for memory."""
         return (1 + np.log(self.count[places].astype(np.float64))) * self.idf[self.word[places]] / length
 
     def ready(self) -> Lists:
         """Postings, blocks and largest weights; made once in each worker."""
         if self.lists is None:
-            n, sizes = len(self.ids), np.diff(self.at)
-            word = self.word.astype(np.int64)
-            value = (1 + np.log(self.count.astype(np.float64))) * self.idf[word]
-            length = np.sqrt(np.add.reduceat(value**2, self.at[:-1])) if n else np.zeros(0)
-            value /= np.repeat(length, sizes)
-            order = np.argsort(word, kind="stable")
-            example, weight = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], value[order].astype(np.float32)
-            at = np.searchsorted(word[order], np.arange(len(self.idf) + 1))
+            n, sizes, n_words = len(self.ids), np.diff(self.at), len(self.idf)
+            parts = [(a, min(a + EXAMPLES, n)) for a in range(0, n, EXAMPLES)]  # for memory, never all postings at once
+            length, number = np.zeros(n), np.zeros(n_words, np.int64)
+            for a, b in parts:
+                x, y = self.at[a], self.at[b]
+                length[a:b] = np.sqrt(np.add.reduceat(self.values(slice(x, y), 1.0)**2, self.at[a:b] - x))
+                number += np.bincount(self.word[x:y], minlength=n_words)
+            at = np.concatenate([[0], np.cumsum(number)])
             # Words are numbered by falling number of examples.
-            frequent = min(MOST_FREQUENT, int((np.diff(at) >= max(1, n * FREQUENT)).sum()))
+            frequent = min(MOST_FREQUENT, int((number >= max(1, n * FREQUENT)).sum()))
             blocks = np.zeros((-(-n // BLOCK) * BLOCK, frequent), np.float32)
-            blocks[example[:at[frequent]], np.repeat(np.arange(frequent), np.diff(at[:frequent + 1]))] = weight[:at[frequent]]
+            example = np.zeros(len(self.word) - at[frequent], f"<u{width_of(n)}")
+            weight = np.zeros(len(example), np.float32)
+            free = at[:-1] - at[frequent]  # where the next posting of each word goes
+            for a, b in parts:
+                x, y = self.at[a], self.at[b]
+                word, mine = self.word[x:y], np.repeat(np.arange(a, b), sizes[a:b])
+                value = self.values(slice(x, y), np.repeat(length[a:b], sizes[a:b])).astype(np.float32)
+                often = word < frequent
+                blocks[mine[often], word[often]] = value[often]
+                rare = np.flatnonzero(~often)
+                rare = rare[np.argsort(word[rare], kind="stable")]
+                kinds, first, many = np.unique(word[rare], return_index=True, return_counts=True)
+                to = np.arange(len(rare)) + np.repeat(free[kinds] - first, many)
+                example[to], weight[to] = mine[rare], value[rare]
+                free[kinds] += many
             largest = blocks.reshape(-1, BLOCK, frequent).max(axis=1) if n else blocks
-            first: dict[bytes, int] = {}
-            same = [first.setdefault(self.word[a:b].tobytes() + b"|" + self.count[a:b].tobytes(), i)
+            first_of: dict[bytes, int] = {}
+            same = [first_of.setdefault(hashlib.sha256(self.word[a:b].tobytes() + self.count[a:b].tobytes()).digest(), i)
                     for i, (a, b) in enumerate(zip(self.at[:-1], self.at[1:], strict=True))]
             self.lists = Lists(length, example, weight, at, frequent, blocks, largest, np.array(same, np.int64))
         return self.lists
@@ -236,7 +257,7 @@ class Index:
             cut = int(np.searchsorted(words, made.frequent))
             asked[i, words[:cut]] = weights[:cut]
             rare = words[cut:-1]
-            a, b = made.at[rare], made.at[rare + 1]
+            a, b = made.at[rare] - made.at[made.frequent], made.at[rare + 1] - made.at[made.frequent]
             spots = list(zip(a.tolist(), b.tolist(), strict=True))
             if spots:
                 v = np.concatenate([made.weight[x:y] for x, y in spots]) * np.repeat(weights[cut:-1].astype(np.float32), b - a)
@@ -374,7 +395,8 @@ def features(rows: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFr
                 out = begun_by[head] = marks_in((word,), marks, begins)
             return out
 
-        for batch in batches:
+        # Few texts at once, as lists of words take several times the room of a text.
+        for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, len(whole), TOGETHER)):
             out: list[list] = [[] for _ in kinds]
             for text in batch.column(at):
                 seen = Counter(terms(text.as_py()))
@@ -541,7 +563,7 @@ def index_examples(model: Index, training: Training, all_features: DataFrame, ro
     model.at = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64)
     model.word = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(words[i]) for i in order)]).astype(np.int32)
     often = np.concatenate([np.zeros(0, np.int64), *(counts[i] for i in order)])
-    model.count = often.astype(np.uint8 if often.max(initial=0) < 256 else np.int32)
+    model.count = often.astype(f"<u{width_of(int(often.max(initial=0)))}")
     place = {int(row[i]): at for at, i in enumerate(order)}
     sent = rows.sparkSession.sparkContext.broadcast((model.to_send(), place))  # bounded by max_examples
 

@@ -291,6 +291,58 @@ def test_stage_of_toxicity_leaves_no_broadcasts(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in rows if r[0] % 3]
 
 
+def test_toxicity_makes_postings_in_little_memory():
+    """Making what a search reads takes few bytes a posting beside the blocks, and it holds each posting once."""
+    import tracemalloc
+
+    rng, n, n_words = np.random.default_rng(5), 3000, 20_000
+    own = [np.unique((n_words * rng.random(400)**3).astype(np.int64)) for _ in range(n)]
+    number = np.bincount(np.concatenate(own), minlength=n_words)
+    rank = np.empty(n_words, np.int64)
+    rank[np.argsort(-number, kind="stable")] = np.arange(n_words)  # words are numbered by falling number of examples
+    own = [np.sort(rank[w]) for w in own]
+    own[2000] = own[7]
+    word = np.concatenate(own).astype(np.int32)
+    count = rng.integers(1, 9, len(word)).astype(np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(w) for w in own])])
+    count[at[2000]:at[2001]] = count[at[7]:at[8]]
+    model = toxicity.Index(idf=1 + rng.random(n_words), ids=np.arange(n), at=at, word=word, count=count)
+    tracemalloc.start()
+    try:
+        made = model.ready()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made.frequent > 20 and peak < made.blocks.nbytes + 16 * len(word) + 48 * n_words
+    assert len(made.example) == len(made.weight) == (word >= made.frequent).sum()
+    assert made.same[2000] == 7 and len(set(made.same)) == n - 1
+    for w, (e, v, _, _) in enumerate(model.postings):
+        a, b = made.at[w:w + 2] - made.at[made.frequent]
+        if w < made.frequent:
+            assert np.array_equal(np.flatnonzero(made.blocks[:, w]), e) and np.array_equal(made.blocks[e, w], v.astype(np.float32))
+        else:
+            assert np.array_equal(made.example[a:b], e) and np.array_equal(made.weight[a:b], v.astype(np.float32))
+
+
+def test_toxicity_reads_few_texts_at_once():
+    """Features come in small batches, whatever Spark hands over, as a text's words take several times its room."""
+    class Rows:
+        columns, schema = ["id", "text"], []
+
+        def mapInArrow(self, run, form):
+            return run
+
+    class Sent:
+        value = ({"a": 0, "b": 1}, {}, set(), np.zeros(3, np.int64), np.zeros(0, np.int64))
+
+    texts = [f"a w{i}" if i % 2 else None for i in range(2000)]
+    got = list(toxicity.features(Rows(), Sent())(iter([pa.record_batch([pa.array(range(2000)), pa.array(texts)], ["id", "text"]),
+                                                       pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.string())], ["id", "text"])])))
+    assert max(len(b) for b in got) <= toxicity.TOGETHER
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(2000))
+    assert [o for b in got for o in b.column("others").to_pylist()] == [[f"w{i}"] if i % 2 else [] for i in range(2000)]
+
+
 # -- 3 --------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
